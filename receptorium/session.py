@@ -18,6 +18,7 @@ def local_session(app: str = "receptorium", cores: str = "8", memory: str = "12g
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -34,3 +35,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable inside tasks where it is not installed on the workers."""
+    import pathlib
+    import shutil
+
+    context = spark.sparkContext
+    if any("receptorium" in str(f) for f in context.listFiles):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = shutil.make_archive(str(pathlib.Path(tempfile.mkdtemp(prefix="receptorium-")) / "receptorium"),
+                                  "zip", root.parent, root.name)
+    context.addPyFile(archive)
