@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from receptorium.operators.pairwise import first_rows
+from receptorium.operators.pairwise import first_rows, meet
 
 
 def _contains(haystack: Column, needle: Column) -> Column:
-    wanted = F.lower(F.trim(F.coalesce(needle, F.lit(""))))
-    return (wanted == "") | F.lower(F.coalesce(haystack, F.lit(""))).contains(wanted)
+    return (needle == "") | F.lower(F.coalesce(haystack, F.lit(""))).contains(needle)
+
+
+def _names(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    names = known["gene_key"].str.lower()
+    parts = [pd.DataFrame({"f_gene": f, "gene_key": known["gene_key"][names.str.contains(f, regex=False)]}) for f in asked["f_gene"]]
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["f_gene", "gene_key"])
 
 
 def matching_alleles(filters: DataFrame, alleles: DataFrame) -> DataFrame:
     """Alleles that pass each filter (qid, gene_name, region, species, sequence_contains); an empty filter passes all.
 
-    Filters are conditions, not keys, so the filter table (one row per request) is the streamed side of a
-    condition join; alleles need ord.
+    The substring test runs on distinct gene names only; rows then meet by equal gene name.
     """
-    f = filters.select("qid", *[F.col(c).alias(f"f_{c}") for c in ("gene_name", "region", "species", "sequence_contains")])
-    species = F.lower(F.trim(F.coalesce("f_species", F.lit(""))))
-    return alleles.join(f, _contains(F.col("gene_name"), F.col("f_gene_name")) & _contains(F.col("region"), F.col("f_region"))
-                        & ((species == "") | (species == F.lower(F.coalesce("species", F.lit("")))))
-                        & _contains(F.col("sequence"), F.col("f_sequence_contains"))).drop(
-        "f_gene_name", "f_region", "f_species", "f_sequence_contains")
+    f = filters.select("qid", *[F.lower(F.trim(F.coalesce(c, F.lit("")))).alias(f"f_{c}")
+                                for c in ("gene_name", "region", "species", "sequence_contains")]) \
+        .withColumnRenamed("f_gene_name", "f_gene")
+    rows = alleles.withColumn("gene_key", F.coalesce("gene_name", F.lit("")))
+    all_ = F.lit(1).alias("all")
+    names = meet(f.select(all_, "f_gene").distinct(), rows.select(all_, "gene_key").distinct(), ["all"], ["f_gene"], ["gene_key"],
+                 2_000, 20_000, _names, "f_gene string, gene_key string")
+    return rows.join(names, "gene_key").join(f, "f_gene").filter(
+        _contains(F.col("region"), F.col("f_region")) & _contains(F.col("sequence"), F.col("f_sequence_contains"))
+        & ((F.col("f_species") == "") | (F.col("f_species") == F.lower(F.coalesce("species", F.lit("")))))) \
+        .drop("f_gene", "f_region", "f_species", "f_sequence_contains", "gene_key")
 
 
 def search_alleles(filters: DataFrame, alleles: DataFrame, seeds: DataFrame | None = None, limit: int = 50, offset: int = 0) -> DataFrame:

@@ -68,6 +68,14 @@ def limit_batch(events: DataFrame, limit: int) -> DataFrame:
 
 
 def trailing_count(events: DataFrame) -> DataFrame:
-    """Events of the same key in the sixty seconds up to each event, itself and its peers included."""
-    w = Window.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(-TRAILING_SECONDS * 1_000_000, 0)
-    return events.withColumn("n_trailing", F.count(F.lit(1)).over(w))
+    """Events of the same key in the sixty seconds up to each event, itself and its peers included.
+
+    The window of an event lies in its own minute and the one before, so every event also visits the next
+    minute and a busy key is counted minute by minute, not in one piece.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    size = TRAILING_SECONDS * 1_000_000
+    rows = events.withColumn("_t", micros).withColumn("_own", F.floor(F.col("_t") / size))
+    visits = rows.withColumn("_slot", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    w = Window.partitionBy("key", "_slot").orderBy("_t").rangeBetween(-size, 0)
+    return visits.withColumn("n_trailing", F.count(F.lit(1)).over(w)).filter("_slot = _own").drop("_t", "_own", "_slot")
