@@ -143,9 +143,6 @@ def _record(df: DataFrame) -> DataFrame:
     })
 
 
-RECORD = [c for c in INDEX_COLUMNS] + ["src_row", "mhc_organism", "mhc_is_cross_species"]
-
-
 def id_hits(requests: DataFrame, index: DataFrame) -> DataFrame:
     """Rows whose record id is asked for verbatim; no species gate."""
     ids = requests.filter(F.col("id_lookup").isNotNull()).select("qid", F.col("id_lookup").alias("source_record_id"))
@@ -164,7 +161,7 @@ def retrieve_records(queries: DataFrame, index: DataFrame, top_k: int = 50, incl
                                & ((F.col("cdr3_key") != "") | (F.col("v_key") != "") | (F.col("j_key") != "")))
 
     hits = exact_hits(searches, index, include_cross_species)
-    stats = hits.groupBy(*SPEC).agg(F.count(F.lit(1)).alias("total_matches"),
+    stats = hits.select(*SPEC, "chain").groupBy(*SPEC).agg(F.count(F.lit(1)).alias("total_matches"),
                                     F.array_sort(F.collect_set("chain")).alias("chains"))
     capped = ranked_hits(hits, SPEC, top_k)
     exact = cut_lineage(searches.select("qid", *SPEC).join(capped, SPEC))
@@ -195,22 +192,20 @@ def retrieve_records(queries: DataFrame, index: DataFrame, top_k: int = 50, incl
         *[F.when(a_is_alpha, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"beta_{n}")
           for c, n in (("id", "record_id"), ("cdr3", "cdr3"), ("v", "v_gene"), ("j", "j_gene"), ("row", "row"))],
     )
-    lone = paired.join(pairs.select("qid").distinct(), "qid", "left_anti")
+    lone = cut_lineage(paired.join(pairs.select("qid").distinct(), "qid", "left_anti"))
     appended = mates.join(lone.withColumnRenamed("b_cdr3", "i_cdr3"), "i_cdr3") \
         .filter(in_scope(F.col("scope"), include_cross_species))
 
-    shape = ["qid", "scope", "i_cdr3", "rank", "part", *INDEX_COLUMNS, "src_row", "mhc_organism"]
-    found = (exact.withColumn("part", F.lit("exact")).select(*shape)
+    have = [c for c in INDEX_COLUMNS if c in index.columns]
+    shape = ["qid", "scope", "i_cdr3", "rank", "part", *have, "src_row", "mhc_organism"]
+    found = cut_lineage(exact.withColumn("part", F.lit("exact")).select(*shape)
              .unionByName(ids.withColumn("part", F.lit("id")).select(*shape))
              .unionByName(appended.withColumn("part", F.lit("second_chain"))
                           .withColumn("rank", F.lit(None).cast("int")).select(*shape)))
-    seen = _concordance_of(found.filter("part <> 'id'"), index, include_cross_species).unionByName(
-        _concordance_of(found.filter("part = 'id'").withColumn("scope", F.lit("*")), index, True)
-        .withColumn("scope", F.lit("id")))
-    found = found.withColumn("scope", F.when(F.col("part") == "id", F.lit("id")).otherwise(F.col("scope"))) \
-        .join(seen, ["scope", "i_cdr3"], "left")
+    seen = _concordance_of(found, index, include_cross_species)  # an id lookup has the scope *
+    found = found.join(seen, ["scope", "i_cdr3"], "left")
     exact_out = _record(found).select(
-        "qid", "part", "rank", *RECORD, F.lit("exact").alias("match_kind"),
+        "qid", "part", "rank", *have, "src_row", "mhc_organism", "mhc_is_cross_species", F.lit("exact").alias("match_kind"),
         F.greatest(F.coalesce("concordance", F.lit(1)), F.lit(1)).alias("concordance"))
 
     out = {"requests": requests, "exact": exact_out, "pairs": pairs}
@@ -226,7 +221,7 @@ def retrieve_records(queries: DataFrame, index: DataFrame, top_k: int = 50, incl
             "similarity": F.round(text.similarity(F.col("distance"), F.col("max_distance")), 4),
             "match_kind": F.lit("neighbour"), "concordance": F.lit(1)})
     out["totals"] = (requests.select("qid", *SPEC).join(stats.select(*SPEC, "total_matches"), SPEC, "left")
-                     .join(exact_out.groupBy("qid").agg(F.count(F.lit(1)).alias("total_exact")), "qid", "left")
+                     .join(found.groupBy("qid").agg(F.count(F.lit(1)).alias("total_exact")), "qid", "left")
                      .select("qid", F.coalesce("total_exact", F.lit(0)).alias("total_exact"),
                              F.coalesce("total_matches", F.lit(0)).alias("total_matches")))
     out["warnings"] = request_warnings(requests).unionByName(no_pair_warnings(lone))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from receptorium.constants import FAMILY_MIN, INDEX_COLUMNS, LABELLED_COLUMNS
 from receptorium.functions import kernels, text
 from receptorium.operators.pairwise import first_rows, meet
+from receptorium.session import cut_lineage
 
 PROBES_PER_TASK, CANDIDATES_PER_TASK, COLUMNS_AT_ONCE = 1_000, 50_000, 8_192
 LOOPS = ["cdr1", "cdr2", "cdr25"]
@@ -137,9 +138,10 @@ def nearest_candidates(probes: DataFrame, candidates: DataFrame, k: int, engine:
               "max_distance double")
     met = meet(probes, candidates, ["block"], ["probe"], ["candidate"], PROBES_PER_TASK, CANDIDATES_PER_TASK,
                _scorer(k, engine, skip_identical), schema)
-    top = met.groupBy("block", "probe").agg(F.max("max_distance").alias("max_distance"))
-    best = first_rows(met.drop("max_distance"), ["block", "probe"], [F.col("distance"), F.col("first_row")], k)
-    return best.drop("rank").join(top, ["block", "probe"])
+    whole = Window.partitionBy("block", "probe")
+    met = met.withColumn("max_distance", F.max("max_distance").over(whole))
+    best = first_rows(met, ["block", "probe"], [F.col("distance"), F.col("first_row")], k)
+    return cut_lineage(best.drop("rank"))  # read twice below: to pick the rows, and to answer the queries
 
 
 def nearest_records(probes: DataFrame, index: DataFrame, k: int, mhc_gate: bool = False,
@@ -166,9 +168,8 @@ def nearest_records(probes: DataFrame, index: DataFrame, k: int, mhc_gate: bool
     members = first_rows(rows.join(wanted, ["block", "candidate"], "left_semi"),
                          ["block", "candidate"], [F.col("src_row")], k).select("block", "candidate", *keep)
     per_query = probes.select("qid", "block", "probe").join(near, ["block", "probe"])
-    limits = per_query.groupBy("qid").agg(F.max("max_distance").alias("max_distance"))
-    out = per_query.drop("max_distance", "probe", "first_row").join(members, ["block", "candidate"])
-    out = out.join(limits, "qid")
+    per_query = per_query.withColumn("max_distance", F.max("max_distance").over(Window.partitionBy("qid")))
+    out = per_query.drop("probe", "first_row").join(members, ["block", "candidate"])
     if min_similarity > 0:
         out = out.filter(text.similarity(F.col("distance"), F.col("max_distance")) >= min_similarity)
     return first_rows(out, ["qid"], [F.col("distance"), F.col("src_row")], k).drop("block", "candidate")
@@ -242,7 +243,7 @@ def find_similar(queries: DataFrame, index: DataFrame, loops: DataFrame | None =
     else:
         q = q.withColumn("scope", F.coalesce(species, F.lit("*"))) \
             .withColumn("chain", F.coalesce(F.nullif(F.col("chain"), F.lit("")), F.lit("*")))
-    q = family_block(q, index)
+    q = cut_lineage(family_block(q, index))
     warnings.append(_warn(q.filter("total_candidates = 0"), "no_reference_candidates",
                           F.lit("no reference candidates for this query")))
     q = q.filter("total_candidates > 0")
@@ -259,7 +260,7 @@ def find_similar(queries: DataFrame, index: DataFrame, loops: DataFrame | None =
                                   F.count_if(F.col("cdr1").isNull()).alias("n_skipped"))
         q = q.join(tally, "block", "left")
         fit = F.col("organism").isin("human", "mouse") & F.col("cdr1").isNotNull() & (F.col("n_scored") > 0)
-        q = q.withColumn("_fit", F.coalesce(fit, F.lit(False)))
+        q = cut_lineage(q.withColumn("_fit", F.coalesce(fit, F.lit(False))))
         by_tcrdist, by_matrix = q.filter("_fit"), q.filter("not _fit")
         scored = loop_index.filter(F.col("cdr1").isNotNull())
         results.append(nearest_records(by_tcrdist.select(*probe, *LOOPS), scored, top_k, engine="tcrdist",
@@ -360,7 +361,7 @@ def find_similar_paired(queries: DataFrame, index: DataFrame, loops: DataFrame |
     pairs = with_loops(with_loops(pairs, loops, "v_a_gene", F.col("organism"), "a_"), loops, "v_b_gene", F.col("organism"), "b_")
     lacking = F.col("a_cdr1").isNull() | F.col("b_cdr1").isNull()
     tally = pairs.groupBy("organism").agg(F.count(F.lit(1)).alias("total_candidates"), F.count_if(lacking).alias("n_skipped"))
-    q = q.join(tally, "organism", "left").fillna(0, ["total_candidates", "n_skipped"])
+    q = cut_lineage(q.join(tally, "organism", "left").fillna(0, ["total_candidates", "n_skipped"]))
 
     parts = ["a_cdr3", "b_cdr3", *PAIR_LOOPS]
     q = q.withColumn("probe", F.concat_ws("|", *parts))
@@ -370,9 +371,9 @@ def find_similar_paired(queries: DataFrame, index: DataFrame, loops: DataFrame |
     asked = q.select("organism", "probe", *parts).distinct()
     met = meet(asked, pool, ["organism"], ["probe"], ["candidate"], PROBES_PER_TASK, CANDIDATES_PER_TASK,
                _paired_scorer(top_k), "organism string, probe string, candidate string, first_row long, distance double, max_distance double")
-    limits = met.groupBy("organism", "probe").agg(F.max("max_distance").alias("max_distance"))
-    near = first_rows(met.drop("max_distance"), ["organism", "probe"], [F.col("distance"), F.col("first_row")], top_k) \
-        .drop("rank", "first_row").join(limits, ["organism", "probe"])
+    met = met.withColumn("max_distance", F.max("max_distance").over(Window.partitionBy("organism", "probe")))
+    near = first_rows(met, ["organism", "probe"], [F.col("distance"), F.col("first_row")], top_k).drop("rank", "first_row")
+    near = cut_lineage(near)
     context = [c for c in PAIR_CONTEXT if c in pairs.columns]
     members = first_rows(scored.join(near.select("organism", "candidate").distinct(), ["organism", "candidate"], "left_semi"),
                          ["organism", "candidate"], [F.col("src_row")], top_k) \

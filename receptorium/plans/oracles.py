@@ -1 +1,281 @@
-ORACLES = {}
+"""SQL for the named queries, written from the operator rules; runs on the generic test tables."""
+
+from __future__ import annotations
+
+from itertools import product
+
+from receptorium.constants import (
+    AMINO_BY_CODON, BACK_CODON, BASE_ORDER, BLOSUM62, CONSTANT_REGIONS, DEDUP_KEY, IEDB_WORDS, MHC_PROJECT_PREFIXES, MHC_WORDS,
+    REGION_WORDS, SIMILAR_WORDS, TCR_WORDS, VDJDB_WORDS,
+)
+from receptorium.operators.lookup import NO_PAIR_MESSAGE  # noqa: F401
+from receptorium.plans import bridge
+
+ORACLES: dict[str, str] = {}
+
+
+def oracle(name: str, views: str, body: str, **ctes: str) -> None:
+    parts = [f"{v} as ({bridge.text(v)})" for v in views.split()] + [f"{k} as ({v})" for k, v in ctes.items()]
+    ORACLES[name] = (f"with {', '.join(parts)} " if parts else "") + body
+
+
+# --- shared expressions --------------------------------------------------------------------------------
+
+CODONS = "MAP {" + ", ".join(f"'{''.join(c)}': '{a}'" for c, a in zip(product(BASE_ORDER, repeat=3), AMINO_BY_CODON)) + "}"
+BACK = "MAP {" + ", ".join(f"'{a}': '{c}'" for a, c in BACK_CODON.items()) + "}"
+
+
+def aa(nt: str, frame: int | str = 0) -> str:
+    return (f"array_to_string(list_transform(range(0, greatest(length({nt}) - {frame}, 0) // 3), "
+            f"lambda i: coalesce({CODONS}[substr({nt}, {frame} + i * 3 + 1, 3)], '?')), '')")
+
+
+def back(s: str) -> str:
+    return f"array_to_string(list_transform(range(1, length({s}) + 1), lambda i: coalesce({BACK}[substr({s}, i, 1)], 'NNN')), '')"
+
+
+def stops(a: str, ch: str = "*") -> str:
+    return f"(length({a}) - length(replace({a}, '{ch}', '')))"
+
+
+def base(g: str) -> str:
+    return f"coalesce(split_part(upper(trim({g})), '*', 1), '')"
+
+
+def chain(g: str) -> str:
+    h = f"substr(upper(split_part(trim({g}, '*'), '*', 1)), 1, 4)"
+    return f"case when {h} in ('TRAV','TRAJ') then 'TRA' when {h} in ('TRGV','TRGJ') then 'TRG' when {h} in ('TRDV','TRDJ') then 'TRD' else 'TRB' end"
+
+
+def label(code: str) -> str:
+    return f"case {code} when 'TRA' then 'alpha' when 'TRB' then 'beta' when 'TRG' then 'gamma' when 'TRD' then 'delta' end"
+
+
+ORGANISM = "case when upper(trim(mhc_a)) like 'HLA%' then 'human' when upper(trim(mhc_a)) like 'H2%' or upper(trim(mhc_a)) like 'H-2%' then 'mouse' end"
+SCORE = "coalesce(try_cast(score as double), '-infinity'::double)"
+LETTERS = "ARNDCQEGHILKMFPSTWYV"
+_ROWS = [[int(v) for v in line.split()] for line in BLOSUM62.strip().splitlines()]
+
+
+def _sub(i: int, j: int) -> int:
+    return _ROWS[max(i, j)][min(i, j)]
+
+
+COST = "[" + ",".join(str(_sub(i, i) - _sub(i, j)) for i in range(20) for j in range(20)) + "]"
+TLETTERS = LETTERS + "."
+TCOST = "[" + ",".join(str(0 if i == j else 4 if 20 in (i, j) else min(4, 4 - _sub(i, j))) for i in range(21) for j in range(21)) + "]"
+
+
+def _pick(table: str, letters: str, x: str, y: str) -> str:
+    return f"{table}[(strpos('{letters}', {x}) - 1) * {len(letters)} + strpos('{letters}', {y})]"
+
+
+def blosum(q: str, c: str) -> str:
+    """Distance of query q to candidate c (columns)."""
+    tq, tc = (f"coalesce(nullif(substr({s}, 4, greatest(length({s}) - 5, 0)), ''), {s})" for s in (q, c))
+    short, long_ = f"(case when length({tq}) <= length({tc}) then {tq} else {tc} end)", f"(case when length({tq}) <= length({tc}) then {tc} else {tq} end)"
+    gap = f"abs(length({q}) - length({c}))"
+    cell = _pick(COST, LETTERS, f"substr({short}, i, 1)", f"substr({long_}, i + o, 1)")
+    return (f"cast(list_min(list_transform(range(0, length({long_}) - length({short}) + 1), lambda o: coalesce(list_sum(list_transform("
+            f"range(1, length({short}) + 1), lambda i: {cell})), 0))) + 8 * {gap} as double)")
+
+
+def tcr(a: str, b: str, trim_n: int, trim_c: int, fixed: bool) -> str:
+    la, lb, sh = f"length({a})", f"length({b})", f"least(length({a}), length({b}))"
+    cell = lambda x, y: _pick(TCOST, TLETTERS, f"substr({a}, {x}, 1)", f"substr({b}, {y}, 1)")
+    equal = f"coalesce(list_sum(list_transform(range({trim_n} + 1, {la} - {trim_c} + 1), lambda i: {cell('i', 'i')})), 0)"
+    widen = f"cast(greatest(ceil((10 - {sh}) / 2.0), 0) as int)"
+    lo, hi = (f"cast(least(6, 3 + floor(({sh} - 5) / 2.0)) as int)",) * 2 if fixed else (f"(5 - {widen})", f"({sh} - 5 + {widen})")
+    left = f"coalesce(list_sum(list_transform(range({trim_n} + 1, g + 1), lambda i: {cell('i', 'i')})), 0)"
+    right = f"coalesce(list_sum(list_transform(range({trim_c}, {sh} - g), lambda i: {cell(f'{la} - i', f'{lb} - i')})), 0)"
+    return (f"cast(case when {la} = {lb} then {equal} else list_min(list_transform(range({lo}, {hi} + 1), lambda g: {left} + {right})) "
+            f"+ 4 * abs({la} - {lb}) end as double)")
+
+
+# --- index build ------------------------------------------------------------------------------------------
+
+DEDUP = f"select * from (select *, row_number() over (partition by {', '.join(DEDUP_KEY)} order by src_row) as rn from rec) x where rn = 1"
+oracle("index_dedup", "rec", f"select {', '.join(DEDUP_KEY)}, source_record_id from d", d=DEDUP)
+oracle("source_counts", "rec", "select source, count(*) as n_rows from d group by 1", d=DEDUP)
+oracle("index_metadata", "rec", "select cast(sum(n) as bigint) as rows_total, '1998-01-01' as built_at, 'b1' as build_id, "
+       "string_agg(source || '=' || n, ',' order by source) as per_source from c", d=DEDUP, c="select source, count(*) as n from d group by 1")
+oracle("index_age", "", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as built_at, date_diff('day', cast(o_orderdate as date), date '1998-08-01') as age_days, "
+       "date_diff('day', cast(o_orderdate as date), date '1998-08-01') > 365 as is_stale from orders")
+oracle("refresh_guard", "", "select false as build, 'partial download; kept the existing index' as reason, "
+       "(count(*) filter (where n_nationkey % 7 <> 0)) = count(*) as complete from nation")
+
+
+def clean(x: str) -> str:
+    return f"case when lower(trim({x})) not in ('', 'na', 'nan', '-') then trim({x}) end"
+
+
+oracle("wide_to_long", "wide", f"""
+select 'mcpas:' || row as source_record_id, 'mcpas:' || row as pairing_key, lower(Species) as species, chain, upper(cdr3) as cdr3_aa,
+  upper({clean('v')}) as v_gene, d as d_gene, upper({clean('j')}) as j_gene, Pathology as antigen_organism, MHC as mhc_a,
+  replace(PubMed_ID, 'PMID:', '') as reference_pmid, 'https://friedmanlab.weizmann.ac.il/McPAS-TCR/' as external_url, row * 2 + pos as src_row
+from l where cdr3 is not null""", l=f"""
+select row, Species, Pathology, PubMed_ID, MHC, 'alpha' as chain, 0 as pos, {clean('CDR3_alpha_aa')} as cdr3, TRAV as v, null as d, TRAJ as j from wide
+union all select row, Species, Pathology, PubMed_ID, MHC, 'beta', 1, {clean('CDR3_beta_aa')}, TRBV, TRBD, TRBJ from wide""")
+LABELLED_KEPT = """select * from (select *, row_number() over (partition by cdr3_b_aa, v_b_gene, j_b_gene, epitope_aa, mhc_a order by src_row) as rn
+  from labelled where label = 1 and cdr3_b_aa is not null and v_b_gene is not null and j_b_gene is not null and epitope_aa is not null) x where rn = 1"""
+oracle("labelled_positives", "labelled", "select cdr3_b_aa, v_b_gene, j_b_gene, epitope_aa, mhc_a, antigen, cluster_id from k", k=LABELLED_KEPT)
+oracle("label_counts", "labelled", "select (select count(*) from labelled) as rows_total, (select count(*) from labelled where label = 0) as rows_dropped_negative, "
+       "(select count(*) from k) as rows_kept", k=LABELLED_KEPT)
+
+# --- fields ---------------------------------------------------------------------------------------------------
+
+oracle("na_species_norm", "cells", f"""select rid, {clean('cell')} as cell,
+  case k when 'homosapiens' then 'human' when 'musmusculus' then 'mouse' else k end as species
+  from (select *, replace(lower(trim(coalesce(species, ''))), ' ', '') as k from cells) x""")
+oracle("taxon_species", "cells", """select rid, case when t is null then '' when tax = '9606' then 'human' when tax = '10090' then 'mouse' else lower(t) end as species
+  from (select rid, t, string_split(t, '_')[-1] as tax from (select rid, case when lower(trim(iri)) not in ('', 'na', 'nan', '-')
+    then string_split(rtrim(trim(iri), '/'), '/')[-1] end as t from cells) y) x""")
+oracle("gene_parts", "cells", f"""select rid, upper(trim(gene)) as symbol, {base('gene')} as base, {chain('gene')} as chain,
+  case when length(u) >= 4 and substr(u, 1, 3) in ('TRA','TRB','TRG','TRD') then {label('c')} end as strict_label,
+  case when substr(u, 1, 3) in ('TRA','TRB') then {label('c')} end as alpha_beta,
+  case when length(u) >= 4 and u like 'TR%' and substr(u, 4, 1) in ('V','D','J','C') then substr(u, 4, 1) end as segment,
+  split_part(split_part(gene, '*', 1), '-', 1) as family, regexp_replace({base('gene')}, '-DV([0-9])', '/DV\\1', 'g') as germline_gene
+  from (select *, upper(trim(gene)) as u, {chain('upper(trim(gene))')} as c from cells) x""")
+oracle("reference_ids", "cells", r"""select rid, case when regexp_matches(s, '^[0-9]+$') or (lower(s) like '10.%' and contains(s, '/')) then s end as ref
+  from (select rid, trim(replace(replace(trim(ref), 'PMID:', ''), 'PMID', '')) as s from cells) x""")
+oracle("mhc_cross_species", "rec", f"select src_row, {ORGANISM} as organism, coalesce({ORGANISM} <> lower(trim(species)), false) as cross_species from rec")
+oracle("score_rank_topk", "rec", f"""select cdr3_aa, rank, source_record_id from (select *, row_number() over (partition by cdr3_aa
+  order by {SCORE} desc, source, src_row) as rank from rec) x where rank <= 10""")
+oracle("nonstandard_residues", "", "select c_custkey, coalesce(array_to_string(list_sort(list_distinct(list_filter(string_split(upper(concat(c_name, c_mktsegment)), ''), "
+       "lambda x: not contains('ACDEFGHIKLMNPQRSTVWY', x)))), ','), '') as letters from customer")
+
+
+def classify(q: str, extra: str) -> str:
+    """Subquery text: ``extra`` columns plus kind, norm, id_source, code of column q of table src."""
+    return f"""select {extra}, case when is_id then 'id' when is_gene and contains(t, '*') then 'allele' when is_gene then 'gene_name' when okay and aaonly then 'raw_aa'
+      when okay and frac >= 0.9 then 'raw_nt' when okay then 'raw_aa' else 'unknown' end as kind,
+    case when is_id then t when is_gene then upper(t) when okay then s else t end as norm, case when is_id then lower(split_part(t, ':', 1)) end as id_source,
+    case when is_id or is_gene then null when okay and not aaonly and frac < 0.9 then 'ambiguous_alphabet' when not okay then 'unresolved_input_type' end as code
+  from (select *, regexp_matches(t, '(?i)^(vdjdb|iedb|mcpas|tcr3d):\\w+$') as is_id, regexp_matches(t, '(?i)^TR[ABGD][VDJC][0-9]+(-[0-9]+)?(\\*[0-9]+)?$') as is_gene,
+    regexp_matches(s, '^[ACDEFGHIKLMNPQRSTVWYZX*]+$') as okay, regexp_matches(s, '[EFILPQZX*]') as aaonly,
+    length(regexp_replace(s, '[^ACGT]', '', 'g')) / nullif(length(s), 0) as frac
+    from (select *, trim({q}) as t, replace(upper(trim({q})), ' ', '') as s from src) a) b"""
+
+
+oracle("query_echo", "sentences", "select qid, case when length(query) <= 40 then query end as value, case when length(query) > 40 then length(query) end as length, "
+       "case when length(query) > 40 then sha256(query) end as sha256, kind as detected_type from c", src="select * from sentences", c=classify("query", "qid, query"))
+oracle("allele_routing", "", f"""select p_partkey, case when lower(g) = 'hla-a' then 'A' else replace(upper(g), 'HLA-', '') end as locus,
+  case when regexp_matches(replace(replace(lower(g), '-', ''), '_', ''), '^({'|'.join(MHC_PROJECT_PREFIXES)})') then 'MHC'
+    when upper(g) like 'HLA%' or (length(g) <= 5 and contains(g, '*')) then 'HLA' else 'MHC' end as project,
+  case when upper(g) like 'HLA-%' then substr(g, 5) else g end as prefix
+  from (select p_partkey, case p_partkey % 4 when 0 then 'HLA-A' when 1 then concat('Mamu-', p_brand) when 2 then 'B*07' else p_brand end as g from part) x""")
+
+# --- lookup ----------------------------------------------------------------------------------------------------
+
+IX = f"select *, upper(cdr3_aa) as ic, {base('v_gene')} as iv, {base('j_gene')} as ij, {ORGANISM} as org, {SCORE} as sc from rec"
+SCOPE = "(q.species is null or (ix.species = q.species and (ix.org is null or ix.org = q.species)))"
+REQ = f"""select qid, case when qid % 4 < 3 then upper(cdr3) end as ck, case when qid % 4 >= 2 then {base('v_gene')} end as vk,
+  case when qid % 4 = 3 then {base('j_gene')} end as jk, case when qid % 4 <> 1 then species end as species from ask"""
+HITS = f"""select q.qid, q.species as qs, ix.* from q join ix on (q.ck is null or ix.ic = q.ck) and (q.vk is null or ix.iv = q.vk) and (q.jk is null or ix.ij = q.jk) and {SCOPE}"""
+oracle("exact_lookup", "rec ask", """
+select t.qid, t.rank, t.source_record_id, try_cast(t.score as double) as score, n.concordance, s.total_exact, s.total_matches
+from t join n on n.ic = t.ic and n.qs is not distinct from t.qs join s on s.qid = t.qid""",
+       ix=IX, q=REQ, h=HITS, t="select * from (select *, row_number() over (partition by qid order by sc desc, source, src_row) as rank from h) z where rank <= 20",
+       s="select h.qid, count(*) as total_matches, least(count(*), 20) as total_exact from h group by 1",
+       n=f"select k.ic, k.qs, count(distinct ix.source) as concordance from (select distinct ic, qs, qs as species from t) k join ix on ix.ic = k.ic "
+         f"and (k.species is null or (ix.species = k.species and (ix.org is null or ix.org = k.species))) group by 1, 2")
+oracle("id_lookup", "rec", "select o.o_orderkey as qid, r.source_record_id, r.cdr3_aa, r.species from orders o join rec r on r.source_record_id = 'r:' || o.o_orderkey || ':1'")
+oracle("concordance", "rec", "select upper(cdr3_aa) as cdr3_key, greatest(count(distinct source), 1) as concordance from rec group by 1")
+oracle("sources_searched", "rec", "select string_agg(source, ',' order by source) as sources from (select distinct source from rec) x")
+VJ = f"""select c.cdr3_aa, c.species, {base('v_gene')} as v, {base('j_gene')} as j, count(*) as n from rec c
+  where {base('v_gene')} <> '' and {base('j_gene')} <> '' group by all"""
+oracle("infer_vj", "rec", f"""select cdr3_aa || '/' || species as qid, rank, {label("substr(v, 1, 3)")} as chain, v as v_gene, j as j_gene, n as count
+  from (select *, row_number() over (partition by cdr3_aa, species order by n desc, v, j) as rank from vj) x where rank <= 5""", vj=VJ)
+PAIRED = """select a.species, a.pairing_key, a.cdr3_aa as cdr3_a_aa, a.v_gene as v_a_gene, b.cdr3_aa as cdr3_b_aa, b.v_gene as v_b_gene,
+  coalesce(b.epitope_aa, a.epitope_aa) as epitope_aa, coalesce(b.antigen, a.antigen) as antigen, coalesce(b.mhc_a, a.mhc_a) as mhc_a, a.src_row
+  from f a join f b on a.species = b.species and a.pairing_key = b.pairing_key where a.chain = 'alpha' and b.chain = 'beta'"""
+FIRST = "select * from (select *, row_number() over (partition by species, pairing_key, chain order by src_row) as rn from rec where pairing_key is not null and cdr3_aa is not null) x where rn = 1"
+oracle("paired_reference", "rec", "select species, pairing_key, cdr3_a_aa, v_a_gene, cdr3_b_aa, v_b_gene, epitope_aa, antigen, mhc_a from p", f=FIRST, p=PAIRED)
+oracle("pair_query", "rec", """
+select a.qid, a.pairing_key, a.source, case a.chain when 'alpha' then a.source_record_id else b.source_record_id end as alpha_record_id,
+  case a.chain when 'beta' then a.source_record_id else b.source_record_id end as beta_record_id
+from a join ix b on a.pairing_key = b.pairing_key and b.ic = a.b_cdr3 and b.species = a.species and (b.org is null or b.org = a.species) and a.chain <> b.chain""",
+       f=FIRST, p=PAIRED, ix=IX, q="select pairing_key as qid, cdr3_a_aa, cdr3_b_aa, species from (select *, row_number() over (partition by species, v_a_gene, v_b_gene order by pairing_key) as k from p) x where k = 1",
+       a="select * from (select q.qid, q.cdr3_b_aa as b_cdr3, ix.*, row_number() over (partition by q.qid order by ix.sc desc, ix.source, ix.src_row) as rank "
+         "from q join ix on ix.ic = q.cdr3_a_aa and ix.species = q.species and (ix.org is null or ix.org = q.species)) z where rank <= 500")
+oracle("no_pair_warning", "rec ask", """
+select q.qid, 'no_pairing_found' as code, 'pairs' as block, (select count(*) from ix where ix.ic = q.cdr3_b) as n_second, (select count(*) from a where a.qid = q.qid) as n_first
+from ask q where not exists (select 1 from a join ix b on a.pairing_key = b.pairing_key and b.ic = q.cdr3_b and a.chain <> b.chain where a.qid = q.qid)""",
+       ix=IX, a="select * from (select q.qid, ix.*, row_number() over (partition by q.qid order by ix.sc desc, ix.source, ix.src_row) as rank from ask q join ix on ix.ic = q.cdr3) z where rank <= 500")
+_BAD = ("list_sort(list_distinct(list_filter(string_split(upper(seq), ''), lambda x: not contains('ACDEFGHIKLMNPQRSTVWY', x))))")
+oracle("warnings_log", "", f"""select qid, 'nonstandard_residues' as code, 'records' as block, label || ' query contains non-standard amino acid residue(s): ' || array_to_string(bad, ', ')
+  || '. Any results are best-effort.' as message from (select *, {_BAD} as bad from s) x where len(bad) > 0""",
+       s="select c_custkey as qid, 'cdr3' as label, concat(c_mktsegment, 'ASS') as seq from customer union all select c_custkey, 'cdr3_b', c_name from customer")
+
+# --- similarity ---------------------------------------------------------------------------------------------------
+
+oracle("blosum_distance", "rec", f"select *, {blosum('cdr3_a_aa', 'cdr3_b_aa')} as distance from (select distinct cdr3_a_aa, cdr3_b_aa from p) x", f=FIRST, p=PAIRED)
+PAIR_D = f"select q, c, {blosum('q', 'c')} as d from (select q, c from (select distinct cdr3 as q from ask) a, (select distinct cdr3_aa as c from rec) b) x"
+oracle("neighbours_top25", "rec ask", """
+select qid, rank, source_record_id, d as distance, round(1 - d / greatest(mx, 1), 4) as similarity
+from (select *, max(d) over (partition by qid) as mx, row_number() over (partition by qid order by d, src_row) as rank from n) z where rank <= 25""",
+       ix=IX, q="select qid, cdr3 as ck, case when qid % 2 = 0 then species end as species from ask",
+       ch=f"select distinct q.qid, ix.chain from q join ix on ix.ic = q.ck and {SCOPE}", pd=PAIR_D,
+       n=f"""select q.qid, ix.source_record_id, ix.src_row, pd.d from q join ix on {SCOPE} and ix.ic <> q.ck join pd on pd.q = q.ck and pd.c = ix.ic
+         where not exists (select 1 from ch where ch.qid = q.qid) or exists (select 1 from ch where ch.qid = q.qid and ch.chain = ix.chain)""")
+
+
+def family(g: str) -> str:
+    return f"coalesce(split_part(split_part({g}, '*', 1), '-', 1), '')"
+
+
+BLOCK = f"""select q.qid, q.cdr3, q.v_gene, q.species, r.* exclude (species, v_gene), r.v_gene as rv, {family('q.v_gene')} = {family('r.v_gene')} as fam
+  from ask q join rec r on r.species = q.species and (q.chain is null or r.chain = q.chain)"""
+CHOSEN = "select * from (select *, count(*) filter (where fam) over (partition by qid) as nf from b) x where nf < 5 or fam"
+TOP10 = """select qid, rank, engine, cdr3_b_aa, distance, round(sim, 4) as similarity, src_row from (select *, row_number() over (partition by qid order by distance, src_row) as rank
+  from (select *, 1 - distance / greatest(max(distance) over (partition by qid), 1) as sim from s) y where sim >= {cut}) z where rank <= {k}"""
+oracle("similar_blosum", "rec ask", TOP10.format(cut=0.5, k=10), pd=PAIR_D, b=BLOCK, c=CHOSEN,
+       s="select c.qid, 'blosum_cdr3' as engine, c.cdr3_aa as cdr3_b_aa, pd.d as distance, c.src_row from c join pd on pd.q = c.cdr3 and pd.c = c.cdr3_aa")
+oracle("similar_labelled", "labelled ask", """select qid, rank, cdr3_b_aa, distance, round(sim, 4) as similarity, cluster_id, src_row from (select *, row_number() over (partition by qid order by distance, src_row) as rank
+  from (select *, 1 - distance / greatest(max(distance) over (partition by qid), 1) as sim from s) y) z where rank <= 5""",
+       k=LABELLED_KEPT, b=f"select q.qid, q.cdr3, k.*, {family('q.v_gene')} = {family('k.v_b_gene')} as fam from ask q, k where q.species = 'human'", c=CHOSEN,
+       pd=f"select q, c, {blosum('q', 'c')} as d from (select q, c from (select distinct cdr3 as q from ask) a, (select distinct cdr3_b_aa as c from k) b) x",
+       s="select c.*, pd.d as distance from c join pd on pd.q = c.cdr3 and pd.c = c.cdr3_b_aa")
+oracle("family_block_counts", "rec ask", f"""select q.qid, case when nf >= 5 then {family('q.v_gene')} else '*' end as family, case when nf >= 5 then nf else coalesce(na, 0) end as total_candidates
+  from ask q left join (select qid, count(*) filter (where fam) as nf, count(*) as na from b group by 1) n on n.qid = q.qid""", b=BLOCK)
+LT = """select lower(organism) as organism, id, string_split(cdrs, ';')[1] as cdr1, string_split(cdrs, ';')[2] as cdr2, string_split(cdrs, ';')[3] as cdr25
+  from (select organism, id, min(cdrs) as cdrs from loops group by 1, 2) x where len(string_split(cdrs, ';')) >= 3"""
+oracle("loop_table", "loops", "select * from lt", lt=LT)
+LOOPS = ("cdr1", "cdr2", "cdr25")
+
+
+def loops_of(table: str, gene: str, species: str, tag: str) -> str:
+    pick = ", ".join(f"case when e{tag}.id is not null then e{tag}.{c} else g{tag}.{c} end as {tag}{c}" for c in LOOPS)
+    joins = (f"left join lt e{tag} on e{tag}.organism = {table}.{species} and e{tag}.id = {table}.{gene} "
+             f"left join lt g{tag} on g{tag}.organism = {table}.{species} and g{tag}.id = split_part({table}.{gene}, '*', 1) || '*01'")
+    return pick + "@" + joins
+
+
+def with_loops(source: str, gene: str, species: str, tag: str) -> str:
+    pick, joins = loops_of("t", gene, species, tag).split("@")
+    return f"select t.*, {pick} from {source} t {joins}"
+
+
+PAIR_T = f"select q, c, {tcr('q', 'c', 3, 2, False)} * 3 as d from (select q, c from (select distinct cdr3 as q from ask) a, (select distinct cdr3_aa as c from rec) b) x"
+LOOP_T = "select x, y, {d} as d from (select a.s as x, b.s as y from (select cdr1 as s from lt union select cdr2 from lt union select cdr25 from lt) a, " \
+         "(select cdr1 as s from lt union select cdr2 from lt union select cdr25 from lt) b) z".replace("{d}", tcr("x", "y", 0, 0, True))
+TCR_STEPS = dict(lt=LT, b=BLOCK, c=CHOSEN, ql=with_loops("ask", "v_gene", "species", "q_"), rl=with_loops("rec", "v_gene", "species", "r_"),
+                 u="select c.qid, c.cdr3, c.cdr3_aa, c.src_row, ql.q_cdr1, ql.q_cdr2, ql.q_cdr25, rl.r_cdr1, rl.r_cdr2, rl.r_cdr25 from c join ql on ql.qid = c.qid join rl on rl.src_row = c.src_row",
+                 fit="select qid, bool_or(q_cdr1 is not null and r_cdr1 is not null) as fit, count(*) filter (where r_cdr1 is null) as n_skipped from u group by 1")
+oracle("tcrdist_single", "rec ask loops", TOP10.format(cut=0, k=10), **TCR_STEPS, pt=PAIR_T, pd=PAIR_D, lp=LOOP_T,
+       s="""select u.qid, 'tcrdist' as engine, u.cdr3_aa as cdr3_b_aa, pt.d + l1.d + l2.d + l3.d as distance, u.src_row from u join fit on fit.qid = u.qid and fit.fit
+  join pt on pt.q = u.cdr3 and pt.c = u.cdr3_aa join lp l1 on l1.x = u.q_cdr1 and l1.y = u.r_cdr1 join lp l2 on l2.x = u.q_cdr2 and l2.y = u.r_cdr2
+  join lp l3 on l3.x = u.q_cdr25 and l3.y = u.r_cdr25
+  union all select u.qid, 'blosum_cdr3', u.cdr3_aa, pd.d, u.src_row from u join fit on fit.qid = u.qid and not fit.fit join pd on pd.q = u.cdr3 and pd.c = u.cdr3_aa""")
+oracle("tcrdist_skipped", "rec ask loops", """select qid, 'tcrdist_candidates_skipped' as code, cast(n_skipped as varchar) as n_skipped from fit where fit and n_skipped > 0
+  union all select qid, 'tcrdist_unavailable', null from fit where not fit
+  union all select qid, 'no_reference_candidates', null from ask where qid not in (select qid from fit)""", **TCR_STEPS)
+oracle("tcrdist_paired", "rec ask loops", """select qid, rank, pairing_key, d as distance, round(1 - d / greatest(mx, 1), 4) as similarity
+  from (select *, max(d) over (partition by qid) as mx, row_number() over (partition by qid order by d, src_row) as rank from s) z where rank <= 10""",
+       lt=LT, f=FIRST, p=PAIRED, pa=with_loops("p", "v_a_gene", "species", "pa_"), pb=with_loops("pa", "v_b_gene", "species", "pb_"),
+       qa=with_loops("ask", "v_a", "species", "qa_"), qb=with_loops("qa", "v_gene", "species", "qb_"), lp=LOOP_T,
+       ta=f"select q, c, {tcr('q', 'c', 3, 2, False)} * 3 as d from (select q, c from (select distinct cdr3_b as q from ask) a, (select distinct cdr3_a_aa as c from p) b) x",
+       tb=f"select q, c, {tcr('q', 'c', 3, 2, False)} * 3 as d from (select q, c from (select distinct cdr3 as q from ask) a, (select distinct cdr3_b_aa as c from p) b) x",
+       s="select qb.qid, pb.pairing_key, pb.src_row, ta.d + tb.d + " + " + ".join(f"l{i}.d" for i in range(6)) + " as d from qb join pb on pb.species = qb.species "
+         "join ta on ta.q = qb.cdr3_b and ta.c = pb.cdr3_a_aa join tb on tb.q = qb.cdr3 and tb.c = pb.cdr3_b_aa "
+         + " ".join(f"join lp l{i} on l{i}.x = qb.q{side}_{c} and l{i}.y = pb.p{side}_{c}" for i, (side, c) in enumerate((s, c) for s in "ab" for c in LOOPS)))
