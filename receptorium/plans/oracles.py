@@ -279,3 +279,233 @@ oracle("tcrdist_paired", "rec ask loops", """select qid, rank, pairing_key, d as
        s="select qb.qid, pb.pairing_key, pb.src_row, ta.d + tb.d + " + " + ".join(f"l{i}.d" for i in range(6)) + " as d from qb join pb on pb.species = qb.species "
          "join ta on ta.q = qb.cdr3_b and ta.c = pb.cdr3_a_aa join tb on tb.q = qb.cdr3 and tb.c = pb.cdr3_b_aa "
          + " ".join(f"join lp l{i} on l{i}.x = qb.q{side}_{c} and l{i}.y = pb.p{side}_{c}" for i, (side, c) in enumerate((s, c) for s in "ab" for c in LOOPS)))
+
+# --- sequences and germline ------------------------------------------------------------------------------------
+
+oracle("translate", "germ", f"select segment, ord, {aa('nt')} as aa0, {aa('nt', 1)} as aa1, {aa('nt', 2)} as aa2 from germ")
+oracle("back_translate", "rec", f"select cdr3_aa, {back('s')} as nt from (select distinct cdr3_aa, concat(cdr3_aa, 'X*') as s from rec) x")
+FRAMES = f"select *, {aa('nt')} as a0, {aa('nt', 1)} as a1, {aa('nt', 2)} as a2 from germ"
+
+
+def fewest(p: list[str]) -> str:
+    return f"case when {p[0]} <= {p[1]} and {p[0]} <= {p[2]} then 0 when {p[1]} <= {p[2]} then 1 else 2 end"
+
+
+STOPS = [stops(f"a{f}") for f in range(3)]
+BAD_CODONS = [f"({stops(f'a{f}')} + {stops(f'a{f}', '?')})" for f in range(3)]
+oracle("best_frame", "germ", f"select segment, ord, {fewest(STOPS)} as frame, {fewest(BAD_CODONS)} as frame_unknown from f", f=FRAMES)
+
+
+def cut(nt: str, a: str) -> str:
+    p = f"strpos(reverse(right({a}, 8)), 'C')"
+    return f"case when {p} > 0 then (length({a}) - {p}) * 3 else length({nt}) - length({nt}) % 3 - 3 end"
+
+
+oracle("cys_cut", "germ", f"select ord, {cut('nt', 'a0')} as cut from f where segment = 'V'", f=FRAMES)
+
+
+def motif(a: str) -> str:
+    """0-based residue of the anchor in frame translation a, NULL when unusable."""
+    tight, loose = f"regexp_extract({a}, '[FW]G.G')", f"regexp_extract({a}, '[FW].{{0,2}}?G.G')"
+    at = f"(case when {tight} <> '' then strpos({a}, {tight}) when {loose} <> '' then strpos({a}, {loose}) end)"
+    return f"(case when {at} is not null and strpos(left({a}, cast({at} - 1 as int)), '*') = 0 then {at} - 1 end)"
+
+
+ANCHOR = f"""select *, case when c is not null then c else {fewest(STOPS)} end as frame, case c when 0 then m0 * 3 when 1 then m1 * 3 + 1 when 2 then m2 * 3 + 2 else -1 end as fw
+  from (select *, case when m0 is not null and {STOPS[0]} = 0 then 0 when m1 is not null and {STOPS[1]} = 0 then 1 when m2 is not null and {STOPS[2]} = 0 then 2
+    when m0 is not null then 0 when m1 is not null then 1 when m2 is not null then 2 end as c
+  from (select *, {motif('a0')} as m0, {motif('a1')} as m1, {motif('a2')} as m2 from f) y) x"""
+oracle("j_motif", "germ", "select ord, frame, fw from an where segment = 'J'", f=FRAMES, an=ANCHOR)
+ALLELES = "select * from (select *, row_number() over (partition by species, chain, segment, allele order by ord) as rn from an) x where rn = 1"
+
+
+def unstop(a: str) -> str:
+    return f"case when {a} like '%*' then left({a}, length({a}) - 1) else {a} end"
+
+
+oracle("allele_catalog", "germ", f"""select species, chain, segment, allele, gene, nt, case segment when 'V' then {unstop('a0')}
+  when 'C' then {unstop('cbest')} else (case frame when 0 then a0 when 1 then a1 else a2 end) end as aa from (select *, case {fewest(STOPS)} when 0 then a0 when 1 then a1 else a2 end as cbest from al) x""",
+       f=FRAMES, an=ANCHOR, al=ALLELES)
+REPRESENTATIVE = """select species, chain, segment, gene, ord, coalesce(last01, first) as nt from (select species, chain, segment, gene, min(ord) as ord,
+  arg_max(nt, ord) filter (where contains(allele, '*01')) as last01, arg_min(nt, ord) as first from germ group by all) x"""
+oracle("gene_representative", "germ", "select * from rg", rg=REPRESENTATIVE)
+_FIXED = " union all ".join(f"select '{s}' as species, '{c}' as chain, {len(q)} as len, '{src}' as src" for s, c, q, src in CONSTANT_REGIONS)
+oracle("static_regions", "rec", "select r.species, r.chain, n, len, src as constant_source, case r.species when 'human' then 3 else 0 end as n_d "
+       "from (select species, chain, count(*) as n from rec group by 1, 2) r left join k using (species, chain)", k=_FIXED)
+
+
+def resolved(gene: str, species: str, source: str, tag: str, chain_of: str, segment: str = "V") -> str:
+    """source with {tag}_allele: the requested allele if it exists, else *01, else the lowest name of the gene."""
+    return f"""select s.*, coalesce(e.allele, d.allele) as {tag}_allele from {source} s
+  left join (select * from al where segment = '{segment}') e on e.species = s.{species} and e.chain = {chain('s.' + chain_of)} and e.allele = concat({base('s.' + gene)}, '*', split_part(upper(s.{gene}), '*', 2))
+  left join (select species, chain, gene, coalesce(min(allele) filter (where allele = gene || '*01'), min(allele)) as allele from al where segment = '{segment}' group by 1, 2, 3) d
+    on d.species = s.{species} and d.chain = {chain('s.' + chain_of)} and d.gene = {base('s.' + gene)}"""
+
+
+GENES = "select distinct v_gene, species from rec where v_gene is not null"
+oracle("germline_resolve", "germ rec", "select r.v_gene, r.species, r.v_allele as g_allele_used, al.nt as g_nt from r left join al on al.segment = 'V' and al.species = r.species and al.allele = r.v_allele",
+       f=FRAMES, an=ANCHOR, al=ALLELES, g=GENES, r=resolved("v_gene", "species", "g", "v", "v_gene"))
+oracle("predict_cdr", "germ rec", """select r.v_gene, r.species, r.v_allele as allele, nullif(rtrim(substr(a0, 27, 12), '*'), '') as cdr1_aa, nullif(rtrim(substr(a0, 56, 10), '*'), '') as cdr2_aa,
+  nullif(substr(nt, 79, 36), '') as cdr1_nt, nullif(substr(nt, 166, 30), '') as cdr2_nt from r left join al on al.segment = 'V' and al.species = r.species and al.allele = r.v_allele""",
+       f=FRAMES, an=ANCHOR, al=ALLELES, g=GENES, r=resolved("v_gene", "species", "g", "v", "v_gene"))
+
+
+def overlap(a: str, cdr3: str) -> str:
+    """[k, end] of the longest usable overlap, NULL when none."""
+    head = f"left({a}, 15)"
+    opts = (f"list_filter(list_transform(range(cast(least(length({cdr3}), length({head})) as int), 0, -1), lambda k: [k, strpos({head}, right({cdr3}, k)) - 1 + k]), "
+            f"lambda p: strpos({head}, right({cdr3}, p[1])) > 0 and strpos(left({head}, p[2]), '*') = 0)")
+    return f"{opts}[1]"
+
+
+def rebuilt(source: str) -> dict[str, str]:
+    """CTEs from source(v_gene, j_gene, cdr3_aa, species) to rb with the assembled sequences."""
+    return dict(
+        rv=resolved("v_gene", "species", source, "v", "v_gene"), rj=resolved("j_gene", "species", "rv", "j", "v_gene", "J"),
+        rw=f"""select rj.*, v.nt as v_nt, v.a0 as v_aa, j.nt as j_nt, j.frame, j.fw, j.a0, j.a1, j.a2, {back('rj.cdr3_aa')} as cdr3_n, left(v.nt, cast({cut('v.nt', 'v.a0')} as int)) as vp,
+  {overlap('j.a0', 'rj.cdr3_aa')} as o0, {overlap('j.a1', 'rj.cdr3_aa')} as o1, {overlap('j.a2', 'rj.cdr3_aa')} as o2 from rj
+  left join al v on v.segment = 'V' and v.species = rj.species and v.allele = rj.v_allele left join al j on j.segment = 'J' and j.species = rj.species and j.allele = rj.j_allele""",
+        rx="""select *, case when ko = o0[1] then 0 when ko = o1[1] then 1 else 2 end as of from (select *, greatest(o0[1], o1[1], o2[1]) as ko from rw) x""",
+        ry="""select *, substr(j_nt, 1 + (case when ko is not null then of + 3 * (case of when 0 then o0[2] when 1 then o1[2] else o2[2] end) when fw >= 0 then fw + 3 else frame end)) as js from rx""",
+        rz="select *, case when v_nt is not null and j_nt is not null then concat(vp, cdr3_n, js) end as nt_full from ry",
+        rb=f"select *, nullif(rtrim({aa('nt_full')}, '*'), '') as aa_full, case when nt_full is not null then {aa('vp')} end as vp_aa from rz")
+
+
+GERM = dict(f=FRAMES, an=ANCHOR, al=ALLELES)
+_CONST_LEN = "case {c} when 'TRB' then (case species when 'mouse' then %d else %d end) when 'TRA' then (case species when 'mouse' then %d else %d end) end" % tuple(
+    len(next(q for s, c, q, _ in CONSTANT_REGIONS if (s, c) == k)) for k in (("mouse", "beta"), ("human", "beta"), ("mouse", "alpha"), ("human", "alpha")))
+oracle("reconstruct_chain", "germ rec", f"""select src_row, {base('v_gene')} as v_gene, {base('j_gene')} as j_gene, v_allele as v_allele_used, j_allele as j_allele_used, cdr3_n as cdr3_nt,
+  nt_full as full_nt, aa_full as full_aa, length(aa_full) + {_CONST_LEN.format(c=chain('v_gene'))} as chain_len, v_nt is not null as v_found, j_nt is not null as j_found from rb""",
+       **GERM, src="select * from rec where v_gene is not null and j_gene is not null", **rebuilt("src"))
+oracle("enrich_records", "germ rec", """select src_row, coalesce(cdr3_nt, case when ok then cdr3_n end) as cdr3_nt, case when cdr3_nt is not null then 'deposited' when ok then 'reconstructed' end as cdr3_nt_kind,
+  coalesce(dep_aa, case when ok then aa_full end) as full_aa, case when dep_aa is not null then 'deposited' when ok and aa_full is not null then 'reconstructed' end as full_aa_kind,
+  case when ok then nt_full end as full_nt, case when ok then 'reconstructed' end as full_nt_kind, ok as nt_is_synthetic, case when ok then vp_aa end as v_germline_aa, case when ok then js end as j_region_nt
+  from (select *, case when src_row % 5 = 0 then 'MKV' end as dep_aa, coalesce(v_gene is not null and j_gene is not null and cdr3_nt is null and nt_full is not null, false) as ok from rb) x""",
+       **GERM, **rebuilt("rec"))
+oracle("reconstruct_inferred", "germ rec ask", f"""select qid, coalesce({base('v_gene')}, '') as v_gene, {base('j_gene')} as j_gene, n is not null as genes_inferred, n as inference_support, alts as alternatives,
+  case when v0 is null and j0 is null and n is null or (v0 is null or j0 is null) and n is null then '' else cdr3_n end as cdr3_nt,
+  case when (v0 is null or j0 is null) and n is null then v0 is not null else v_nt is not null end as v_found,
+  case when (v0 is null or j0 is null) and n is null then j0 is not null else j_nt is not null end as j_found,
+  case when (v0 is null or j0 is null) and n is null then null else nt_full end as full_nt from rb""",
+       **GERM, vj=VJ, q0="select qid, cdr3 as cdr3_aa, case when qid % 3 = 1 then v_gene end as v0, case when qid % 3 = 2 then j_gene end as j0, species from ask",
+       op=f"""select q0.qid, t.v, t.j, t.n, t.rank from q0 join (select *, row_number() over (partition by cdr3_aa, species order by n desc, v, j) as rank from vj) t
+         on t.cdr3_aa = q0.cdr3_aa and t.species = q0.species and t.rank <= 5 where (v0 is null or {base('v0')} = t.v) and (j0 is null or {base('j0')} = t.j)""",
+       ag="select qid, arg_min(v, rank) as bv, arg_min(j, rank) as bj, arg_min(n, rank) as n, string_agg(v || '/' || j || ' (n=' || n || ')', ';' order by rank) as alts from op group by 1",
+       src="select q0.*, coalesce(v0, bv) as v_gene, coalesce(j0, bj) as j_gene, n, alts from q0 left join ag using (qid)", **rebuilt("src"))
+WORDS = "list_distinct(list_transform(range(1, greatest(length({s}) - 5, 1)), lambda i: substr({s}, i, 7)))"
+oracle("kmer_annotate", "germ seqs", """select s.seq_id, v.gene as v_call, v.sc as v_score, j.gene as j_call, case when v.gene is not null then coalesce(j.sc, 0) end as j_score,
+  coalesce(case v.chain when 'TRA' then 'alpha' when 'TRB' then 'beta' end, 'unknown') as chain, case when s.is_protein then 'low' else 'medium' end as confidence,
+  concat_ws(',', case when s.is_protein then 'aa_annotation_limited' end, case when v.chain = 'TRB' then 'd_segment_unresolved' end) as warnings
+  from sq s left join v on v.seq_id = s.seq_id left join jb j on j.seq_id = s.seq_id and j.chain = v.chain""",
+       rg=REPRESENTATIVE, sq=f"select seq_id, species, is_protein, case when is_protein then {aa('seq')} else seq end as seq from seqs",
+       gf=f"select species, chain, segment, gene, ord, false as p, nt as s from rg where segment in ('V','J') union all select species, chain, segment, gene, ord, true, rtrim({aa('nt')}, '*') from rg where segment in ('V','J')",
+       gw=f"select species, chain, segment, gene, ord, p, unnest({WORDS.format(s='s')}) as w, len({WORDS.format(s='s')}) as n from gf where length(s) >= 7",
+       sw=f"select seq_id, species, is_protein, unnest({WORDS.format(s='seq')}) as w from sq where length(seq) >= 7",
+       sc="select sw.seq_id, gw.segment, gw.chain, gw.gene, gw.ord, 100.0 * count(*) / gw.n as x from sw join gw on gw.species = sw.species and gw.p = sw.is_protein and gw.w = sw.w group by 1, 2, 3, 4, 5, gw.n",
+       jb="select seq_id, chain, gene, cast(round(x, 2) as double) as sc from (select *, row_number() over (partition by seq_id, chain order by x desc, ord) as k from sc where segment = 'J') y where k = 1",
+       vb="select seq_id, chain, gene, cast(round(x, 2) as double) as sc from (select *, row_number() over (partition by seq_id, chain order by x desc, ord) as k from sc where segment = 'V') y where k = 1",
+       v="select * from (select *, row_number() over (partition by seq_id order by sc desc, chain) as k from vb where sc > 0) y where k = 1")
+
+# --- parsing and routing --------------------------------------------------------------------------------------------
+
+oracle("route_type", "sentences", "select qid, n, kind as detected_type, norm as normalized, id_source, code from c",
+       src="select qid, generate_subscripts(string_split(query, ' '), 1) - 1 as n, unnest(string_split(query, ' ')) as word from sentences union all select qid, -1, query from sentences", c=classify("word", "qid, n"))
+TOK = r"list_filter(regexp_split_to_array(trim(query), '[\s,;]+'), lambda x: x <> '')"
+WORDL = "regexp_split_to_array(lower(query), '[^a-z]+')"
+_SPW = "list_filter({w}, lambda x: x in ('mouse','murine','souris','human','humain','homo'))[1]".format(w=WORDL)
+PARSED = f"""select *, case when {_SPW} in ('mouse','murine','souris') then 'mouse' when {_SPW} is not null then 'human' end as p_species,
+  list_filter({TOK}, lambda x: regexp_matches(upper(x), '^C[ACDEFGHIKLMNPQRSTVWY]{{7,21}}$'))[1] as p_cdr3, list_filter({TOK}, lambda x: regexp_matches(upper(x), '^TR[ABGD]V.'))[1] as p_v,
+  list_filter({TOK}, lambda x: regexp_matches(upper(x), '^TR[ABGD]J.'))[1] as p_j, list_filter({TOK}, lambda x: regexp_matches(lower(x), '^(vdjdb|iedb|mcpas|tcr3d):'))[1] as p_id from sentences"""
+oracle("parse_text", "sentences", "select qid, p_species as species, p_cdr3 as cdr3_aa, p_v as v_gene, p_j as j_gene, p_id as record_id from p", p=PARSED)
+
+
+def any_of(words: list[str]) -> str:
+    return "(" + " or ".join(f"contains(lower(query), '{w}')" for w in words) + ")"
+
+
+oracle("keyword_filters", "sentences", f"""select qid, source, species, region, gene_name, sequence_contains, case when pep is distinct from sequence_contains then pep end as antigen_epitope from (select *,
+  case when contains(lower(query), 'hla') then 'hla' when {any_of(MHC_WORDS)} then 'mhc' when {any_of(IEDB_WORDS)} then 'iedb' when {any_of(VDJDB_WORDS)} then 'vdjdb' when {any_of(TCR_WORDS)} then 'tcr' end as source,
+  case when {any_of(['human', 'homo sapiens'])} then 'human' when {any_of(['mouse', 'mus musculus'])} then 'mouse' end as species,
+  case {' '.join(f"when contains(lower(query), '{r}') then '{r}'" for r in REGION_WORDS)} end as region,
+  nullif(regexp_extract(query, '\\b([A-Z]{{2,6}}[A-Z0-9-]*\\*?[0-9:]*)\\b', 1), '') as gene_name, nullif(regexp_extract(upper(query), '\\b([ACGT]{{8,}})\\b', 1), '') as sequence_contains,
+  nullif(regexp_extract(upper(query), '\\b([ACDEFGHIKLMNPQRSTVWY]{{8,15}})\\b', 1), '') as pep from (select qid, query from sentences) s) x""")
+oracle("plan_intent", "sentences", f"""select qid, 'heuristic' as plan_source, intent, case when intent = 'dossier' and (v <> '' or j <> '') then coalesce(nullif(cdr3, ''), nullif(v, ''), j) when intent = 'dossier' then plain
+    when intent = 'search' then query end as query,
+  case when intent = 'similar' then coalesce(nullif(cdr3, ''), list_filter(t2, lambda x: upper(x) like 'CAS%')[1], '') else cdr3 end as cdr3_aa,
+  case when intent = 'similar' then coalesce(nullif(v, ''), list_filter(t2, lambda x: upper(x) like 'TRBV%')[1], '') else v end as v_gene,
+  case when intent = 'similar' then coalesce(nullif(j, ''), list_filter(t2, lambda x: upper(x) like 'TRBJ%')[1], '') else j end as j_gene
+  from (select *, case when {any_of(SIMILAR_WORDS)} then 'similar' when v <> '' or j <> '' then 'dossier' when cdr3 <> '' then 'similar' when plain is not null then 'dossier' else 'search' end as intent,
+    regexp_split_to_array(replace(query, ',', ' '), '\\s+') as t2 from (select s.qid, s.query, coalesce(k.cdr3, '') as cdr3, coalesce(k.v, '') as v, coalesce(k.j, '') as j, k.plain from sentences s left join k on k.qid = s.qid) y) x""",
+       src=r"select qid, generate_subscripts(regexp_split_to_array(trim(query), '\s+'), 1) as n, unnest(regexp_split_to_array(trim(query), '\s+')) as word from sentences",
+       c=classify("word", "qid, n, word"),
+       k="""select qid, arg_min(word, n) filter (where kind = 'raw_aa' and length(word) between 8 and 22) as cdr3, arg_min(word, n) filter (where regexp_matches(upper(word), '^TR[ABGD]V.')) as v,
+         arg_min(word, n) filter (where regexp_matches(upper(word), '^TR[ABGD]J.')) as j, arg_min(word, n) filter (where kind <> 'unknown' and code is null) as plain from c where word <> '' group by 1""")
+oracle("route_tools", "sentences", """select qid, kind as detected_type, coalesce(species, p_species) as species, note, step - 1 as step, tool,
+  case when forced and not (p_cdr3 is not null and p_v is not null and p_j is not null) then 'similarity needs a CDR3 with V and J genes' end as warning
+  from (select *, unnest(string_split(tools, ',')) as tool, generate_subscripts(string_split(tools, ','), 1) as step from r) z""",
+       p=PARSED, src="select *, trim(query) as word from p", c=classify("word", "qid, query, species, p_species, p_cdr3, p_v, p_j, p_id, word"),
+       r="""select *, qid % 10 = 0 as forced, case when qid % 10 = 0 then 'similar' when kind in ('id', 'gene_name', 'allele') then 'records' when kind = 'raw_nt' then 'assign' when kind = 'raw_aa' and cd then 'records,assign'
+  when kind = 'raw_aa' then 'assign' when coalesce(p_id, p_cdr3, p_v, p_j) is not null then 'records' else 'ask' end as tools,
+  case when qid % 10 = 0 then 'forced similar' when kind = 'id' then 'database id lookup' when kind in ('gene_name', 'allele') then 'gene lookup' when kind = 'raw_nt' then 'nucleotide sequence, germline assignment'
+  when kind = 'raw_aa' and cd then 'amino acid CDR3, known records and germline assignment (J only, V needs framework)' when kind = 'raw_aa' then 'amino acid sequence, germline assignment'
+  when coalesce(p_id, p_cdr3, p_v, p_j) is not null then 'parsed a phrase into records filters' else 'free text, routed to ask' end as note
+  from (select *, regexp_matches(upper(word), '^C[ACDEFGHIKLMNPQRSTVWY]{7,21}$') as cd from c) y""")
+FLT = """select s_suppkey as qid, concat('brand#', s_suppkey % 5) as g, case when s_suppkey % 3 = 0 then 'steel' end as r, case when s_suppkey % 4 = 0 then 'human' end as sp,
+  case when s_suppkey % 2 = 0 then 'acg' end as sq from supplier"""
+oracle("allele_search", "uploads", """select qid, rank - 5 + 5 as rank, allele_name, ord from (select *, row_number() over (partition by qid order by part, ord) as rank from u) z where rank between 6 and 25""", flt=FLT,
+       m="""select f.qid, u.* from flt f join uploads u on contains(lower(u.gene_name), f.g) and (f.r is null or contains(lower(u.region), f.r)) and (f.sp is null or f.sp = lower(coalesce(u.species, '')))
+         and (f.sq is null or contains(lower(u.sequence), f.sq))""",
+       u="select *, 0 as part from m where ord % 2 = 0 union all select m.*, 1 from m where not exists (select 1 from m x where x.ord % 2 = 0 and x.qid = m.qid and x.allele_name = m.allele_name)")
+oracle("dna_extract", "texts", r"""select doc_id, n, concat('text-seq-', n) as gene_name, upper(s) as sequence from (select doc_id, unnest(l) as s, generate_subscripts(l, 1) as n
+  from (select doc_id, regexp_extract_all(value, '(?i)\b[ACGT]{12,}\b') as l from texts) y) x""")
+oracle("fasta_headers", "uploads", """select case when contains(h, 'homo sapiens') or contains(h, 'human') then 'human' when contains(h, 'mus musculus') or contains(h, 'mouse') then 'mouse' else 'other' end as species,
+  case when ord % 3 = 0 then coalesce(nullif(regexp_extract(header, '\\b([A-Z]{1,4}[A-Z0-9-]*\\*?[0-9:]*)\\b', 1), ''), 'unknown') else gene_name end as gene_name, allele_name, region, upper(sequence) as sequence,
+  regexp_split_to_array(header, '\\s+')[1] as record_id
+  from (select *, lower(header) as h from (select *, concat_ws('|', allele_name, case when ord % 3 = 0 then '' else gene_name end, region, coalesce(species, 'Mus musculus')) as header from uploads) y) x""")
+oracle("upload_rows", "uploads", """select 'upload' as source, coalesce(species, 'other') as species, gene_name, case when ord % 2 = 0 then allele_name end as allele_name, region,
+  case when ord % 3 <> 0 then sequence else 'CASS' end as sequence from uploads where ord % 3 <> 0""")
+oracle("export_rows", "rec", """select case species when 'human' then 'human' else 'other' end as species, coalesce(v_gene, 'unknown') as gene_name, mhc_a as allele_name, 'CDR3' as region, cdr3_aa as sequence,
+  epitope_aa as antigen_epitope, count(*) as n from rec group by all""")
+oracle("fasta_sink", "rec", "select src_row, '>' || source_record_id || chr(10) || cdr3_aa as value from rec")
+
+# --- profiles, alignment statistics, epitopes ---------------------------------------------------------------------------
+
+GEN = f"select species, chain, source, cdr3_aa, {base('v_gene')} as v, {base('j_gene')} as j from rec where {base('v_gene')} <> '' and {base('j_gene')} <> ''"
+for _seg in "vj":
+    oracle(f"usage_{_seg}", "rec", """select species, chain, gene, round(sum(n) / any_value(total), 6) as freq, round(coalesce(stddev_samp(share), 0), 5) as std from y group by 1, 2, 3""",
+           g=GEN, s=f"select distinct species, chain, source from g", ge=f"select distinct species, chain, {_seg} as gene from g",
+           x=f"select s.species, s.chain, s.source, ge.gene, count(g.source) as n from s join ge on ge.species = s.species and ge.chain = s.chain left join g on g.species = s.species and g.chain = s.chain "
+             f"and g.source = s.source and g.{_seg} = ge.gene group by 1, 2, 3, 4",
+           y="select *, cast(n as double) / sum(n) over (partition by species, chain, source) as share, sum(n) over (partition by species, chain) as total from x")
+LEN = "select species, chain, v, j, length(cdr3_aa) as len, cdr3_aa from g where length(cdr3_aa) between 7 and 22"
+oracle("cdr3_length_dist", "rec", "select *, round(n / sum(n) over (partition by species, chain, v, j), 6) as share from c", g=GEN, l=LEN, c="select species, chain, v, j, len, count(*) as n from l group by 1, 2, 3, 4, 5")
+oracle("aa_position_freq", "rec", "select *, round(n / sum(n) over (partition by species, chain, v, j, len, pos), 6) as share from c", g=GEN, l=LEN,
+       c="select species, chain, v, j, len, pos, aa, count(*) as n from (select species, chain, v, j, len, unnest(string_split(cdr3_aa, '')) as aa, unnest(range(0, length(cdr3_aa))) as pos from l) x group by all")
+ALN = "select concat_ws('|', v_gene, cast(length(cdr3_aa) as varchar)) as set_id, src_row as ord, translate(cdr3_aa, 'P', '-') as aligned from rec where v_gene is not null"
+CELL = "select set_id, ord, unnest(string_split(aligned, '')) as ch, unnest(range(0, length(aligned))) as pos from aln"
+oracle("alignment_consensus", "rec", """select set_id, string_agg(case when ch is null then '-' when n > nrows / 2.0 then ch else 'X' end, '' order by pos) as consensus,
+  string_agg(printf('%.3f', round(coalesce(n, 0) / nrows, 3)), ',' order by pos) as conservation
+  from (select t.set_id, t.pos, t.nrows, b.ch, b.n from t left join b on b.set_id = t.set_id and b.pos = t.pos) x group by 1""", aln=ALN, ce=CELL,
+       t="select set_id, pos, count(*) as nrows from ce group by 1, 2", k="select set_id, pos, ch, count(*) as n, min(ord) as fo from ce where ch <> '-' group by 1, 2, 3",
+       b="select * from (select *, row_number() over (partition by set_id, pos order by n desc, fo) as r from k) z where r = 1")
+oracle("mean_identity", "rec", """select z.set_id, case when nrows < 2 then 100.0 else round(coalesce(sum(tot), 0) / (nrows * (nrows - 1) / 2.0), 2) end as mean_pct_identity
+  from z left join pp on pp.set_id = z.set_id group by z.set_id, nrows""", aln=ALN,
+       pt="select *, regexp_replace(aligned, '[^-]', 'x', 'g') as pat, length(aligned) as len from aln", z="select set_id, count(*) as nrows from aln group by 1",
+       ce="select set_id, pat, len, unnest(string_split(aligned, '')) as ch, unnest(range(0, len)) as pos from pt",
+       k="select set_id, pat, len, pos, ch, count(*) as n from ce where ch <> '-' group by all",
+       gap="select a.set_id, a.pat as p1, b.pat as p2, a.len - list_sum(list_transform(range(1, a.len + 1), lambda i: case when substr(a.pat, i, 1) = '-' and substr(b.pat, i, 1) = '-' then 1 else 0 end)) as cols "
+           "from (select distinct set_id, pat, len from pt) a join (select distinct set_id, pat from pt) b on a.set_id = b.set_id and a.pat <= b.pat",
+       pp="select gap.set_id, 100.0 * sum(case when p1 = p2 then a.n * (a.n - 1) / 2.0 else a.n * b.n end) / any_value(cols) as tot from gap join k a on a.set_id = gap.set_id and a.pat = p1 "
+          "join k b on b.set_id = gap.set_id and b.pat = p2 and a.pos = b.pos and a.ch = b.ch group by gap.set_id, p1, p2")
+oracle("codon_thread", "rec", f"""select cdr3_aa, array_to_string(list_transform(string_split(cdr3_aa, ''), lambda x: case x when 'G' then '---' || {BACK}[x] || '---' else {BACK}[x] end), '') as threaded
+  from (select distinct cdr3_aa from rec) x""")
+oracle("resolve_align_sets", "germ ask", f"""
+select cast(qid as varchar) as set_id, r.gene as name, case when qid % 5 = 0 then best else r.nt end as seq, null as code from nm join r on r.species = nm.species and r.gene = nm.b and r.chain = substr(b, 1, 3) and r.segment = substr(b, 4, 1)
+union all select cast(qid as varchar), 'gene ' || g || ' not resolvable from germline', null, 'ambiguous_gene' from nm where not exists (select 1 from r where r.species = nm.species and r.gene = nm.b and r.chain = substr(b, 1, 3))
+union all select cast(qid as varchar), r.gene, case when qid % 5 = 0 then best else r.nt end, null from ask join r on r.species = ask.species and r.chain = 'TRB' and r.segment = 'J' where qid % 2 <> 0 and qid % 3 <> 0
+union all select cast(qid as varchar), 'segment D not available in the germline source for TRB/' || species, null, 'segment_unavailable' from ask where qid % 2 <> 0 and qid % 3 = 0""",
+       rg=REPRESENTATIVE, r=f"select *, case {fewest(BAD_CODONS)} when 0 then a0 when 1 then a1 else a2 end as best from (select *, {aa('nt')} as a0, {aa('nt', 1)} as a1, {aa('nt', 2)} as a2 from rg) x",
+       nm=f"select *, {base('g')} as b from (select qid, species, unnest([v_gene, j_gene, 'TRBV99']) as g from ask where qid % 2 = 0) x")
+oracle("known_epitopes", "rec ask", """select qid, string_agg(epitope_aa, ',' order by src_row) filter (where k <= 5) as epitopes, count(*) as total from (select q.qid, r.epitope_aa, r.src_row,
+  row_number() over (partition by q.qid order by r.src_row) as k from ask q join rec r on r.epitope_aa is not null and r.species = q.species and split_part(r.v_gene, '*', 1) = split_part(q.v_gene, '*', 1)) x group by 1""")
+oracle("trailing_count", "requests", """select event_id, key, count(*) over (partition by key order by ts range between interval 60 seconds preceding and current row) as n_trailing from requests""")
