@@ -83,28 +83,33 @@ def cys_cut(nt: Column) -> Column:
     return F.when(from_end > 0, (F.length(aa) - from_end) * 3).otherwise(whole)
 
 
-def j_anchor(nt: Column) -> Column:
-    """struct(frame, fw): reading frame of a J segment and offset of its F/W118 codon (-1 if none).
+def frames(nt: Column) -> list[Column]:
+    """Translations in the three frames, to be stored as columns ``aa0`` to ``aa2``."""
+    return [translate(nt, f).alias(f"aa{f}") for f in range(3)]
+
+
+def fewest_stops(aa: list[Column]) -> Column:
+    counts = [count_of(x, "*") for x in aa]
+    return F.when((counts[0] <= counts[1]) & (counts[0] <= counts[2]), 0).when(counts[1] <= counts[2], 1).otherwise(2)
+
+
+def j_anchor(aa: list[Column]) -> Column:
+    """struct(frame, fw): reading frame of a J segment and offset of its F/W118 codon (-1 if none), from its
+    translations in the three frames.
 
     Per frame the tight motif ``[FW]G.G`` is preferred to the loose one; a stop before the motif
     rejects the frame; a stop-free frame beats the others, then the lowest frame.
     """
     options = []
-    for frame in range(3):
-        aa = translate(nt, frame)
-        tight = F.regexp_instr(aa, F.lit("[FW]G.G"))
-        at = F.when(tight > 0, tight).otherwise(F.regexp_instr(aa, F.lit("[FW].{0,2}?G.G")))
-        usable = (at > 0) & ~F.left(aa, at - 1).contains("*")
+    for frame, x in enumerate(aa):
+        tight = F.regexp_instr(x, F.lit("[FW]G.G"))
+        at = F.when(tight > 0, tight).otherwise(F.regexp_instr(x, F.lit("[FW].{0,2}?G.G")))
+        usable = (at > 0) & ~F.left(x, at - 1).contains("*")
         options.append(F.when(usable, F.struct(
-            F.when(count_of(aa, "*") > 0, 1).otherwise(0).alias("stops"),
-            F.lit(frame).alias("frame"),
-            ((at - 1) * 3 + frame).cast("int").alias("fw"),
-        )))
+            F.when(x.contains("*"), 1).otherwise(0).alias("stops"), F.lit(frame).alias("frame"),
+            ((at - 1) * 3 + frame).cast("int").alias("fw"))))
     best = F.array_min(F.array(*options))  # NULL options are skipped
-    return F.struct(
-        F.coalesce(best["frame"], best_frame(nt)).alias("frame"),
-        F.coalesce(best["fw"], F.lit(-1)).alias("fw"),
-    )
+    return F.struct(F.coalesce(best["frame"], fewest_stops(aa)).alias("frame"), F.coalesce(best["fw"], F.lit(-1)).alias("fw"))
 
 
 def overlap_end(j_aa: Column, cdr3: Column) -> Column:
@@ -123,27 +128,25 @@ def overlap_end(j_aa: Column, cdr3: Column) -> Column:
     return F.get(F.filter(F.transform(sizes, probe), lambda x: x.isNotNull()), F.lit(0))
 
 
-def framework_after_cdr3(j_nt: Column, j_aa: list[Column], anchor: Column, cdr3: Column) -> Column:
-    """struct(nt, aa): the part of a J segment that follows the CDR3.
+def longest_overlap(hits: list[Column]) -> Column:
+    """struct(rank, frame, end): best of the overlaps in the three frames, the lowest frame on ties."""
+    return F.array_min(F.array(*[F.when(h.isNotNull(), F.struct(
+        (-h["k"]).alias("rank"), F.lit(f).alias("frame"), h["end"].alias("end"))) for f, h in enumerate(hits)]))
 
-    Longest overlap over the three frames, lowest frame first; without an overlap it starts after
-    the F/W118 codon, without a motif at the reading frame.
-    """
-    options = []
-    for frame in range(3):
-        hit = overlap_end(j_aa[frame], cdr3)
-        options.append(F.when(hit.isNotNull(), F.struct(
-            (-hit["k"]).alias("rank"), F.lit(frame).alias("frame"), hit["end"].alias("end"))))
-    best = F.array_min(F.array(*options))
+
+def framework_start(best: Column, anchor: Column) -> Column:
+    """struct(start, frame) of the part of a J segment that follows the CDR3: after the longest overlap, else after
+    the F/W118 codon, else from the reading frame."""
     start = F.when(best.isNotNull(), best["frame"] + best["end"] * 3) \
         .when(anchor["fw"] >= 0, anchor["fw"] + 3).otherwise(anchor["frame"])
-    frame = F.coalesce(best["frame"], anchor["frame"])
-    aa_start = F.floor((start - frame) / 3).cast("int")
-    aa = F.when(frame == 0, j_aa[0]).when(frame == 1, j_aa[1]).otherwise(j_aa[2])
-    return F.struct(
-        j_nt.substr(start + 1, F.length(j_nt)).alias("nt"),
-        aa.substr(aa_start + 1, F.length(aa)).alias("aa"),
-    )
+    return F.struct(start.alias("start"), F.coalesce(best["frame"], anchor["frame"]).alias("frame"))
+
+
+def framework_after_cdr3(j_nt: Column, j_aa: list[Column], at: Column) -> Column:
+    """struct(nt, aa) of that part."""
+    aa = F.when(at["frame"] == 0, j_aa[0]).when(at["frame"] == 1, j_aa[1]).otherwise(j_aa[2])
+    return F.struct(j_nt.substr(at["start"] + 1, F.length(j_nt)).alias("nt"),
+                    aa.substr(F.floor((at["start"] - at["frame"]) / 3).cast("int") + 1, F.length(aa)).alias("aa"))
 
 
 def loop_aa(aa: Column, span: tuple[int, int]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from receptorium.constants import CHAIN_LABELS, CHAINS, KMER
 from receptorium.functions import sequence, text
+from receptorium.session import small
 from receptorium.sources.germline import germline_species
 
 LIMITED_MESSAGE = "protein input yields V-region annotation only; no D and no junction nt"
@@ -32,7 +33,7 @@ def annotate_kmer(sequences: DataFrame, genes: DataFrame, k: int = KMER) -> Data
     distinct = s.select("_sp", "seq", "is_protein").distinct()
     words = distinct.select("_sp", "seq", "is_protein", F.explode(sequence.kmers(F.col("seq"), k)).alias("word"))
     germ = germline_words(genes, k).withColumnRenamed("species", "_sp")
-    shared = words.join(germ, ["_sp", "is_protein", "word"]).groupBy("_sp", "seq", "is_protein", "segment", "chain", "gene", "ord", "n_words") \
+    shared = words.join(small(germ, 500_000), ["_sp", "is_protein", "word"]).groupBy("_sp", "seq", "is_protein", "segment", "chain", "gene", "ord", "n_words") \
         .agg(F.count(F.lit(1)).alias("n"))
     scored = shared.withColumn("score", F.lit(100.0) * F.col("n") / F.col("n_words"))
     by_chain = scored.groupBy("_sp", "seq", "is_protein", "segment", "chain").agg(

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from receptorium.session import cut_lineage, small
 
 
 def _pieces(df: DataFrame, block: list[str], name: str, size: int) -> DataFrame:
@@ -22,7 +24,8 @@ def meet(left: DataFrame, right: DataFrame, block: list[str], left_id: list[str]
 
     ``left_id`` and ``right_id`` name the columns whose hash picks the piece.
     """
-    plan = _pieces(left, block, "_nl", left_size).join(_pieces(right, block, "_nr", right_size), block)
+    right = right.toDF(*right.columns)  # fresh column identities, so that a set can meet itself
+    plan = small(cut_lineage(_pieces(left, block, "_nl", left_size).join(_pieces(right, block, "_nr", right_size), block)))
     l = (left.join(plan, block)
          .withColumn("_l", F.pmod(F.xxhash64(*left_id), F.col("_nl")).cast("int"))
          .withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_nr") - 1))).drop("_nl", "_nr"))
@@ -35,7 +38,5 @@ def meet(left: DataFrame, right: DataFrame, block: list[str], left_id: list[str]
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of every key; Spark trims each task's rows before the shuffle."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)

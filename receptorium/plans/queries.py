@@ -307,7 +307,8 @@ def cys_cut(spark, sf):
 
 @query
 def j_motif(spark, sf):
-    a = _entries(spark, sf).filter("segment = 'J'").withColumn("a", sequence.j_anchor(_c("nt")))
+    j = _entries(spark, sf).filter("segment = 'J'").select("ord", *sequence.frames(_c("nt")))
+    a = j.withColumn("a", sequence.j_anchor([_c(f"aa{f}") for f in range(3)]))
     return a.select("ord", _c("a.frame").cast("long").alias("frame"), _c("a.fw").cast("long").alias("fw"))
 
 

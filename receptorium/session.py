@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(app: str = "receptorium", cores: str = "8", memory: str = "12g") -> SparkSession:
@@ -31,6 +31,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="receptorium-checkpoint-"))
 
 
+BROADCAST_ROWS = 50_000
+
+
+def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast when a count proves it has at most ``max_rows`` rows; else unchanged, so
+    that Spark joins it by shuffle."""
+    fits = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if fits else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files."""
     ensure_checkpoint_dir(df.sparkSession)

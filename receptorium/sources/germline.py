@@ -52,13 +52,13 @@ def allele_catalog(entries: DataFrame) -> DataFrame:
     """Distinct alleles with their translation; the first of a repeated name wins."""
     key = ["species", "chain", "segment", "allele"]
     first = entries.groupBy(*key).agg(F.min_by("nt", "ord").alias("nt"), F.min("ord").alias("ord"))
-    nt = F.col("nt")
-    frame = sequence.j_anchor(nt)["frame"]
-    j_aa = F.when(frame == 0, sequence.translate(nt, 0)).when(frame == 1, sequence.translate(nt, 1)) \
-        .otherwise(sequence.translate(nt, 2))
-    aa = (F.when(F.col("segment") == "V", sequence.drop_one_stop(sequence.translate(nt)))
-          .when(F.col("segment") == "C", sequence.drop_one_stop(sequence.translate_best_frame(nt)))
-          .when(F.col("segment") == "J", j_aa).otherwise(F.lit("")))
+    frames = [F.col(f"aa{f}") for f in range(3)]
+    first = first.select("*", *sequence.frames(F.col("nt")))
+    first = first.withColumn("_frame", F.when(F.col("segment") == "J", sequence.j_anchor(frames)["frame"])
+                             .when(F.col("segment") == "C", sequence.fewest_stops(frames)).otherwise(0))
+    read = F.when(F.col("_frame") == 0, frames[0]).when(F.col("_frame") == 1, frames[1]).otherwise(frames[2])
+    aa = (F.when(F.col("segment").isin("V", "C"), sequence.drop_one_stop(read))
+          .when(F.col("segment") == "J", read).otherwise(F.lit("")))
     return first.select(*key, F.split_part("allele", F.lit("*"), F.lit(1)).alias("gene"), "nt", aa.alias("aa"), "ord")
 
 
