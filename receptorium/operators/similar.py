@@ -252,6 +252,7 @@ def find_similar(queries: DataFrame, index: DataFrame, loops: DataFrame | None =
     if loops is None:
         by_matrix = q.withColumn("n_skipped", F.lit(0).cast("long"))
     else:
+        loops = cut_lineage(loops)
         loop_index = with_loops(index, loops, "v_gene", F.coalesce(F.col("species"), F.lit("human")))
         q = with_loops(q, loops, "v_gene", F.col("organism"))
         q = q.withColumn("block", block_name(F.col("scope"), F.col("chain"), F.col("family")))
@@ -351,6 +352,7 @@ def find_similar_paired(queries: DataFrame, index: DataFrame, loops: DataFrame |
     q = queries.withColumn("organism", F.coalesce(F.nullif(text.species_key(F.col("species")), F.lit("")), F.lit("human")))
     if loops is None:
         return {"warnings": _warn(q, "tcrdist_unavailable", F.lit("paired similarity requires a germline loop table"))}
+    loops = cut_lineage(loops)
     bad_species = q.filter(~F.col("organism").isin("human", "mouse"))
     q = q.filter(F.col("organism").isin("human", "mouse"))
     q = with_loops(with_loops(q, loops, "v_a", F.col("organism"), "a_"), loops, "v_b", F.col("organism"), "b_")

@@ -52,7 +52,7 @@ select s_suppkey as qid,
   case when s_suppkey % 3 = 0 then 'mouse' else 'human' end as species,
   case s_suppkey % 4 when 0 then 'alpha' when 1 then 'beta' else null end as chain,
   concat('CAS', {_digits('s_suppkey * 14')}, 'EQYF') as cdr3_b,
-  concat('TRAV', {_str('s_suppkey % 12 + 1')}, '-1') as v_a
+  concat('TRAV', {_str('(s_suppkey + 1) % 12 + 1')}, '-1') as v_a
 from {{supplier}}""",
     "germ": f"""
 select case when p_size % 5 < 2 then 'mouse' else 'human' end as species, case p_partkey % 2 when 0 then 'TRA' else 'TRB' end as chain,

@@ -273,12 +273,15 @@ oracle("tcrdist_skipped", "rec ask loops", """select qid, 'tcrdist_candidates_sk
 oracle("tcrdist_paired", "rec ask loops", """select qid, rank, pairing_key, d as distance, round(1 - d / greatest(mx, 1), 4) as similarity
   from (select *, max(d) over (partition by qid) as mx, row_number() over (partition by qid order by d, src_row) as rank from s) z where rank <= 10""",
        lt=LT, f=FIRST, p=PAIRED, pa=with_loops("p", "v_a_gene", "species", "pa_"), pb=with_loops("pa", "v_b_gene", "species", "pb_"),
-       qa=with_loops("ask", "v_a", "species", "qa_"), qb=with_loops("qa", "v_gene", "species", "qb_"), lp=LOOP_T,
-       ta=f"select q, c, {tcr('q', 'c', 3, 2, False)} * 3 as d from (select q, c from (select distinct cdr3_b as q from ask) a, (select distinct cdr3_a_aa as c from p) b) x",
-       tb=f"select q, c, {tcr('q', 'c', 3, 2, False)} * 3 as d from (select q, c from (select distinct cdr3 as q from ask) a, (select distinct cdr3_b_aa as c from p) b) x",
-       s="select qb.qid, pb.pairing_key, pb.src_row, ta.d + tb.d + " + " + ".join(f"l{i}.d" for i in range(6)) + " as d from qb join pb on pb.species = qb.species "
+       qa=with_loops("ask", "v_a", "species", "qa_"), qb=with_loops("qa", "v_gene", "species", "qb_"),
+       **{f"t{side}": f"select q, c, {tcr('q', 'c', 3, 2, False)} * 3 as d from (select q, c from (select distinct {cq} as q from qb where qa_cdr1 is not null and qb_cdr1 is not null) a, "
+                      f"(select distinct {cp} as c from pb where pa_cdr1 is not null and pb_cdr1 is not null) b) x" for side, cq, cp in (("a", "cdr3_b", "cdr3_a_aa"), ("b", "cdr3", "cdr3_b_aa"))},
+       **{f"l{side}": f"select a.*, b.*, " + " + ".join(tcr(f"q{side}_{c}", f"p{side}_{c}", 0, 0, True) for c in LOOPS) + " as d from "
+                      f"(select distinct q{side}_cdr1, q{side}_cdr2, q{side}_cdr25 from qb where q{side}_cdr1 is not null) a, (select distinct p{side}_cdr1, p{side}_cdr2, p{side}_cdr25 from pb where p{side}_cdr1 is not null) b"
+          for side in "ab"},
+       s="select qb.qid, pb.pairing_key, pb.src_row, ta.d + tb.d + la.d + lb.d as d from qb join pb on pb.species = qb.species "
          "join ta on ta.q = qb.cdr3_b and ta.c = pb.cdr3_a_aa join tb on tb.q = qb.cdr3 and tb.c = pb.cdr3_b_aa "
-         + " ".join(f"join lp l{i} on l{i}.x = qb.q{side}_{c} and l{i}.y = pb.p{side}_{c}" for i, (side, c) in enumerate((s, c) for s in "ab" for c in LOOPS)))
+         + " ".join(f"join l{side} on " + " and ".join(f"l{side}.{o}{side}_{c} = {t}.{o}{side}_{c}" for o, t in (("q", "qb"), ("p", "pb")) for c in LOOPS) for side in "ab"))
 
 # --- sequences and germline ------------------------------------------------------------------------------------
 
