@@ -154,22 +154,19 @@ def _tcrdist(queries, candidates, trim_n: int, trim_c: int, fixed: bool) -> np.n
     return out
 
 
-def smallest(distance: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per row the column numbers of the k smallest values; earlier columns win ties.
+def smallest(distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k smallest values of every row; earlier columns win ties.
 
     NaN marks a pair that must not be reported.
     """
-    n = distance.shape[1]
     d = np.where(np.isnan(distance), np.inf, distance)
-    out = []
-    if n > k:
-        cut = np.partition(d, k - 1, axis=1)[:, k - 1]
-    else:
-        cut = np.full(len(d), np.inf)
-    for row, limit in zip(d, cut):
-        cols = np.flatnonzero((row <= limit) & np.isfinite(row))
-        out.append(cols[np.argsort(row[cols], kind="stable")][:k])
-    return out
+    cut = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+    rows, cols = np.nonzero((d <= cut[:, None]) & np.isfinite(d))
+    order = np.lexsort((cols, d[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)  # rank inside the row
+    keep = place < k
+    return rows[keep], cols[keep]
 
 
 # --- pairwise alignment -------------------------------------------------------------------------

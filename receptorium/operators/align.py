@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from receptorium.functions import kernels, sequence, text
 from receptorium.operators.pairwise import meet
+from receptorium.session import spread
 from receptorium.sources.germline import germline_species
 
 MEMBERS_PER_TASK, PAIRS_AT_ONCE, TRACES_AT_ONCE = 256, 512, 32
@@ -102,7 +103,7 @@ def align_set(members: DataFrame, seq_type: str = "nt") -> DataFrame:
     centers = choose_centers(rows, seq_type)
     safe = sequence.alignable if seq_type == "aa" else (lambda c: c)
     distinct = rows.select("set_id", "seq").distinct().join(centers, "set_id")
-    parts = distinct.withColumn("p", _on_center(seq_type)(F.col("center"), F.col("seq"), safe(F.col("center")), safe(F.col("seq")))) \
+    parts = spread(distinct, "set_id", "seq").withColumn("p", _on_center(seq_type)(F.col("center"), F.col("seq"), safe(F.col("center")), safe(F.col("seq")))) \
         .select("set_id", "seq", F.length("center").alias("_len"), "p.*")
     wide = parts.select("set_id", F.posexplode("inserts").alias("slot", "ins")).filter(F.length("ins") > 0) \
         .groupBy("set_id", "slot").agg(F.max(F.length("ins")).alias("w"))

@@ -11,7 +11,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from receptorium.session import cut_lineage, small
+from receptorium.session import cut_lineage, small, spread
 
 
 def _pieces(df: DataFrame, block: list[str], name: str, size: int) -> DataFrame:
@@ -33,7 +33,7 @@ def meet(left: DataFrame, right: DataFrame, block: list[str], left_id: list[str]
          .withColumn("_r", F.pmod(F.xxhash64(*right_id), F.col("_nr")).cast("int"))
          .withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("_nl") - 1))).drop("_nl", "_nr"))
     keys = [*block, "_l", "_r"]
-    return l.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(score, schema)
+    return spread(l, *keys).groupBy(*keys).cogroup(spread(r, *keys).groupBy(*keys)).applyInPandas(score, schema)
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

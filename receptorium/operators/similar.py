@@ -12,7 +12,7 @@ from receptorium.functions import kernels, text
 from receptorium.operators.pairwise import first_rows, meet
 from receptorium.session import cut_lineage, small
 
-PROBES_PER_TASK, CANDIDATES_PER_TASK, COLUMNS_AT_ONCE = 1_000, 50_000, 8_192
+PROBES_PER_TASK, CANDIDATES_PER_TASK, COLUMNS_AT_ONCE = 512, 16_384, 4_096
 LOOPS = ["cdr1", "cdr2", "cdr25"]
 UNAVAILABLE = "tcrdist scoring unavailable; used the substitution-matrix CDR3 distance."
 
@@ -113,20 +113,25 @@ def _scorer(k: int, engine: str, skip_identical: bool):
             if skip_identical:
                 d[probes["cdr3"].to_numpy()[:, None] == batch["cdr3"].to_numpy()[None, :]] = np.nan
             top = np.maximum(top, np.nan_to_num(d, nan=0).max(axis=1))
-            for row, cols in enumerate(kernels.smallest(d, k)):
-                parts.append(pd.DataFrame({
-                    "block": probes["block"].iat[row], "probe": probes["probe"].iat[row],
-                    "candidate": batch["candidate"].to_numpy()[cols],
-                    "first_row": batch["first_row"].to_numpy()[cols],
-                    "distance": d[row, cols].astype("float64"), "row": row}))
-        out = pd.concat(parts, ignore_index=True)
-        out["max_distance"] = top[out.pop("row").to_numpy()]
-        out = out.sort_values(["probe", "distance", "first_row"], kind="stable")
-        return out.groupby("probe", sort=False).head(k)
+            rows, cols = kernels.smallest(d, k)
+            parts.append((rows, cols + start, d[rows, cols]))
+        return _nearest_of_piece(probes, found, parts, top, k, "block")
 
     return score
 
 
+def _nearest_of_piece(probes: pd.DataFrame, found: pd.DataFrame, parts: list, top: np.ndarray, k: int, block: str) -> pd.DataFrame:
+    """Merge the nearest of each batch of candidates; ``found`` is in index order, so its row number breaks ties."""
+    rows, cols, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((cols, d, rows))
+    rows, cols, d = rows[order], cols[order], d[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    rows, cols, d = rows[keep], cols[keep], d[keep]
+    return pd.DataFrame({
+        block: probes[block].to_numpy()[rows], "probe": probes["probe"].to_numpy()[rows], "candidate": found["candidate"].to_numpy()[cols],
+        "first_row": found["first_row"].to_numpy()[cols], "distance": d.astype("float64"), "max_distance": top[rows]})
+
+
 def nearest_candidates(probes: DataFrame, candidates: DataFrame, k: int, engine: str = "blosum",
                        skip_identical: bool = False) -> DataFrame:
     """Nearest k distinct candidates of every distinct probe, and the largest distance met.
@@ -331,14 +336,9 @@ def _paired_scorer(k: int):
                 cc, cv = pd.factorize(batch[c])
                 d += block(list(pv), list(cv))[np.ix_(pc, cc)]
             top = np.maximum(top, d.max(axis=1))
-            for row, cols in enumerate(kernels.smallest(d, k)):
-                parts.append(pd.DataFrame({
-                    "organism": probes["organism"].iat[row], "probe": probes["probe"].iat[row],
-                    "candidate": batch["candidate"].to_numpy()[cols], "first_row": batch["first_row"].to_numpy()[cols],
-                    "distance": d[row, cols].astype("float64"), "row": row}))
-        out = pd.concat(parts, ignore_index=True)
-        out["max_distance"] = top[out.pop("row").to_numpy()]
-        return out.sort_values(["probe", "distance", "first_row"], kind="stable").groupby("probe", sort=False).head(k)
+            rows, cols = kernels.smallest(d, k)
+            parts.append((rows, cols + start, d[rows, cols]))
+        return _nearest_of_piece(probes, found, parts, top, k, "organism")
 
     return score
 

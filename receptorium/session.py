@@ -31,6 +31,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="receptorium-checkpoint-"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over a fixed number of tasks by key. Python work is heavy for its bytes, so its tasks must not be merged
+    because their data is small."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 BROADCAST_ROWS = 50_000
 
 
