@@ -49,6 +49,10 @@ SOURCE_URL = {
     "tcr3d": "https://www.rcsb.org/structure/",
 }
 
+# --- fixed values: provenance source names shown in reports ---------------------------------
+PROV_GERMLINE, PROV_KMER, PROV_RECONSTRUCTION, PROV_NEIGHBOURS, PROV_EPITOPES = (
+    "cdr_enricher", "kmer_align", "reconstructor", "unitcr", "iedb")
+
 # --- fixed values: genetic code ------------------------------------------------------------
 # Amino acids of the standard code, codons enumerated with bases in the order TCAG.
 BASE_ORDER = "TCAG"

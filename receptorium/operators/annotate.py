@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from receptorium.constants import CHAIN_LABELS, CHAINS, KMER
+from receptorium.constants import CHAIN_LABELS, CHAINS, KMER, PROV_KMER
 from receptorium.functions import sequence, text
 from receptorium.session import small
 from receptorium.sources.germline import germline_species
@@ -50,7 +50,7 @@ def annotate_kmer(sequences: DataFrame, genes: DataFrame, k: int = KMER) -> Data
         "seq_id", F.col("v.gene").alias("v_call"), F.col("v.score").alias("v_score"), F.col("jb.gene").alias("j_call"),
         F.when(called, F.coalesce("jb.score", F.lit(0.0))).alias("j_score"), F.lit(None).cast("string").alias("d_call"),
         F.coalesce(text.recode(F.col("v.chain"), CHAIN_LABELS), F.lit("unknown")).alias("chain"),
-        F.lit("kmer_align").alias("source"), F.when(F.col("is_protein"), "low").otherwise("medium").alias("confidence"),
+        F.lit(PROV_KMER).alias("source"), F.when(F.col("is_protein"), "low").otherwise("medium").alias("confidence"),
         F.array_compact(F.array(
             F.when(F.col("is_protein"), F.lit("aa_annotation_limited")),
             F.when(F.col("v.chain").isin("TRB", "TRD"), F.lit("d_segment_unresolved")))).alias("warnings"))

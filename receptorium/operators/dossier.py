@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from receptorium.constants import PROV_EPITOPES, PROV_GERMLINE, PROV_KMER, PROV_NEIGHBOURS, PROV_RECONSTRUCTION
 from receptorium.functions import parsing, sequence, text
 from receptorium.operators import annotate, lookup
 from receptorium.operators.epitopes import known_epitopes
@@ -130,14 +131,14 @@ def build_dossiers(queries: DataFrame, catalog: DataFrame, index: DataFrame, con
             c.alias("code"), F.lit("annotation").alias("block"), text.recode(c, annotate.WARNING_TEXT).alias("message"))),
         F.coalesce("near_warnings", none_warn))
     provenance = F.array_compact(F.array(
-        F.when(F.col("use_germ") & (F.col("g_cdr1_aa").isNotNull() | F.col("g_cdr2_aa").isNotNull()), _prov("regions", "cdr_enricher", "high", "germline_lookup")),
-        F.when(F.col("use_germ"), _prov("germline", "cdr_enricher", "high", "germline_lookup")),
-        F.when(F.col("k.v_call").isNotNull() | F.col("k.j_call").isNotNull(), _prov("annotation", "kmer_align", F.col("k.confidence"), "observed")),
+        F.when(F.col("use_germ") & (F.col("g_cdr1_aa").isNotNull() | F.col("g_cdr2_aa").isNotNull()), _prov("regions", PROV_GERMLINE, "high", "germline_lookup")),
+        F.when(F.col("use_germ"), _prov("germline", PROV_GERMLINE, "high", "germline_lookup")),
+        F.when(F.col("k.v_call").isNotNull() | F.col("k.j_call").isNotNull(), _prov("annotation", PROV_KMER, F.col("k.confidence"), "observed")),
         F.when(F.col("hit").isNotNull(), _prov("annotation", F.split_part("norm", F.lit(":"), F.lit(1)), "high", "observed")),
-        F.when(F.col("synthetic"), _prov("junction", "reconstructor", "medium", "back_translated")),
-        F.when(F.col("full_aa").isNotNull(), _prov("full_sequence", "reconstructor", "medium", "back_translated")),
-        F.when(F.col("total") > 0, _prov("known_epitopes", "iedb", "high", "observed")),
-        F.when(F.col("neighbours").isNotNull(), _prov("neighbours", "unitcr", "low", "neighbor_inferred"))))
+        F.when(F.col("synthetic"), _prov("junction", PROV_RECONSTRUCTION, "medium", "back_translated")),
+        F.when(F.col("full_aa").isNotNull(), _prov("full_sequence", PROV_RECONSTRUCTION, "medium", "back_translated")),
+        F.when(F.col("total") > 0, _prov("known_epitopes", PROV_EPITOPES, "high", "observed")),
+        F.when(F.col("neighbours").isNotNull(), _prov("neighbours", PROV_NEIGHBOURS, "low", "neighbor_inferred"))))
     region = lambda aa, nt: F.when(F.col("use_germ") & F.col(aa).isNotNull(), F.struct(F.col(aa).alias("aa"), F.when(want_seq, F.col(nt)).alias("nt")))
     q = q.withColumns({"warnings": warnings, "provenance": provenance})
     status = F.when(F.col("v_call").isNotNull() & (F.size("warnings") == 0), "complete").otherwise("partial")
