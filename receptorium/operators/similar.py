@@ -111,7 +111,8 @@ def _scorer(k: int, engine: str, skip_identical: bool):
             else:
                 d = kernels.blosum_block(queries, names)
             if skip_identical:
-                d[probes["cdr3"].to_numpy()[:, None] == batch["cdr3"].to_numpy()[None, :]] = np.nan
+                same = pd.Index(names).get_indexer(queries)  # candidates of a block are distinct CDR3
+                d[np.flatnonzero(same >= 0), same[same >= 0]] = np.nan
             top = np.maximum(top, np.nan_to_num(d, nan=0).max(axis=1))
             rows, cols = kernels.smallest(d, k)
             parts.append((rows, cols + start, d[rows, cols]))
