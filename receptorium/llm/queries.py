@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from receptorium.llm import decontaminate, language, packing
+from receptorium.llm import decontaminate, language, minhash, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,13 @@ def op4_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op6_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = minhash.near_classes(_table(spark, sf_dir, "documents"))
+    return members.select("doc_id", "class_id", "class_size")
+
+
 def op8_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_gru_language, op4_fm_decontaminate, op8_large_item_packing)}
+QUERIES = {f.__name__: f for f in (op3_gru_language, op4_fm_decontaminate, op6_probminhash_classes, op8_large_item_packing)}
