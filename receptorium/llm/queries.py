@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from receptorium.llm import decontaminate, language, minhash, packing
+from receptorium.llm import decontaminate, language, minhash, packing, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
@@ -30,4 +34,4 @@ def op8_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_gru_language, op4_fm_decontaminate, op6_probminhash_classes, op8_large_item_packing)}
+QUERIES = {f.__name__: f for f in (op2_trigram_secrets, op3_gru_language, op4_fm_decontaminate, op6_probminhash_classes, op8_large_item_packing)}

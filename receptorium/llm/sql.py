@@ -1,6 +1,42 @@
 """SQL for the queries of this subpackage that SQL can express."""
 
+
+def _either(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_KEYS = "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key")
+#: kind, expression, group, least length of the group
+_SECRETS = (
+    ("assign", rf"""({_KEYS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24),
+    ("private_key", "-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", 0, 1), ("github", "gh[opsur]_[A-Za-z0-9]{36}", 0, 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15), ("google", "AIza[A-Za-z0-9_-]{35}", 0, 39),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 36))
+
+
+def _kind(order: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: a running sum over what stands between the matches and the matches themselves."""
+    return f"""
+SELECT doc_id, {order} AS kind_order, '{kind}' AS kind, first_ + 1 - 1 AS start_, first_ + len(m) AS end_ FROM (
+  SELECT doc_id, m, g, sum(len(p) + len(m)) OVER (PARTITION BY doc_id ORDER BY i) - len(m) AS first_ FROM (
+    SELECT doc_id, unnest(parts[:len(ms)]) AS p, unnest(ms) AS m, unnest(gs) AS g, unnest(range(len(ms))) AS i FROM (
+      SELECT doc_id, string_split_regex(text, '{pattern}') AS parts, regexp_extract_all(text, '{pattern}', 0) AS ms, regexp_extract_all(text, '{pattern}', {group}) AS gs
+      FROM documents WHERE text IS NOT NULL))) WHERE len(g) >= {least}"""
+
+
+_SPANS = " UNION ALL ".join(_kind(i, *rule) for i, rule in enumerate(_SECRETS))
+
 ORACLES = {
+    "op2_trigram_secrets": f"""
+WITH span AS ({_SPANS}),
+listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || CAST(start_ AS BIGINT) || ':' || CAST(end_ AS BIGINT), ',' ORDER BY start_, kind_order) FILTER (kind_order < 3) AS base,
+         string_agg(kind || ':' || CAST(start_ AS BIGINT) || ':' || CAST(end_ AS BIGINT), ',' ORDER BY start_, kind_order) AS spans
+  FROM span GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN listed USING (doc_id)""",
     "op4_fm_decontaminate": r"""
 WITH fold AS (
   SELECT 'd' AS side, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
