@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from receptorium.llm import decontaminate, language, minhash, packing, secrets
+from receptorium.llm import decontaminate, language, minhash, packing, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op6_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = minhash.near_classes(_table(spark, sf_dir, "documents"))
     return members.select("doc_id", "class_id", "class_size")
@@ -34,4 +38,4 @@ def op8_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_trigram_secrets, op3_gru_language, op4_fm_decontaminate, op6_probminhash_classes, op8_large_item_packing)}
+QUERIES = {f.__name__: f for f in (op2_trigram_secrets, op3_gru_language, op4_fm_decontaminate, op5_rule_ledger, op6_probminhash_classes, op8_large_item_packing)}

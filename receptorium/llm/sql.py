@@ -55,4 +55,19 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS i
 SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words w LEFT JOIN covered c ON c.doc_id = w.id LEFT JOIN named n ON n.doc_id = w.id WHERE w.side = 'd'""",
+    "op5_rule_ledger": r"""
+WITH word AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+place AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest([array_to_string(w[j:j + 2], ' ') FOR j IN range(1, len(w) - 1)]) AS t FROM word WHERE len(w) > 2),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM place) WHERE n > 1),
+cover AS (SELECT doc_id, count(DISTINCT x) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS x FROM twice) GROUP BY doc_id),
+line AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM word) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([len(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
+             CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words, len(regexp_extract_all(text, '\p{Lu}')) AS n_upper, len(regexp_extract_all(text, '[0-9]')) AS n_digits
+      FROM word LEFT JOIN cover USING (doc_id) LEFT JOIN line USING (doc_id)),
+f AS (SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS BIGINT) + 4 * CAST(10 * n_symbols > n_words AS BIGINT)
+                + 8 * CAST(10 * n_upper > 3 * word_chars AS BIGINT) + 16 * CAST(100 * n_dup_lines > 50 * n_lines AS BIGINT)
+                + 32 * CAST(word_chars > 20 * n_words AS BIGINT) + 64 * CAST(2 * n_digits > word_chars AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f""",
 }
