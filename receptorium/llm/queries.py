@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from receptorium.llm import decontaminate, language, minhash, packing, quality, secrets
+from receptorium.llm import decontaminate, html_text, language, minhash, packing, quality, secrets, url_tree, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +34,21 @@ def op6_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("doc_id", "class_id", "class_size")
 
 
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_trigram_secrets, op3_gru_language, op4_fm_decontaminate, op5_rule_ledger, op6_probminhash_classes, op8_large_item_packing)}
+def op9_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_tree.judge(_table(spark, sf_dir, "pages"))
+
+
+def op10_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_trigram_secrets, op3_gru_language, op4_fm_decontaminate, op5_rule_ledger, op6_probminhash_classes, op7_warc_round_trip,
+                                   op8_large_item_packing, op9_template_tree, op10_block_tree)}
