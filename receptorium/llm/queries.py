@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from receptorium.llm import decontaminate, html_text, language, minhash, packing, quality, secrets, url_tree, warc
+from receptorium.llm import decontaminate, html_text, language, minhash, packing, quality, quotes, secrets, url_tree, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotes.link(_table(spark, sf_dir, "conversations"))
+    return found.withColumn("reply_path", F.array_join(F.transform("reply_path", lambda t: t.cast("string")), "/"))
+
+
 def op2_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_table(spark, sf_dir, "documents"))
 
@@ -50,5 +55,5 @@ def op10_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_trigram_secrets, op3_gru_language, op4_fm_decontaminate, op5_rule_ledger, op6_probminhash_classes, op7_warc_round_trip,
+QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_trigram_secrets, op3_gru_language, op4_fm_decontaminate, op5_rule_ledger, op6_probminhash_classes, op7_warc_round_trip,
                                    op8_large_item_packing, op9_template_tree, op10_block_tree)}
