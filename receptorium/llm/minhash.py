@@ -6,10 +6,11 @@ arrival draws a register, and the first arrival at a register wins it. Only shin
 latest register is filled stay in play, so most stop after one arrival. Bands of registers bring candidates together, byte
 signatures sort out the hopeless, and every link is verified on the shingles themselves.
 
-Copies meet by a digest of the text before anything else. Inside a band's bucket the first round compares texts with the
-leaders of bounded blocks, which joins large groups through one link per text. Later rounds look only at buckets that still
-hold several components, and only at pairs across components: first the best few of each text and component, then all that
-are left, so no link between different texts is lost to the short cut. Buckets are compared in pairs of bounded blocks.
+Copies meet by a digest of the text before anything else. Buckets are compared in bounded blocks, and only links that span
+what is alike leave a block: first every block by itself, then pairs of blocks across the components found so far, where the
+largest component of a bucket does not meet itself. Likely links (by byte signatures) make families; inside a family the same
+two rounds run on the shingles themselves and give the verified links, so no pair within a family goes untested unless it is
+joined already, and no list of pairs grows with the square of a group.
 
 Defined cases: null, empty and blank texts have no shingles and are classes of their own; texts of fewer than five words are
 one shingle; copies share a class; a null doc_id is carried along and never names a class unless all ids of it are null;
@@ -32,9 +33,10 @@ THRESHOLD = 0.8
 REGISTERS = 128
 ROWS = 4  # 32 bands of 4: a pair at 0.8 is missed once in 2 * 10**7
 ESTIMATE = THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5  # 4.5 standard errors below the threshold
-BLOCK = 1024
-BEST = 8
+BLOCK = 1024  # texts of a block that meet by byte signatures
+BAG_BLOCK = 256  # texts of a block that meet by their shingles
 SLICE_BYTES = 6 << 20
+_MEETING = ["_bucket", "_kind", "_i", "_j"]
 _ONE = np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -165,72 +167,97 @@ def _sig_rows(values) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
 
 
-def _leaders(frames):
-    """Links of each block's texts to the first leader that they resemble."""
+def _likely(frames):
+    """Links that span the likely pairs (by estimate) of different components in each pair of blocks."""
     out = []
-    for g in _blocks(frames, ["_text", "_sig"], ["_bucket", "_block"]):
-        if len(g["_text"]) < 2:
+    for g in _blocks(frames, ["_text", "_sig", "_comp", "_side"], _MEETING):
+        left, right = np.flatnonzero(g["_side"] <= 1), np.flatnonzero(g["_side"] != 1)  # side 0: the block meets itself
+        comp = g["_comp"]
+        if len(comp) < 2 or not len(left) or not len(right) or (comp == comp[0]).all():
             continue
-        sig, text = _sig_rows(g["_sig"]), g["_text"]
-        open_ = np.arange(len(text))
-        while len(open_) > 1:
-            near = _estimates(sig[open_[:1]], sig[open_[1:]])[0] >= ESTIMATE
-            out += [(text[open_[0]], text[i]) for i in open_[1:][near]]
-            open_ = open_[1:][~near]
+        sig = _sig_rows(g["_sig"])
+        near = _estimates(sig[left], sig[right]) >= ESTIMATE
+        near &= comp[left][:, None] != comp[right][None]
+        place = np.full(len(comp), -1)
+        place[right] = np.arange(len(right))
+        seen = np.zeros(len(comp), bool)
+        for start in left[near.any(1)]:
+            queue = [] if seen[start] else [start]
+            while queue:
+                node = queue.pop()
+                seen[node] = True
+                other = []
+                if g["_side"][node] <= 1:
+                    other.append(right[near[np.searchsorted(left, node)]])
+                if place[node] >= 0:
+                    other.append(left[near[:, place[node]]])
+                fresh = np.unique(np.concatenate(other))
+                fresh = fresh[~seen[fresh]]
+                seen[fresh] = True
+                out += [(g["_text"][node], g["_text"][x]) for x in fresh]
+                queue += fresh.tolist()
         if len(out) > 20_000:
             yield pd.DataFrame(out, columns=["a", "b"])
             out = []
     yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def _across(most: int):
-    """Likely pairs of different components: for each text and component of the other block the ``most`` best."""
-    def pairs(frames):
-        out = []
-        for g in _blocks(frames, ["_text", "_sig", "_comp", "_side"], ["_bucket", "_kind", "_i", "_j"]):
-            side, comp = g["_side"], g["_comp"]
-            left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)  # side 0: the block meets itself
-            if not len(left) or not len(right) or (comp == comp[0]).all():
+def _similar_to(own: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Exact similarity of one text to several; plain counting where no shingle repeats."""
+    out = np.zeros(len(others))
+    size = np.array([len(o[0]) for o in others])
+    flat = np.concatenate([o[0] for o in others])
+    at = np.minimum(np.searchsorted(own[0], flat), len(own[0]) - 1)
+    shared = np.add.reduceat((own[0][at] == flat).astype(np.int64), np.cumsum(size) - size)
+    out = shared / (size + len(own[0]) - shared)
+    plain = (own[1] == 1).all()
+    for i, other in enumerate(others):
+        if not (plain and (other[1] == 1).all()):
+            out[i] = similarity(own, other)
+    return out
+
+
+def _verified(frames):
+    """Links that span the pairs of different components at or above the threshold, each verified on its shingles. Likely
+    pairs are tested unless the links found so far join them already."""
+    out = []
+    for g in _blocks(frames, ["_text", "_sig", "_comp", "_side", "_hash", "_count"], _MEETING):
+        left, right = np.flatnonzero(g["_side"] <= 1), np.flatnonzero(g["_side"] != 1)
+        if len(g["_comp"]) < 2 or not len(left) or not len(right):
+            continue
+        _, label = np.unique(g["_comp"], return_inverse=True)
+        if label.max() == 0:
+            continue
+        sig = _sig_rows(g["_sig"])
+        near = _estimates(sig[left], sig[right]) >= ESTIMATE
+        bag = [(np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)) for h, c in zip(g["_hash"], g["_count"], strict=True)]
+        for i, v in enumerate(left):
+            try_ = right[near[i]]
+            try_ = try_[label[try_] != label[v]]
+            if not len(try_):
                 continue
-            sig = _sig_rows(g["_sig"])
-            est = _estimates(sig[left], sig[right])
-            est[comp[left][:, None] == comp[right][None]] = 0
-            a, b = np.nonzero(est >= ESTIMATE)
-            if most and len(a):
-                score = est[a, b]
-                keep = np.zeros(len(a), bool)
-                for own, other in ((a, right[b]), (b, left[a])):
-                    order = np.lexsort((-score, comp[other], own))
-                    k1, k2 = own[order], comp[other][order]
-                    new = np.ones(len(order), bool)
-                    new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-                    start = np.flatnonzero(new)[np.cumsum(new) - 1]
-                    keep[order[np.arange(len(order)) - start < most]] = True
-                a, b = a[keep], b[keep]
-            for x, y in zip(g["_text"][left[a]], g["_text"][right[b]], strict=True):
-                if x != y:
-                    out.append((min(x, y), max(x, y)))
-            if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=["a", "b"])
-                out = []
-        yield pd.DataFrame(out, columns=["a", "b"])
-    return pairs
-
-
-def _exact(batches):
-    """Exact similarity of text pairs."""
+            score = _similar_to(bag[v], [bag[w] for w in try_])
+            for w, value in zip(try_, score, strict=True):
+                if value >= THRESHOLD and label[w] != label[v]:
+                    out.append((g["_text"][v], g["_text"][w], float(value)))
+                    label[label == label[w]] = label[v]
+        if len(out) > 20_000:
+            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
+            out = []
+    yield pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+
+def _bags(batches):
+    """Shingle hashes and counts of texts, in order of the hash."""
     for batch in batches:
-        sides = []
-        for name in ("_ta", "_tb"):
-            data, at = text_buffer(batch.column(name))
-            own = []
-            for lo, hi in row_slices(at, SLICE_BYTES):
-                row, value, weight = shingles_of(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
-                edge = np.searchsorted(row, np.arange(hi - lo + 1))
-                own += [(value[a:b], weight[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            sides.append(own)
-        score = [similarity(x, y) for x, y in zip(*sides, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score, pa.float64())], names=["a", "b", "similarity"])
+        data, at = text_buffer(batch.column("text"))
+        hashes, counts = [], []
+        for lo, hi in row_slices(at, SLICE_BYTES):
+            row, value, weight = shingles_of(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
+            edge = np.searchsorted(row, np.arange(hi - lo + 1))
+            hashes += [value[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            counts += [weight[a:b].astype(np.int32).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("_text"), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["_text", "_hash", "_count"])
 
 
 def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -238,17 +265,6 @@ def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, bodies: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with their exact similarity. ``texts``: one row per text with its document; ``bodies``: doc rows."""
-    wanted = pairs.select(F.col("a").alias("_want")).union(pairs.select(F.col("b"))).distinct()
-    named = texts.join(wanted, F.col("_text") == F.col("_want"), "left_semi").select(F.col("_text").alias("_want"), "_first")
-    body = written(bodies.join(named, (F.col("_text") == F.col("_want")) & F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-                   .groupBy("_text").agg(F.first("text").alias("text")), "bodies")
-    left = pairs.join(body.select(F.col("_text").alias("a"), F.col("text").alias("_ta")), "a")
-    both = left.join(body.select(F.col("_text").alias("b"), F.col("text").alias("_tb")), "b")
-    return written(_dealt(both.select("a", "b", "_ta", "_tb"), ["a", "b"]).mapInArrow(_exact, "a binary, b binary, similarity double"), "verified")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(_text, _comp) of every end of an edge: the least text of its component. Each round takes the least label among the
     neighbours and then the label of that label, so long chains close in a few rounds."""
@@ -269,13 +285,13 @@ def _digest() -> Column:
     return F.when(F.col("text").rlike(r"[^\x00\x20\x09-\x0D]"), F.unhex(F.md5("text")))
 
 
-def _meetings(placed: DataFrame) -> DataFrame:
-    """Rows of buckets with several components, copied to the pairs of bounded blocks in which they meet. The rows of a
-    bucket's largest component only meet the others, never each other."""
+def _meetings(placed: DataFrame, size: int) -> DataFrame:
+    """Members of groups with several components, copied to the pairs of bounded blocks in which they meet. The members of a
+    group's largest component only meet the others, never each other."""
     parts = placed.groupBy("_bucket", "_comp").agg(F.count(F.lit(1)).alias("_n"))
     mixed = (parts.groupBy("_bucket").agg(F.max(F.struct("_n", "_comp")).alias("_top"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_comps"))
-             .filter(F.col("_comps") > 1).select("_bucket", F.col("_top._comp").alias("_main"), F.ceil(F.col("_top._n") / BLOCK).cast("int").alias("_mains"),
-                                                  F.ceil((F.col("_all") - F.col("_top._n")) / BLOCK).cast("int").alias("_rests")))
+             .filter(F.col("_comps") > 1).select("_bucket", F.col("_top._comp").alias("_main"), F.ceil(F.col("_top._n") / size).cast("int").alias("_mains"),
+                                                  F.ceil((F.col("_all") - F.col("_top._n")) / size).cast("int").alias("_rests")))
     main = F.col("_comp") == F.col("_main")
     block = F.pmod(F.xxhash64("_text", F.lit(1)), F.when(main, F.col("_mains")).otherwise(F.col("_rests"))).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -289,6 +305,25 @@ def _meetings(placed: DataFrame) -> DataFrame:
             .select("_bucket", "_text", "_comp", "_spot.*"))
 
 
+def _linked(members: DataFrame, payload: DataFrame, compare, schema: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of groups ``members`` (_bucket, _text, _n members). First every block of about ``size`` members
+    by itself, then all pairs of blocks that still hold different components."""
+    def run(rows: DataFrame) -> DataFrame:
+        full = _dealt(rows.join(payload, "_text"), _MEETING).sortWithinPartitions(*_MEETING, "_text")
+        return written(full.mapInPandas(compare, schema), "links")
+
+    block = F.pmod(F.xxhash64("_text", F.lit(1)), F.ceil(F.col("_n") / size)).cast("int")
+    alone = members.select("_bucket", "_text", F.col("_text").alias("_comp"), F.lit(0).alias("_kind"), block.alias("_i"), block.alias("_j"), F.lit(0).alias("_side"))
+    links = run(alone)
+    comp = components(links)
+    placed = members.select("_bucket", "_text").join(comp, "_text", "left").withColumn("_comp", F.coalesce("_comp", "_text"))
+    more = run(_meetings(written(placed, "placed"), size))
+    if more.isEmpty():
+        return links, comp
+    links = links.union(more)
+    return links, components(links)
+
+
 def near_classes(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(members, links). members: one row per row of ``docs``, with doc_id, _text (digest, null for blank texts), _comp, class_id
     (least doc_id of the class), class_size (rows). links: verified pairs of texts at or above the threshold that join the
@@ -304,28 +339,16 @@ def near_classes(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS)
     texts = written(one.select("_text", "_first", "_rows", "_sig", "_bands"), "texts")
     flat = texts.select("_text", F.explode("_bands").alias("_bucket"))
     shared = flat.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    block = F.pmod(F.xxhash64("_text", F.lit(1)), F.ceil(F.col("_n") / BLOCK)).cast("int")
-    bucket = written(flat.join(shared, "_bucket").select("_bucket", "_text", block.alias("_block")), "buckets")
+    bucket = written(flat.join(shared, "_bucket").select("_bucket", "_text", "_n"), "buckets")
     sig = texts.select("_text", "_sig")
-    first = (_dealt(bucket.join(sig, "_text"), ["_bucket", "_block"]).sortWithinPartitions("_bucket", "_block", "_text")
-             .select("_bucket", "_block", "_text", "_sig").mapInPandas(_leaders, "a binary, b binary").distinct())
-    links = tried = _verified(first, texts, bodies)
-    links = links.filter(F.col("similarity") >= THRESHOLD)
-    for most in (BEST, 0):
-        comp = components(links)
-        placed = bucket.select("_bucket", "_text").join(comp, "_text", "left").withColumn("_comp", F.coalesce("_comp", "_text"))
-        meet = _meetings(written(placed, "placed")).join(sig, "_text")
-        keys = ["_bucket", "_kind", "_i", "_j"]
-        likely = (_dealt(meet, keys).sortWithinPartitions(*keys, "_text")
-                  .mapInPandas(_across(most), "a binary, b binary").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        likely = written(likely, "likely")
-        if likely.isEmpty():
-            break
-        more = _verified(likely, texts, bodies)
-        tried = tried.unionByName(more)
-        links = links.unionByName(more.filter(F.col("similarity") >= THRESHOLD))
-    else:
-        comp = components(links)
+    _, family = _linked(bucket, sig, _likely, "a binary, b binary", BLOCK)
+    many = family.groupBy("_comp").agg(F.count(F.lit(1)).alias("_n"))
+    family = family.join(many, "_comp").select(F.col("_comp").alias("_bucket"), "_text", "_n")
+    chosen = texts.join(family.select(F.col("_text").alias("_want")), F.col("_text") == F.col("_want"), "left_semi").select(F.col("_text").alias("_want"), "_first")
+    body = (bodies.join(chosen, (F.col("_text") == F.col("_want")) & F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+            .mapInArrow(_bags, "_text binary, _hash binary, _count binary").dropDuplicates(["_text"]))
+    payload = written(body.join(sig, "_text"), "bags")
+    links, comp = _linked(family, payload, _verified, "a binary, b binary, similarity double", BAG_BLOCK)
     comp = texts.select("_text", "_first", "_rows").join(comp, "_text", "left").withColumn("_comp", F.coalesce("_comp", "_text"))
     sizes = comp.groupBy("_comp").agg(F.min("_first").alias("class_id"), F.sum("_rows").alias("class_size"))
     named = written(comp.join(sizes, "_comp").select("_text", "_comp", "class_id", "class_size"), "classes")
