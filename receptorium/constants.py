@@ -120,18 +120,17 @@ CONSTANT_REGIONS = [
     ("mouse", "beta",
      "EDLRNVTPPKVSLFEPSKAEIANKQKATLVCLARGFFPDHVELSWWVNGKEVHSGVSTDPQAYKESNYSYCLSSRLRVSATFWHNPRNHFRCQ"
      "VQFHGLSEEDKWPEGSPKPVTQNISAEAWGRADCGITSASYQQGVLSATILYEILLGKATLYAVLVSTLVVMAMVKRKNS",
-     "curated membrane-bound TRBC (mouse), oracle-validated; UniProt P01852"),
+     "UniProt P01852, mouse TRBC, membrane form"),
     ("mouse", "alpha",
      "IQNPEPAVYQLKDPRSQDSTLCLFTDFDSQINVPKTMESGTFITDKTVLDMKAMDSKSNGAIAWSNQTSFTCQDIFKETNATYPSSDVPCDAT"
      "LTEKSFETDMNLNFQNLSVMGLRILLLKVAGFNLLMTLRLWSS",
-     "curated membrane-bound TRAC (mouse), oracle-validated; UniProt P01849"),
+     "UniProt P01849, mouse TRAC, membrane form"),
     ("human", "beta",
      "EDLNKVFPPEVAVFEPSEAEISHTQKATLVCLATGFFPDHVELSWWVNGKEVHSGVSTDPQPLKEQPALNDSRYCLSSRLRVSATFWQNPRNH"
      "FRCQVQFYGLSENDEWTQDRAKPVTQIVSAEAWGRADCGFTSVSYQQGVLSATILYEILLGKATLYAVLVSALVLMAMVKRKDF",
-     "curated membrane-bound TRBC1 (human), not oracle-validated; UniProt P01850 with CH1 junction E "
-     "restored (present in mouse P01852)"),
+     "UniProt P01850, human TRBC1, membrane form, with the first Glu that joins J to C"),
     ("human", "alpha",
      "IQNPDPAVYQLRDSKSSDKSVCLFTDFDSQTNVSQSKDSDVYITDKTVLDMRSMDFKSNSAVAWSNKSDFACANAFNNSIIPEDTFFPSPESS"
      "CDVKLVEKSFETDTNLNFQNLSVIGFRILLLKVAGFNLLMTLRLWSS",
-     "curated membrane-bound TRAC (human), not oracle-validated; UniProt P01848"),
+     "UniProt P01848, human TRAC, membrane form"),
 ]

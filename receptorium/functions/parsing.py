@@ -12,7 +12,7 @@ from receptorium.constants import (
 from receptorium.functions.text import recode, strip
 
 # --- fixed values: patterns -----------------------------------------------------------------
-ID_PATTERN = r"(?i)^(vdjdb|iedb|mcpas|tcr3d):\w+$"
+ID_PATTERN = r"(?i)^(vdjdb|iedb):\w+$"  # what classification takes for an id; lookups know all four prefixes below
 ID_PREFIX_PATTERN = r"^(vdjdb|iedb|mcpas|tcr3d):"
 GENE_PATTERN = r"(?i)^TR[ABGD][VDJC]\d+(-\d+)?(\*\d+)?$"
 GENE_TOKEN_PATTERN = r"^TR[ABGD][VJ]."
@@ -23,8 +23,8 @@ FREE_GENE_PATTERN = r"\b([A-Z]{2,6}[A-Z0-9-]*\*?[0-9:]*)\b"
 DNA_WORD_PATTERN = r"\b([ACGT]{8,})\b"
 PEPTIDE_PATTERN = r"\b([ACDEFGHIKLMNPQRSTVWY]{8,15})\b"
 
-AMBIGUOUS_MESSAGE = "sequence letters are valid as both nucleotides and amino acids; defaulting to raw_aa"
-UNRESOLVED_MESSAGE = "could not classify the query; pass an explicit input_type"
+AMBIGUOUS_MESSAGE = "every letter is both a base and a residue; read as amino acids"
+UNRESOLVED_MESSAGE = "no known form fits this query; give its input_type"
 
 
 def classify(query: Column) -> Column:

@@ -181,9 +181,12 @@ def alignable(aa: Column) -> Column:
 
 def thread_codons(gapped_aa: Column, coding_nt: Column) -> Column:
     """Codons laid under a gapped amino-acid row; gap columns become ``---``."""
-    columns = F.transform(F.sequence(F.lit(1), F.length(gapped_aa)), lambda p: F.when(
-        gapped_aa.substr(p, F.lit(1)) == "-", F.lit("---")
-    ).otherwise(coding_nt.substr(
-        (p - 1 - (F.length(F.left(gapped_aa, p)) - F.length(F.replace(F.left(gapped_aa, p), F.lit("-"), F.lit(""))))) * 3 + 1,
-        F.lit(3))))
-    return F.when(F.length(gapped_aa) > 0, F.array_join(columns, "")).otherwise(F.lit(""))
+    runs = F.split(gapped_aa, "(?<=-)(?=[^-])|(?<=[^-])(?=-)")  # gaps and residues in turn
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+
+    def lay(acc: Column, run: Column) -> Column:
+        gap, n = run.startswith("-"), F.length(run)
+        piece = F.when(gap, F.repeat(F.lit("---"), n)).otherwise(coding_nt.substr(acc["pos"] * 3 + 1, n * 3))
+        return F.struct((acc["pos"] + F.when(gap, 0).otherwise(n)).alias("pos"), F.concat(acc["out"], piece).alias("out"))
+
+    return F.when(F.length(gapped_aa) > 0, F.aggregate(runs, start, lay, lambda acc: acc["out"])).otherwise(F.lit(""))

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from receptorium.constants import CHAIN_LABELS, CHAINS, KMER, PROV_KMER
 from receptorium.functions import sequence, text
-from receptorium.session import small
 from receptorium.sources.germline import germline_species
 
-LIMITED_MESSAGE = "protein input yields V-region annotation only; no D and no junction nt"
-NO_D_MESSAGE = "k-mer backend does not resolve the D segment; use IgBLAST for D"
+LIMITED_MESSAGE = "from a protein only the V region is annotated: D and the bases of the junction stay open"
+NO_D_MESSAGE = "shared words are too short to tell D segments apart, so D stays open"
 
 
 def germline_words(genes: DataFrame, k: int = KMER) -> DataFrame:
@@ -30,21 +29,23 @@ def annotate_kmer(sequences: DataFrame, genes: DataFrame, k: int = KMER) -> Data
     chain wins ties of the rounded V score; J is looked for in the winning chain only.
     """
     s = sequences.withColumn("_sp", germline_species(F.col("species")))
-    distinct = s.select("_sp", "seq", "is_protein").distinct()
-    words = distinct.select("_sp", "seq", "is_protein", F.explode(sequence.kmers(F.col("seq"), k)).alias("word"))
+    # words carry a digest of their sequence, not the sequence
+    s = s.withColumn("_id", F.unhex(F.md5(F.concat_ws("|", "_sp", F.col("is_protein").cast("string"), F.coalesce("seq", F.lit(""))))))
+    distinct = s.select("_id", "_sp", "seq", "is_protein").dropDuplicates(["_id"])
+    words = distinct.select("_id", "_sp", "is_protein", F.explode(sequence.kmers(F.col("seq"), k)).alias("word"))
     germ = germline_words(genes, k).withColumnRenamed("species", "_sp")
-    shared = words.join(small(germ, 500_000), ["_sp", "is_protein", "word"]).groupBy("_sp", "seq", "is_protein", "segment", "chain", "gene", "ord", "n_words") \
+    shared = words.join(germ, ["_sp", "is_protein", "word"]).groupBy("_id", "segment", "chain", "gene", "ord", "n_words") \
         .agg(F.count(F.lit(1)).alias("n"))
     scored = shared.withColumn("score", F.lit(100.0) * F.col("n") / F.col("n_words"))
-    by_chain = scored.groupBy("_sp", "seq", "is_protein", "segment", "chain").agg(
+    by_chain = scored.groupBy("_id", "segment", "chain").agg(
         F.max_by(F.struct("gene", F.round("score", 2).alias("score")), F.struct("score", -F.col("ord"))).alias("b"))
     order = F.array_position(F.array(*[F.lit(c) for c in CHAINS]), F.col("chain"))
     v = F.when((F.col("segment") == "V") & (F.col("b.score") > 0), F.struct("chain", "b.gene", "b.score"))
-    calls = by_chain.groupBy("_sp", "seq", "is_protein").agg(
+    calls = by_chain.groupBy("_id").agg(
         F.max_by(v, F.when(v.isNotNull(), F.struct("b.score", -order))).alias("v"),
         F.map_from_entries(F.collect_list(F.when(F.col("segment") == "J", F.struct("chain", "b")))).alias("j"))
-    calls = calls.filter(F.col("v").isNotNull()).select("_sp", "seq", "is_protein", "v", F.try_element_at("j", F.col("v.chain")).alias("jb"))
-    out = s.join(calls, ["_sp", "seq", "is_protein"], "left")
+    calls = calls.filter(F.col("v").isNotNull()).select("_id", "v", F.try_element_at("j", F.col("v.chain")).alias("jb"))
+    out = s.join(calls, "_id", "left")
     called = F.col("v").isNotNull()
     return out.select(
         "seq_id", F.col("v.gene").alias("v_call"), F.col("v.score").alias("v_score"), F.col("jb.gene").alias("j_call"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from receptorium.constants import STANDARD_AA
@@ -11,14 +13,15 @@ from receptorium.functions import text
 LENGTHS = (7, 22)
 
 
-def _genes(index: DataFrame) -> DataFrame:
+def _genes(index: DataFrame, *segments: str) -> DataFrame:
+    """Rows with a species and with the named segments; the other segment may be missing."""
     return index.select("species", "chain", "source", "cdr3_aa", text.gene_base(F.col("v_gene")).alias("v"), text.gene_base(F.col("j_gene")).alias("j")) \
-        .filter((F.col("v") != "") & (F.col("j") != "") & F.col("species").isNotNull())
+        .filter(reduce(lambda a, s: a & (F.col(s) != ""), segments, F.col("species").isNotNull()))
 
 
 def gene_usage(index: DataFrame, segment: str) -> DataFrame:
     """Frequency of a gene per species and chain, with its standard deviation over the sources."""
-    rows = _genes(index).withColumnRenamed(segment, "gene")
+    rows = _genes(index, segment).withColumnRenamed(segment, "gene")
     per_source = rows.groupBy("species", "chain", "source", "gene").agg(F.count(F.lit(1)).alias("n"))
     key = ["species", "chain"]
     source_total = Window.partitionBy(*key, "source")
@@ -36,14 +39,14 @@ def gene_usage(index: DataFrame, segment: str) -> DataFrame:
 
 def cdr3_lengths(index: DataFrame) -> DataFrame:
     """Share of each CDR3 length per (species, chain, V, J), within the profile lengths."""
-    rows = _genes(index).withColumn("len", F.length("cdr3_aa")).filter(F.col("len").between(*LENGTHS))
+    rows = _genes(index, "v", "j").withColumn("len", F.length("cdr3_aa")).filter(F.col("len").between(*LENGTHS))
     counts = rows.groupBy("species", "chain", "v", "j", "len").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("species", "chain", "v", "j")))
 
 
 def position_letters(index: DataFrame) -> DataFrame:
     """Share of each amino acid per position, per (species, chain, V, J, length)."""
-    rows = _genes(index).withColumn("len", F.length("cdr3_aa")).filter(F.col("len").between(*LENGTHS))
+    rows = _genes(index, "v", "j").withColumn("len", F.length("cdr3_aa")).filter(F.col("len").between(*LENGTHS))
     key = ["species", "chain", "v", "j", "len"]
     rows = rows.groupBy(*key, "cdr3_aa").agg(F.count(F.lit(1)).alias("w"))  # identical CDR3 explode once
     letters = rows.select(*key, "w", F.posexplode(F.split("cdr3_aa", "")).alias("pos", "aa")) \

@@ -56,5 +56,6 @@ def labelled_positives(raw: DataFrame) -> DataFrame:
 
 def label_counts(raw: DataFrame, kept: DataFrame) -> DataFrame:
     negatives = F.count_if(F.col("label") == 0) if "label" in raw.columns else F.lit(0)
-    totals = raw.agg(F.count(F.lit(1)).alias("rows_total"), negatives.alias("rows_dropped_negative"))
-    return totals.join(kept.agg(F.count(F.lit(1)).alias("rows_kept")))
+    totals = raw.agg(F.count(F.lit(1)).alias("rows_total"), negatives.alias("rows_dropped_negative"), F.lit(0).cast("long").alias("rows_kept"))
+    rest = kept.agg(F.lit(0).cast("long").alias("rows_total"), F.lit(0).cast("long").alias("rows_dropped_negative"), F.count(F.lit(1)).alias("rows_kept"))
+    return totals.unionByName(rest).agg(*[F.sum(c).alias(c) for c in totals.columns])

@@ -121,12 +121,12 @@ def build_dossiers(queries: DataFrame, catalog: DataFrame, index: DataFrame, con
             F.when(F.coalesce("input_type", F.lit("auto")) == "auto", F.when(echo["code"].isNotNull(), F.struct(
                 echo["code"].alias("code"), null.alias("block"), echo["message"].alias("message")))),
             F.when(F.col("tried_germ") & F.col("other_segment"), _warn("partial_annotation", "genes", F.concat(
-                F.lit("germline enrichment is only available for V genes in this build; "), "germ_gene", F.lit(" recognized but not enriched")))),
+                F.lit("germline regions exist for V genes only; none for "), "germ_gene"))),
             F.when(F.col("tried_germ") & ~F.col("other_segment") & ~F.col("use_germ"), _warn(
-                "ambiguous_gene", "genes", F.concat(F.lit("V gene "), "germ_gene", F.lit(" not found in germline")))),
+                "ambiguous_gene", "genes", F.concat(F.lit("the germline tables have no V gene "), "germ_gene"))),
             F.when((F.col("path") == "id") & F.col("hit").isNull(), _warn("source_unavailable", "annotation", F.concat(
-                F.lit("could not resolve id '"), "norm", F.lit("'")))),
-            F.when(F.col("path") == "unresolved", _warn("unresolved_input_type", None, F.lit("query could not be routed"))))),
+                F.lit("no record has the id "), "norm"))),
+            F.when(F.col("path") == "unresolved", _warn("unresolved_input_type", None, F.lit("no form of the query fits, so nothing was looked up"))))),
         F.transform(F.coalesce("k.warnings", F.array().cast("array<string>")), lambda c: F.struct(
             c.alias("code"), F.lit("annotation").alias("block"), text.recode(c, annotate.WARNING_TEXT).alias("message"))),
         F.coalesce("near_warnings", none_warn))

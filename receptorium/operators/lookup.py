@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from receptorium.constants import INDEX_COLUMNS, MAX_NEIGHBOURS, STALE_DAYS
 from receptorium.functions import parsing, text
 from receptorium.operators.pairwise import first_rows
 from receptorium.operators.similar import nearest_records
-from receptorium.session import cut_lineage, small
+from receptorium.session import cut_lineage
 
 REQUEST_FIELDS = ["query", "cdr3_aa", "cdr3_aa_b", "v_gene", "j_gene", "species"]
 SPEC = ["scope", "cdr3_key", "v_key", "j_key"]
@@ -106,7 +106,7 @@ def exact_hits(specs: DataFrame, index: DataFrame, include_cross_species: bool =
         .when(F.col("j_key") != "", F.concat(F.lit("j:"), "j_key")))).filter(F.col("_key").isNotNull())
     rows = searchable(index).withColumn("_key", F.explode(F.array(
         F.concat(F.lit("c:"), "i_cdr3"), F.concat(F.lit("v:"), "i_v"), F.concat(F.lit("j:"), "i_j"))))
-    return rows.join(small(wanted), "_key").filter(
+    return rows.join(wanted, "_key").filter(
         ((F.col("v_key") == "") | (F.col("v_key") == F.col("i_v")))
         & ((F.col("j_key") == "") | (F.col("j_key") == F.col("i_j")))
         & in_scope(F.col("scope"), include_cross_species)).drop("_key")
@@ -130,7 +130,7 @@ def _concordance_of(rows: DataFrame, index: DataFrame, include_cross_species: bo
     """(scope, i_cdr3) pairs of ``rows`` with the number of sources seen inside that scope."""
     needed = rows.filter(F.col("i_cdr3") != "").select("scope", "i_cdr3").distinct()
     inside = searchable(index.select("cdr3_aa", "source", "species", "mhc_a", "v_gene", "j_gene", "score")) \
-        .join(small(needed), "i_cdr3").filter(in_scope(F.col("scope"), include_cross_species))
+        .join(needed, "i_cdr3").filter(in_scope(F.col("scope"), include_cross_species))
     return inside.groupBy("scope", "i_cdr3").agg(F.count_distinct("source").alias("concordance"))
 
 
@@ -146,7 +146,7 @@ def _record(df: DataFrame) -> DataFrame:
 def id_hits(requests: DataFrame, index: DataFrame) -> DataFrame:
     """Rows whose record id is asked for verbatim; no species gate."""
     ids = requests.filter(F.col("id_lookup").isNotNull()).select("qid", F.col("id_lookup").alias("source_record_id"))
-    return searchable(index).join(small(ids), "source_record_id").withColumn("scope", F.lit("*"))
+    return searchable(index).join(ids, "source_record_id").withColumn("scope", F.lit("*"))
 
 
 def retrieve_records(queries: DataFrame, index: DataFrame, top_k: int = 50, include_neighbours: bool = True,
@@ -167,7 +167,7 @@ def retrieve_records(queries: DataFrame, index: DataFrame, top_k: int = 50, incl
     exact = cut_lineage(searches.select("qid", *SPEC).join(capped, SPEC))
 
     ids = id_hits(by_id, index)
-    ids = first_rows(ids, ["qid"], [F.col("src_row")], 2**31 - 1)
+    ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("src_row")))
 
     # second chain of a pair request
     paired = searches.filter(F.coalesce(F.col("cdr3_aa_b"), F.lit("")) != "").select(
@@ -240,7 +240,7 @@ def request_warnings(requests: DataFrame) -> DataFrame:
     bad = chains.select("qid", "x.label", text.nonstandard_residues(F.col("x.seq")).alias("letters")) \
         .filter(F.size("letters") > 0)
     return _warning(bad, "nonstandard_residues", "records", F.format_string(
-        "%s query contains non-standard amino acid residue(s): %s. Any results are best-effort.",
+        "%s has letters outside the standard residues: %s; matches may be incomplete.",
         F.col("label"), F.array_join("letters", ", ")))
 
 
@@ -264,7 +264,7 @@ def infer_genes(cdr3s: DataFrame, index: DataFrame, top: int = 5) -> DataFrame:
         .filter(F.col("i_cdr3") != "")
     wanted = asked.select("i_cdr3").distinct()
     tallies = searchable(index).select("i_cdr3", "i_species", "i_v", "i_j") \
-        .filter((F.col("i_v") != "") & (F.col("i_j") != "")).join(small(wanted), "i_cdr3", "left_semi") \
+        .filter((F.col("i_v") != "") & (F.col("i_j") != "")).join(wanted, "i_cdr3", "left_semi") \
         .groupBy("i_cdr3", "i_species", "i_v", "i_j").agg(F.count(F.lit(1)).alias("n"))
     distinct = asked.select("i_cdr3", "asked_species").distinct()
     counted = (distinct.join(tallies, "i_cdr3")

@@ -11,7 +11,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from receptorium.session import cut_lineage, small, spread
+from receptorium.session import cut_lineage, spread
 
 
 def _pieces(df: DataFrame, block: list[str], name: str, size: int) -> DataFrame:
@@ -25,7 +25,7 @@ def meet(left: DataFrame, right: DataFrame, block: list[str], left_id: list[str]
     ``left_id`` and ``right_id`` name the columns whose hash picks the piece.
     """
     right = right.toDF(*right.columns)  # fresh column identities, so that a set can meet itself
-    plan = small(cut_lineage(_pieces(left, block, "_nl", left_size).join(_pieces(right, block, "_nr", right_size), block)))
+    plan = cut_lineage(_pieces(left, block, "_nl", left_size).join(_pieces(right, block, "_nr", right_size), block))
     l = (left.join(plan, block)
          .withColumn("_l", F.pmod(F.xxhash64(*left_id), F.col("_nl")).cast("int"))
          .withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_nr") - 1))).drop("_nl", "_nr"))

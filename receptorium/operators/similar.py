@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType
 from receptorium.constants import FAMILY_MIN, INDEX_COLUMNS, LABELLED_COLUMNS
 from receptorium.functions import kernels, text
 from receptorium.operators.pairwise import first_rows, meet
-from receptorium.session import cut_lineage, small
+from receptorium.session import cut_lineage
 
 PROBES_PER_TASK, CANDIDATES_PER_TASK, COLUMNS_AT_ONCE = 512, 16_384, 4_096
 LOOPS = ["cdr1", "cdr2", "cdr25"]
@@ -162,7 +162,7 @@ def nearest_records(probes: DataFrame, index: DataFrame, k: int, mhc_gate: bool
     probes = probes.withColumn("block", block_name(F.col("scope"), F.col("chain"), F.col("family"))) \
         .withColumn("probe", F.concat_ws("|", "cdr3", *loops))
     asked = probes.select("block", "probe", "cdr3", *loops).distinct()
-    rows = _blocks(_search_frame(index), mhc_gate).join(small(asked.select("block").distinct()), "block", "left_semi")
+    rows = _blocks(_search_frame(index), mhc_gate).join(asked.select("block").distinct(), "block", "left_semi")
     rows = rows.withColumn("candidate", F.concat_ws("|", "i_cdr3", *loops))
     pool = rows.groupBy("block", "candidate", F.col("i_cdr3").alias("cdr3"), *loops).agg(F.min("src_row").alias("first_row"))
     near = nearest_candidates(asked, pool, k, engine, skip_identical)
@@ -171,7 +171,7 @@ def nearest_records(probes: DataFrame, index: DataFrame, k: int, mhc_gate: bool
     wanted = near.select("block", "candidate").distinct()
     keep = [c for c in (*INDEX_COLUMNS, *LABELLED_COLUMNS) if c in index.columns]
     keep = list(dict.fromkeys(keep)) + ["src_row", "mhc_organism"]
-    members = first_rows(rows.join(small(wanted), ["block", "candidate"], "left_semi"),
+    members = first_rows(rows.join(wanted, ["block", "candidate"], "left_semi"),
                          ["block", "candidate"], [F.col("src_row")], k).select("block", "candidate", *keep)
     per_query = probes.select("qid", "block", "probe").join(near, ["block", "probe"])
     per_query = per_query.withColumn("max_distance", F.max("max_distance").over(Window.partitionBy("qid")))
@@ -187,13 +187,14 @@ def with_loops(df: DataFrame, loops: DataFrame, gene: str, species: Column, pref
     loops: organism, id, cdr1, cdr2, cdr25.
     """
     def side(tag):
-        return loops.select(F.lower("organism").alias(f"_o{tag}"), F.col("id").alias(f"_i{tag}"),
-                            *[F.col(c).alias(f"_{c}{tag}") for c in LOOPS]) \
-            .dropDuplicates([f"_o{tag}", f"_i{tag}"])
+        # of repeated (organism, id) the last row counts; without an ordinal the largest loops do
+        order = F.col("ord") if "ord" in loops.columns else F.struct(*LOOPS)
+        kept = loops.groupBy(F.lower("organism").alias(f"_o{tag}"), F.col("id").alias(f"_i{tag}")).agg(F.max_by(F.struct(*LOOPS), order).alias("_l"))
+        return kept.select(f"_o{tag}", f"_i{tag}", *[F.col(f"_l.{c}").alias(f"_{c}{tag}") for c in LOOPS])
     organism = F.lower(F.trim(species))
     gene_col = F.col(gene)
     out = df.withColumn("_org", organism).withColumn("_gene01", F.concat(F.split_part(gene_col, F.lit("*"), F.lit(1)), F.lit("*01")))
-    exact, default = small(side("e")), small(side("d"))
+    exact, default = side("e"), side("d")
     out = out.join(exact, (F.col("_org") == F.col("_oe")) & (gene_col == F.col("_ie")), "left") \
         .join(default, (F.col("_org") == F.col("_od")) & (F.col("_gene01") == F.col("_id")), "left")
     out = out.withColumns({f"{prefix}{c}": F.when(F.col("_ie").isNotNull(), F.col(f"_{c}e")).otherwise(F.col(f"_{c}d"))
@@ -210,7 +211,7 @@ def family_block(queries: DataFrame, index: DataFrame) -> DataFrame:
     q = q.withColumn("_near", block_name(F.col("scope"), F.col("chain"), F.col("family"))) \
         .withColumn("_all", block_name(F.col("scope"), F.col("chain"), F.lit("*")))
     asked = q.select(F.col("_near").alias("block")).union(q.select(F.col("_all").alias("block"))).distinct()
-    counts = _blocks(_search_frame(index), False).join(small(asked), "block", "left_semi") \
+    counts = _blocks(_search_frame(index), False).join(asked, "block", "left_semi") \
         .groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     out = q.join(counts.select(F.col("block").alias("_near"), F.col("n").alias("family_rows")), "_near", "left") \
         .join(counts.select(F.col("block").alias("_all"), F.col("n").alias("all_rows")), "_all", "left")
@@ -236,10 +237,11 @@ def find_similar(queries: DataFrame, index: DataFrame, loops: DataFrame | None =
     """
     labelled = "cdr3_b_aa" in index.columns
     q = queries if "chain" in queries.columns else queries.withColumn("chain", F.lit(None).cast("string"))
-    q = q.filter(F.col("cdr3").isNotNull() & F.col("v_gene").isNotNull() & F.col("j_gene").isNotNull())
+    missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in ("cdr3", "v_gene", "j_gene")]))
+    incomplete, q = q.filter(F.size(missing) > 0), q.filter(F.size(missing) == 0)
     species = F.nullif(text.species_key(F.col("species")), F.lit(""))
     q = q.withColumn("cdr3", F.upper("cdr3")).withColumn("organism", F.coalesce(species, F.lit("human")))
-    warnings = []
+    warnings = [_warn(incomplete, "query_incomplete", F.concat(F.lit("not searched; missing: "), F.array_join(missing, ", ")))]
     if labelled:
         refused = q.filter(F.col("organism") != "human")
         warnings.append(_warn(refused, "species_unsupported", F.format_string(
@@ -262,7 +264,7 @@ def find_similar(queries: DataFrame, index: DataFrame, loops: DataFrame | None =
         loop_index = with_loops(index, loops, "v_gene", F.coalesce(F.col("species"), F.lit("human")))
         q = with_loops(q, loops, "v_gene", F.col("organism"))
         q = q.withColumn("block", block_name(F.col("scope"), F.col("chain"), F.col("family")))
-        tally = _blocks(_search_frame(loop_index), False).join(small(q.select("block").distinct()), "block", "left_semi") \
+        tally = _blocks(_search_frame(loop_index), False).join(q.select("block").distinct(), "block", "left_semi") \
             .groupBy("block").agg(F.count_if(F.col("cdr1").isNotNull()).alias("n_scored"),
                                   F.count_if(F.col("cdr1").isNull()).alias("n_skipped"))
         q = q.join(tally, "block", "left")
@@ -378,7 +380,7 @@ def find_similar_paired(queries: DataFrame, index: DataFrame, loops: DataFrame |
     near = first_rows(met, ["organism", "probe"], [F.col("distance"), F.col("first_row")], top_k).drop("rank", "first_row")
     near = cut_lineage(near)
     context = [c for c in PAIR_CONTEXT if c in pairs.columns]
-    members = first_rows(scored.join(small(near.select("organism", "candidate").distinct()), ["organism", "candidate"], "left_semi"),
+    members = first_rows(scored.join(near.select("organism", "candidate").distinct(), ["organism", "candidate"], "left_semi"),
                          ["organism", "candidate"], [F.col("src_row")], top_k) \
         .select("organism", "candidate", "pairing_key", "cdr3_a_aa", "v_a_gene", "cdr3_b_aa", "v_b_gene", *context, "src_row")
     out = q.select("qid", "organism", "probe").join(near, ["organism", "probe"]).join(members, ["organism", "candidate"])

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from receptorium.functions import parsing
 from receptorium.operators.alleles import search_alleles
-from receptorium.operators.dedup import dedup_index, union_sources
+from receptorium.operators.dedup import dedup_index, sources_searched, union_sources
 from receptorium.operators.dossier import build_dossiers
+from receptorium.operators.lookup import index_warnings, retrieve_records
 from receptorium.operators.similar import find_similar
 from receptorium.session import cut_lineage
-from receptorium.sources.files import index_meta
+from receptorium.sources.files import index_meta, latest_build, read_index, read_meta
 
 
 def plan_queries(queries: DataFrame) -> DataFrame:
@@ -38,6 +39,22 @@ def answer(queries: DataFrame, catalog: DataFrame, index: DataFrame, constants:
             "alleles": search_alleles(filters, alleles)}
 
 
+def lookup_stored(spark: SparkSession, root: str, queries: DataFrame, today: Column | None = None, **options) -> dict[str, DataFrame]:
+    """Lookup in the latest build under ``root``: the answer of ``retrieve_records`` with ``sources_searched`` and, among the
+    warnings, a missing or a stale index (these have no qid)."""
+    index, missing = read_index(spark, root)
+    out = retrieve_records(queries, index, **options)
+    out["sources_searched"] = sources_searched(index)
+    warnings = out["warnings"].unionByName(missing.select(F.lit(None).cast(out["warnings"].schema["qid"].dataType).alias("qid"), "code", "block", "message"))
+    if missing.isEmpty():
+        old = index_warnings(latest_build(read_meta(spark, root)), today).filter("is_stale").select(
+            F.lit(None).cast(out["warnings"].schema["qid"].dataType).alias("qid"), F.lit("records_index_stale").alias("code"), F.lit("records").alias("block"),
+            F.format_string("the index is %d days old", F.col("age_days").cast("int")).alias("message"))
+        warnings = warnings.unionByName(old)
+    out["warnings"] = warnings
+    return out
+
+
 def build_index(sources: list[DataFrame], build_id: str = "0") -> tuple[DataFrame, DataFrame]:
     """Union of harmonized sources without duplicates, and its metadata row."""
     index = dedup_index(union_sources(sources))

@@ -71,10 +71,10 @@ select case when p_size % 5 < 2 then 'mouse' else 'human' end, case p_partkey %
   'C', case p_partkey % 2 when 0 then 'TRAC*01' else 'TRBC1*01' end, case p_partkey % 2 when 0 then 'TRAC' else 'TRBC1' end,
   translate({_bases('p_partkey')}, 'ACGT', 'GTCA'), p_partkey from {{part}}""",
     "seqs": f"""
-select o_orderkey as seq_id, substr({_bases('o_custkey % 200 + 1')}, cast(o_orderkey % 10 + 1 as int), 50) as seq,
+select o_orderkey as seq_id, substr({_bases('o_custkey')}, cast(o_orderkey % 10 + 1 as int), 50) as seq,
   case when o_orderkey % 3 = 0 then 'mouse' else 'human' end as species, o_orderkey % 4 = 0 as is_protein from {{orders}}""",
     "receptors": f"""
-select c_custkey as seq_id, concat({_bases('c_custkey % 50 + 1')}, 'TGTGCCAGCAGC', substr({_bases('c_custkey')}, 1, 9),
+select c_custkey as seq_id, concat({_bases('c_custkey')}, 'TGTGCCAGCAGC', substr({_bases('c_custkey')}, 1, 9),
   case c_custkey % 2 when 0 then 'GAGCAGTACTTC' else 'GGAGAGCTGTTCTTC' end, 'GGTCAAGGTACC') as seq,
   case when c_custkey % 3 = 0 then 'mouse' else 'human' end as species from {{customer}}""",
     "sentences": f"""

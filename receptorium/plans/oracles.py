@@ -151,7 +151,7 @@ def classify(q: str, extra: str) -> str:
       when okay and frac >= 0.9 then 'raw_nt' when okay then 'raw_aa' else 'unknown' end as kind,
     case when is_id then t when is_gene then upper(t) when okay then s else t end as norm, case when is_id then lower(split_part(t, ':', 1)) end as id_source,
     case when is_id or is_gene then null when okay and not aaonly and frac < 0.9 then 'ambiguous_alphabet' when not okay then 'unresolved_input_type' end as code
-  from (select *, regexp_matches(t, '(?i)^(vdjdb|iedb|mcpas|tcr3d):\\w+$') as is_id, regexp_matches(t, '(?i)^TR[ABGD][VDJC][0-9]+(-[0-9]+)?(\\*[0-9]+)?$') as is_gene,
+  from (select *, regexp_matches(t, '(?i)^(vdjdb|iedb):\\w+$') as is_id, regexp_matches(t, '(?i)^TR[ABGD][VDJC][0-9]+(-[0-9]+)?(\\*[0-9]+)?$') as is_gene,
     regexp_matches(s, '^[ACDEFGHIKLMNPQRSTVWYZX*]+$') as okay, regexp_matches(s, '[EFILPQZX*]') as aaonly,
     length(regexp_replace(s, '[^ACGT]', '', 'g')) / nullif(length(s), 0) as frac
     from (select *, trim({q}) as t, replace(upper(trim({q})), ' ', '') as s from src) a) b"""
@@ -203,8 +203,8 @@ select q.qid, 'no_pairing_found' as code, 'pairs' as block, (select count(*) fro
 from ask q where not exists (select 1 from a join ix b on a.pairing_key = b.pairing_key and b.ic = q.cdr3_b and a.chain <> b.chain where a.qid = q.qid)""",
        ix=IX, a="select * from (select q.qid, ix.*, row_number() over (partition by q.qid order by ix.sc desc, ix.source, ix.src_row) as rank from ask q join ix on ix.ic = q.cdr3) z where rank <= 500")
 _BAD = ("list_sort(list_distinct(list_filter(string_split(upper(seq), ''), lambda x: not contains('ACDEFGHIKLMNPQRSTVWY', x))))")
-oracle("warnings_log", "", f"""select qid, 'nonstandard_residues' as code, 'records' as block, label || ' query contains non-standard amino acid residue(s): ' || array_to_string(bad, ', ')
-  || '. Any results are best-effort.' as message from (select *, {_BAD} as bad from s) x where len(bad) > 0""",
+oracle("warnings_log", "", f"""select qid, 'nonstandard_residues' as code, 'records' as block, label || ' has letters outside the standard residues: ' || array_to_string(bad, ', ')
+  || '; matches may be incomplete.' as message from (select *, {_BAD} as bad from s) x where len(bad) > 0""",
        s="select c_custkey as qid, 'cdr3' as label, concat(c_mktsegment, 'ASS') as seq from customer union all select c_custkey, 'cdr3_b', c_name from customer")
 
 # --- similarity ---------------------------------------------------------------------------------------------------
@@ -476,7 +476,7 @@ oracle("fasta_sink", "rec", "select src_row, '>' || source_record_id || chr(10)
 GEN = f"select species, chain, source, cdr3_aa, {base('v_gene')} as v, {base('j_gene')} as j from rec where {base('v_gene')} <> '' and {base('j_gene')} <> ''"
 for _seg in "vj":
     oracle(f"usage_{_seg}", "rec", """select species, chain, gene, round(sum(n) / any_value(total), 6) as freq, round(coalesce(stddev_samp(share), 0), 5) as std from y group by 1, 2, 3""",
-           g=GEN, s=f"select distinct species, chain, source from g", ge=f"select distinct species, chain, {_seg} as gene from g",
+           g=f"select species, chain, source, {base(_seg + '_gene')} as {_seg} from rec where {base(_seg + '_gene')} <> ''", s=f"select distinct species, chain, source from g", ge=f"select distinct species, chain, {_seg} as gene from g",
            x=f"select s.species, s.chain, s.source, ge.gene, count(g.source) as n from s join ge on ge.species = s.species and ge.chain = s.chain left join g on g.species = s.species and g.chain = s.chain "
              f"and g.source = s.source and g.{_seg} = ge.gene group by 1, 2, 3, 4",
            y="select *, cast(n as double) / sum(n) over (partition by species, chain, source) as share, sum(n) over (partition by species, chain) as total from x")
@@ -512,3 +512,15 @@ union all select cast(qid as varchar), 'segment D not available in the germline
 oracle("known_epitopes", "rec ask", """select qid, string_agg(epitope_aa, ',' order by src_row) filter (where k <= 5) as epitopes, count(*) as total from (select q.qid, r.epitope_aa, r.src_row,
   row_number() over (partition by q.qid order by r.src_row) as k from ask q join rec r on r.epitope_aa is not null and r.species = q.species and split_part(r.v_gene, '*', 1) = split_part(q.v_gene, '*', 1)) x group by 1""")
 oracle("trailing_count", "requests", """select event_id, key, count(*) over (partition by key order by ts range between interval 60 seconds preceding and current row) as n_trailing from requests""")
+oracle("index_union", "rec", """select source, count(*) as n, min(src_row) as first_row from
+  (select *, row_number() over (partition by <key> order by src_row) as k from rec) x where k = 1 group by 1""".replace("<key>", ", ".join(DEDUP_KEY)))
+oracle("latest_build", "", """select build_id, built_at, announced from (select cast(o_orderkey % 1000 as varchar) as build_id, strftime(o_orderdate, '%Y-%m-%d') as built_at,
+  case when o_orderkey % 4 = 0 then strftime(o_orderdate, '%Y-%m-%d') || 'T0' || (o_orderkey % 7) end as announced from orders) x
+  order by coalesce(announced, '') desc, built_at desc, cast(build_id as double) desc limit 1""")
+oracle("similar_refused", "ask", """select qid, 'query_incomplete' as code, 'not searched; missing: ' || concat_ws(', ', case when cdr3 is null or qid % 3 = 0 then 'cdr3' end,
+  case when qid % 4 = 1 or v_gene is null then 'v_gene' end, case when j_gene is null then 'j_gene' end) as message from ask
+  where cdr3 is null or qid % 3 = 0 or qid % 4 = 1 or v_gene is null or j_gene is null""")
+oracle("upload_dispatch", "", """select p_partkey, case p_partkey % 9 when 0 then 'fasta' when 1 then 'fasta' when 2 then 'csv' when 3 then 'csv' when 4 then 'tsv' when 5 then 'tsv' when 6 then 'json'
+  else 'text' end as kind from part""")
+oracle("json_rows", "uploads", """select coalesce(species, 'other') as species, gene_name, upper(sequence) as sequence, region as note from uploads where ord % 3 <> 0""")
+oracle("cdr3_fasta_rows", "rec", "select source_record_id as id, upper(cdr3_aa) as seq from rec where src_row % 5 <> 0 and cdr3_aa is not null and source_record_id is not null and source is not null")

@@ -49,6 +49,22 @@ def index_metadata(spark, sf):
         F.transform("per_source", lambda x: F.concat(x["source"], F.lit("="), x["n"].cast("string"))), ",").alias("per_source"))
 
 
+@query
+def index_union(spark, sf):
+    """Two sources harmonized apart, united, de-duplicated and described."""
+    rec = bridge.view(spark, sf, "rec")
+    index, _ = answer.build_index([rec.filter("src_row % 3 = 0"), rec.filter("src_row % 3 <> 0")])
+    return index.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("src_row").alias("first_row"))
+
+
+@query
+def latest_build(spark, sf):
+    meta = bridge.table(spark, sf, "orders").select(
+        F.concat(F.lit(""), (_c("o_orderkey") % 1000).cast("string")).alias("build_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("built_at"),
+        F.when(_c("o_orderkey") % 4 == 0, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T0"), (_c("o_orderkey") % 7).cast("string"))).alias("announced"))
+    return files.latest_build(meta)
+
+
 @query
 def index_age(spark, sf):
     meta = bridge.table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("built_at"))
@@ -231,6 +247,13 @@ def similar_blosum(spark, sf):
     return out["neighbours"].select("qid", "rank", "engine", "cdr3_b_aa", "distance", "similarity", "src_row")
 
 
+@query
+def similar_refused(spark, sf):
+    q = bridge.view(spark, sf, "ask").withColumns({"cdr3": F.when(_c("qid") % 3 != 0, _c("cdr3")), "v_gene": F.when(_c("qid") % 4 != 1, _c("v_gene"))})
+    out = similar.find_similar(q, bridge.view(spark, sf, "rec"), top_k=1)
+    return out["warnings"].filter("code = 'query_incomplete'").select("qid", "code", "message")
+
+
 @query
 def similar_labelled(spark, sf):
     labelled = dedup.labelled_positives(bridge.view(spark, sf, "labelled"))
@@ -379,7 +402,7 @@ def kmer_annotate(spark, sf):
 
 @query
 def assign_alleles(spark, sf):
-    seqs = bridge.view(spark, sf, "receptors").withColumns({"chain": F.lit(None).cast("string"), "want_d": F.lit(False)})
+    seqs = bridge.view(spark, sf, "receptors").withColumns({"species": F.when(_c("seq_id") % 2 == 0, F.initcap("species")).otherwise(_c("species")), "chain": F.lit(None).cast("string"), "want_d": F.lit(False)})
     out = assign.assign_alleles(seqs, _catalog(spark, sf), bridge.view(spark, sf, "rec"), germline.constant_regions(spark))
     return out.select("seq_id", "input_kind", "chain", F.array_join("v_call.alleles", ",").alias("v_alleles"), F.array_join("j_call.alleles", ",").alias("j_alleles"),
                       "cdr3_aa", "v_determinable", F.array_join("warnings", ";").alias("warnings"))
@@ -454,6 +477,30 @@ def export_rows(spark, sf):
     return uploads.export_records(rows).groupBy("species", "gene_name", "allele_name", "region", "sequence", "antigen_epitope").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def upload_dispatch(spark, sf):
+    """How an upload of each name is read, whatever the case of its extension."""
+    ending = F.element_at(F.array(*[F.lit(e) for e in ("FASTA", "Fa", "CSV", "csv", "TsV", "txtv", "JSON", "TXT", "")]), (_c("p_partkey") % 9 + 1).cast("int"))
+    named = bridge.table(spark, sf, "part").select("p_partkey", F.concat(_c("p_brand"), F.lit(".v1."), ending).alias("file"))
+    return named.select("p_partkey", uploads.extension_kind(_c("file")).alias("kind"))
+
+
+@query
+def json_rows(spark, sf):
+    up = bridge.view(spark, sf, "uploads")
+    row = F.struct("gene_name", "species", F.when(_c("ord") % 3 != 0, _c("sequence")).alias("sequence"), _c("region", "note"))
+    value = F.when(_c("ord") % 2 == 0, F.to_json(row)).otherwise(F.concat(F.lit("["), F.to_json(row), F.lit("]")))
+    out = uploads.json_records(up.select(value.alias("value")), "upload")
+    return out.select("species", "gene_name", "sequence", F.try_element_at("metadata", F.lit("note")).alias("note"))
+
+
+@query
+def cdr3_fasta_rows(spark, sf):
+    rec = bridge.view(spark, sf, "rec").select(F.concat("source_record_id", F.lit(" from "), "source").alias("header"),
+                                               F.when(_c("src_row") % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.lower("cdr3_aa"))).alias("seq"))
+    return uploads.cdr3_fasta(rec)
+
+
 @query
 def fasta_sink(spark, sf):
     return bridge.view(spark, sf, "rec").select("src_row", files.fasta_record(_c("source_record_id"), _c("cdr3_aa")))
@@ -514,7 +561,7 @@ def codon_thread(spark, sf):
 @query
 def align_germline_sets(spark, sf):
     genes = germline.representative_genes(_entries(spark, sf))
-    asked = genes.select("species", "chain", "segment").distinct().filter("segment = 'J'").select(
+    asked = genes.select("species", "chain", "segment").distinct().select(
         F.concat_ws("/", "species", "chain", "segment").alias("set_id"), "species", "chain", "segment", F.array().cast("array<string>").alias("genes"), F.lit(False).alias("translate"))
     members, _ = align.resolve_sets(asked, genes)
     return align.align_set(members, "nt")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "receptorium", cores: str = "8", memory: str = "12g") -> SparkSession:
@@ -17,6 +17,7 @@ def local_session(app: str = "receptorium", cores: str = "8", memory: str = "12g
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -24,10 +25,13 @@ def local_session(app: str = "receptorium", cores: str = "8", memory: str = "12g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; a temporary one is set only where none is named."""
+    """Use the cluster's checkpoint folder. Where none is named, a local session (tests) gets a temporary one; any other
+    master is refused, because executors could not read each other's files."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="receptorium-checkpoint-"))
 
 
@@ -39,16 +43,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
-BROADCAST_ROWS = 50_000
-
-
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast when a count proves it has at most ``max_rows`` rows; else unchanged, so
-    that Spark joins it by shuffle."""
-    fits = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -86,7 +86,15 @@ def write_index(index: DataFrame, root: str, build_id: str, status: str = "compl
     spark = index.sparkSession
     folder = f"{root}/build={build_id}"
     index.write.mode("overwrite").partitionBy("source").parquet(folder)
-    index_meta(spark.read.parquet(folder), build_id, status, snapshots).write.mode("append").json(f"{root}/meta")
+    meta = index_meta(spark.read.parquet(folder), build_id, status, snapshots)
+    meta.withColumn("announced", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).write.mode("append").json(f"{root}/meta")
+
+
+def latest_build(meta: DataFrame) -> DataFrame:
+    """The newest announced build: by time of announcement, then by date and id (numbers as numbers)."""
+    announced = F.col("announced") if "announced" in meta.columns else F.lit(None).cast("string")
+    order = F.struct(F.coalesce(announced, F.lit("")), F.coalesce("built_at", F.lit("")), F.coalesce(F.col("build_id").try_cast("double"), F.lit(-1.0)), F.col("build_id"))
+    return meta.agg(F.max_by(F.struct("*"), order).alias("_m")).filter(F.col("_m").isNotNull()).select("_m.*")
 
 
 def read_meta(spark: SparkSession, root: str) -> DataFrame:
@@ -98,7 +106,7 @@ def read_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     schema = ", ".join(f"{c} string" for c in INDEX_COLUMNS) + ", src_row long"
     none = spark.createDataFrame([], schema)
     try:
-        latest = read_meta(spark, root).orderBy(F.desc("build_id")).select("build_id", "rows_total").first()
+        latest = latest_build(read_meta(spark, root)).select("build_id", "rows_total").first()
     except AnalysisException:
         latest = None
     if latest is None:
@@ -126,6 +134,22 @@ def refresh_decision(status: DataFrame, had_index: bool) -> DataFrame:
         (F.col("n_ok") == F.col("n")).alias("complete"))
 
 
+def refresh_index(spark: SparkSession, root: str, sources: dict[str, DataFrame | None], build_id: str, snapshots: dict | None = None) -> DataFrame:
+    """Apply ``refresh_decision`` to harmonized sources (None: it could not be fetched): write a new build or keep the old one.
+    One status row per source is appended under ``root`` and returned."""
+    from receptorium.operators.dedup import dedup_index, union_sources
+
+    had = not read_index(spark, root)[0].isEmpty()
+    status = spark.createDataFrame([(name, part is not None) for name, part in sources.items()], "source string, ok boolean")
+    decision = refresh_decision(status, had).first()
+    if decision.build:
+        write_index(dedup_index(union_sources([s for s in sources.values() if s is not None])), root, build_id,
+                    "complete" if decision.complete else "partial", snapshots)
+    rows = status.select("source", "ok", F.lit(build_id).alias("build_id"), F.lit(bool(decision.build)).alias("built"), F.lit(decision.reason).alias("reason"))
+    rows.write.mode("append").json(f"{root}/status")
+    return rows
+
+
 def write_fasta(rows: DataFrame, path: str) -> None:
     """rows(name, aligned, ord) as FASTA text, in order."""
     rows.repartitionByRange("ord").sortWithinPartitions("ord").select(fasta_record(F.col("name"), F.col("aligned"))).write.mode("overwrite").text(path)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from receptorium.constants import CONSTANT_REGIONS, D_ALLELES
 from receptorium.functions import sequence, text
-from receptorium.sources.files import read_delimited
+from receptorium.sources.files import read_delimited, with_row_number
 
 
 def fasta_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -74,14 +74,18 @@ def constant_regions(spark: SparkSession) -> DataFrame:
 
 
 def loop_table(raw: DataFrame) -> DataFrame:
-    """V loops (organism, id, cdr1, cdr2, cdr25) from a gene table with columns organism, id, region, cdrs."""
+    """V loops (organism, id, cdr1, cdr2, cdr25) from a gene table with columns organism, id, region, cdrs and, if
+    known, the row order ``ord``: the last row of an id counts."""
     parts = F.split("cdrs", ";")
-    return raw.filter((F.col("region") == "V") & (F.size(parts) >= 3)).select(
-        F.lower("organism").alias("organism"), "id", parts[0].alias("cdr1"), parts[1].alias("cdr2"), parts[2].alias("cdr25"))
+    rows = raw.filter((F.col("region") == "V") & (F.size(parts) >= 3)).select(
+        F.lower("organism").alias("organism"), "id", parts[0].alias("cdr1"), parts[1].alias("cdr2"), parts[2].alias("cdr25"),
+        F.col("ord") if "ord" in raw.columns else F.struct("cdrs").alias("ord"))
+    last = rows.groupBy("organism", "id").agg(F.max_by(F.struct("cdr1", "cdr2", "cdr25"), "ord").alias("_l"))
+    return last.select("organism", "id", "_l.cdr1", "_l.cdr2", "_l.cdr25")
 
 
 def read_loops(spark: SparkSession, path: str) -> DataFrame:
-    return loop_table(read_delimited(spark, path, "\t", multi_line=False))
+    return loop_table(with_row_number(read_delimited(spark, path, "\t", multi_line=False), "ord"))
 
 
 def germline_species(species: Column) -> Column:

@@ -19,7 +19,7 @@ def apply_synonyms(df: DataFrame, column: str, synonyms: DataFrame | None) -> Da
     """Approved symbol of a gene by a synonym table (symbol, approved); otherwise the upper-cased input."""
     if synonyms is None:
         return df.withColumn(column, F.upper(column))
-    table = synonyms.select(F.upper("symbol").alias("_s"), F.col("approved").alias("_a")).dropDuplicates(["_s"])
+    table = synonyms.select(F.upper("symbol").alias("_s"), F.col("approved").alias("_a")).groupBy("_s").agg(F.min("_a").alias("_a"))
     return df.join(table, F.upper(df[column]) == F.col("_s"), "left") \
         .withColumn(column, F.coalesce("_a", F.upper(column))).drop("_s", "_a")
 

@@ -13,7 +13,8 @@ from receptorium.sources.files import read_delimited
 from receptorium.sources.germline import fasta_entries
 
 RECORD_FIELDS = ["source", "species", "gene_name", "allele_name", "region", "sequence", "antigen_epitope", "metadata"]
-# --- fixed value: a run of nucleotides in free text ------------------------------------------------
+# --- fixed values: file extensions; a run of nucleotides in free text ------------------------------------------------
+FASTA_EXTENSIONS, TAB_EXTENSIONS = ("fa", "fasta", "fna", "faa"), ("tsv", "txtv")
 DNA_RUN_PATTERN = r"(?i)\b[ACGT]{12,}\b"
 
 
@@ -101,26 +102,50 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return export_records(read_delimited(spark, path, "\t" if first and "\t" in first.value else ","))
 
 
+def _glob(*extensions: str) -> str:
+    """File name pattern of extensions in either case."""
+    either = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
+    return "*." + (either[0] if len(either) == 1 else "{" + ",".join(either) + "}")
+
+
+def extension_kind(path: Column) -> Column:
+    """How an upload is read, by its extension in either case; anything unknown is free text."""
+    ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return (F.when(ending.isin(*FASTA_EXTENSIONS), F.lit("fasta")).when(ending == "csv", F.lit("csv"))
+            .when(ending.isin(*TAB_EXTENSIONS), F.lit("tsv")).when(ending == "json", F.lit("json")).otherwise(F.lit("text")))
+
+
+def json_records(df: DataFrame, source: str, species: str = "other") -> DataFrame:
+    """Whole JSON texts (column ``value``: one object or an array of objects) to gene records. Every key of a row is kept in
+    its metadata; rows without a sequence are dropped."""
+    one = F.from_json("value", "map<string,string>")
+    many = F.from_json("value", "array<map<string,string>>")
+    rows = df.select(*[c for c in ("file",) if c in df.columns],
+                     F.explode(F.when(F.ltrim("value", F.lit(WHITESPACE)).startswith("{"), F.array(one)).otherwise(many)).alias("_row"))
+    cell = lambda n: F.nullif(F.try_element_at("_row", F.lit(n)), F.lit(""))
+    return _records(rows.filter(cell("sequence").isNotNull()), source, F.col("_row"), species=F.coalesce(cell("species"), F.lit(species)),
+                    gene_name=F.coalesce(cell("gene_name"), cell("gene"), cell("v_segm"), F.lit("unknown")),
+                    allele_name=F.coalesce(cell("allele_name"), cell("allele")), region=cell("region"),
+                    sequence=F.upper(cell("sequence")), antigen_epitope=cell("antigen_epitope"))
+
+
 def ingest_uploads(spark: SparkSession, folder: str, source: str, species: str = "other") -> DataFrame:
     """All files under a folder as gene records, each format by its extension, the rest as free text."""
     def files(patterns):
         return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", patterns)
     name = F.col("_metadata.file_path").alias("file")
-    fasta = files("*.{fa,fasta,fna,faa}").option("lineSep", ">").text(folder).select("*", name)
+    fasta = files(_glob(*FASTA_EXTENSIONS)).option("lineSep", ">").text(folder).select("*", name)
     lines = F.transform(F.split("value", "\n"), lambda x: F.rtrim(x, F.lit(" \t\r")))
     fasta = fasta.select("file", lines.alias("l")).filter(F.length(F.col("l")[0]) > 0).select(
         "file", F.col("l")[0].alias("header"), F.array_join(F.slice("l", F.lit(2), F.size("l")), "").alias("seq"))
     out = [fasta_records(fasta, source, species)]
-    for pattern, sep in (("*.csv", ","), ("*.{tsv,txtv}", "\t")):
+    for pattern, sep in ((_glob("csv"), ","), (_glob(*TAB_EXTENSIONS), "\t")):
         for path in _paths(files(pattern).format("binaryFile").load(folder)):
             out.append(table_records(read_delimited(spark, path, sep).withColumn("file", F.lit(path)), source, species))
-    wanted = "species string, gene_name string, gene string, v_segm string, allele_name string, allele string, " \
-             "region string, sequence string, cdr3 string, antigen_epitope string"
-    rows = files("*.json").schema(wanted).json(folder, multiLine=True, mode="PERMISSIVE").select("*", name)
-    out.append(table_records(rows, source, species, need=("sequence",)))
-    known = "(fa|fasta|fna|faa|csv|tsv|txtv|json)"
+    rows = files(_glob("json")).option("wholetext", "true").text(folder).select("value", name)
+    out.append(json_records(rows, source, species))
     rest = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(folder).select("value", name) \
-        .filter(~F.lower("file").rlike(rf"\.{known}$"))
+        .filter(extension_kind(F.col("file")) == "text")
     out.append(text_records(rest, source, species))
     return reduce(lambda a, b: a.unionByName(b), out)
 

@@ -48,10 +48,11 @@ def drop_late_duplicates(stream: DataFrame, ts: str = "ts", delay: str = "10 min
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark(DEDUP_KEY)
 
 
-def continuous_lookup(queries: DataFrame, index: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
-                      top_k: int = 50) -> StreamingQuery:
-    """Answer a stream of lookup requests against the index, batch by batch."""
+def continuous_lookup(queries: DataFrame, index: DataFrame, sink: Callable[[dict[str, DataFrame], int], None], checkpoint: str,
+                      top_k: int = 50, include_neighbours: bool = True) -> StreamingQuery:
+    """Answer a stream of lookup requests against the index, batch by batch. ``sink`` gets the whole answer: requests, exact,
+    pairs, neighbours, totals and warnings."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        sink(retrieve_records(batch, index, top_k, include_neighbours=False)["exact"], batch_id)
+        sink(retrieve_records(batch, index, top_k, include_neighbours=include_neighbours), batch_id)
 
     return queries.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

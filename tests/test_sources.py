@@ -62,6 +62,41 @@ def test_uploads_by_extension(spark, tmp_path):
         ("human", "G1", "ACGTAC"), ("mouse", "G2", "ACG"), ("mouse", "G4", "TT"), ("mouse", "text-seq-1", "ACGTACGTACGTA"), ("mouse", "text-seq-2", "ACGTACGTACGG")]
 
 
+def test_uploads_with_capital_extensions_and_json_keys(spark, tmp_path):
+    (tmp_path / "A.FASTA").write_text(">AL|G1|V-REGION|Homo sapiens\nacgt\n")
+    (tmp_path / "b.CSV").write_text("gene,sequence\nG2,acg\n")
+    (tmp_path / "C.Json").write_text('{"gene": "G3", "sequence": "tt", "clone": "x7", "reads": 12}')
+    (tmp_path / "d.Fa").write_text(">AL|G4|V-REGION|Homo sapiens\nacgt\n")
+    got = {r.gene_name: r for r in uploads.ingest_uploads(spark, str(tmp_path), "upload").collect()}
+    assert set(got) == {"G1", "G2", "G3", "G4"} and got["G3"].metadata == {"gene": "G3", "sequence": "tt", "clone": "x7", "reads": "12"}
+
+
+def test_refresh_keeps_the_index_from_partial_sources(spark, tmp_path, make_index):
+    root, one = str(tmp_path / "index"), make_index([dict(source="vdjdb", cdr3_aa="CA")])
+    assert files.refresh_index(spark, root, {"vdjdb": one, "iedb": None}, "9").filter("built").count() == 2  # nothing to lose yet
+    assert files.refresh_index(spark, root, {"vdjdb": make_index([dict(source="vdjdb", cdr3_aa="CB")]), "iedb": None}, "10").filter("not built").count() == 2
+    assert [r.cdr3_aa for r in files.read_index(spark, root)[0].collect()] == ["CA"]
+    files.refresh_index(spark, root, {"vdjdb": make_index([dict(source="vdjdb", cdr3_aa="CC")])}, "10")
+    assert [r.cdr3_aa for r in files.read_index(spark, root)[0].collect()] == ["CC"]
+    assert spark.read.json(f"{root}/status").count() == 5
+
+
+def test_lookup_in_a_stored_index(spark, tmp_path, make_index):
+    from pyspark.sql import functions as F
+
+    from receptorium.plans.answer import lookup_stored
+
+    asked = spark.createDataFrame([("q", "CSARDRGYTF", None)], "qid string, cdr3_aa string, species string")
+    root = str(tmp_path / "index")
+    none = lookup_stored(spark, root, asked, include_neighbours=False)
+    assert [(w.qid, w.code) for w in none["warnings"].collect()] == [(None, "records_index_unavailable")]
+    files.write_index(make_index([dict(source="tcr3d", cdr3_aa="CSARDRGYTF"), dict(source="iedb", cdr3_aa="CAWSV")]), root, "9")
+    out = lookup_stored(spark, root, asked, F.lit("2999-01-01").cast("date"), include_neighbours=False)
+    assert out["exact"].count() == 1 and out["sources_searched"].first().sources == ["iedb", "tcr3d"]
+    assert [w.code for w in out["warnings"].collect()] == ["records_index_stale"]
+    assert lookup_stored(spark, root, asked, include_neighbours=False)["warnings"].isEmpty()
+
+
 def test_allele_payload(spark):
     one = spark.createDataFrame([('{"accession":"H1","name":"A*01:01","class":"I","sequence":{"coding":"ATG","genomic":"AAAA","protein":"M"}}',)], "value string")
     r = alleles.allele_records(one).first()

@@ -38,3 +38,19 @@ def test_ingest_adds_only_new(spark, tmp_path, make_index):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
         ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(90)
     assert sorted(r.cdr3_aa for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["CASR", "CASS"]
+
+
+def test_continuous_lookup_hands_on_the_whole_answer(spark, tmp_path, make_index):
+    index = make_index([dict(source="iedb", source_record_id=f"iedb:{n}", species="human", chain="beta", cdr3_aa=c) for n, c in enumerate(("CSARDRGYTF", "CSARERGYTF"))])
+    asked = "qid string, cdr3_aa string, cdr3_aa_b string, species string"
+    spark.createDataFrame([("q", "CSARDRGYTF", "CIVRGDSNTF", None)], asked).coalesce(1).write.parquet(str(tmp_path / "asked"))
+    seen = {}
+
+    def sink(answer, batch_id):
+        seen.update({name: [r.asDict() for r in part.collect()] for name, part in answer.items()})
+
+    stream = spark.readStream.schema(asked).parquet(str(tmp_path / "asked"))
+    ingest.continuous_lookup(stream, index, sink, str(tmp_path / "cp")).awaitTermination(120)
+    assert [r["source_record_id"] for r in seen["exact"]] == ["iedb:0"] and [r["source_record_id"] for r in seen["neighbours"]] == ["iedb:1"]
+    assert [r["total_matches"] for r in seen["totals"]] == [1] and [r["code"] for r in seen["warnings"]] == ["no_pairing_found"]
+    assert seen["requests"] and seen["pairs"] == []
