@@ -100,19 +100,22 @@ class _Roller:
 _MANIFEST = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64())])
 
 
-def _writer(folder: str, file_bytes: int):
+def _writer(folder: str, file_bytes: int, least_bytes: int):
     def write(batches):
-        roller, shard, before, nth, rows = None, None, None, 0, []
+        roller, shard, before, response, nth, rows = None, None, None, None, 0, []
         for batch in batches:
-            columns = [batch.column(c) for c in ("_shard", "page_id", "url", "html", "_digest", "_size", "_response", "_plain")]
-            for own, page, url, html, sha, size, response, plain in zip(*(c.to_pylist() for c in columns), strict=True):
+            columns = [batch.column(c) for c in ("_shard", "page_id", "url", "html", "_digest", "_size", "_response", "_page")]
+            for own, page, url, html, sha, size, of_payload, is_page in zip(*(c.to_pylist() for c in columns), strict=True):
+                if not is_page:  # comes before its page
+                    response = of_payload
+                    continue
                 if own != shard:
                     rows.append(roller.close() if roller else None)
                     roller, shard, before = _Roller(folder, own, file_bytes), own, None
                 key = (page, sha)
                 nth, before = (nth + 1 if key == before else 0), key
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                whole = plain or (page == response and nth == 0)
+                whole = size < least_bytes or (page == response and nth == 0)
                 payload = (html or "").encode() if whole else None
                 if whole and digest_of(payload) != digest:
                     raise ValueError(f"payload of page {page} does not match its digest")
@@ -151,14 +154,16 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
         shard, filled = (shard + parts[k], 0) if parts[k] > 1 else (shard, filled + sizes[k])
     ranges = spark.createDataFrame([(int(k), s, int(parts[k])) for k, s in shard_of.items()] or [(0, 0, 1)], "_k long, _first int, _parts int")
     best = thin.groupBy("_digest").agg(F.max("page_id").alias("_response"))
-    revisits = own.join(best, "_digest").withColumn("_plain", F.col("_size") < least_bytes)
-    keep = F.col("_plain") | F.col("page_id").eqNullSafe(F.col("_response"))
-    dealt = (revisits.withColumn("html", F.when(keep, F.col("html"))).withColumn("_k", of_key).join(F.broadcast(ranges), "_k")
+    # Payloads are shuffled once, to their range; what their response is travels beside them, sorted in before each page.
+    said = thin.join(best, "_digest").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "_digest", "_size",
+                                             "_response", F.lit(False).alias("_page"))
+    both = said.unionByName(own.withColumns({"_response": F.lit(None).cast("long"), "_page": F.lit(True)}))
+    dealt = (both.withColumn("_k", of_key).join(F.broadcast(ranges), "_k")
              .withColumn("_shard", F.col("_first") + F.pmod(F.xxhash64("_digest"), F.col("_parts")).cast("int")))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shard + 1)
-    ordered = (dealt.select("_shard", "page_id", "url", "html", "_digest", "_size", "_response", "_plain").repartition(tasks, "_shard")
-               .sortWithinPartitions("_shard", "page_id", "_digest", "url"))
-    files = ordered.mapInArrow(_writer(folder, file_bytes), "file string, records long, bytes long, sha1 string, first_id long, last_id long")
+    ordered = (dealt.select("_shard", "page_id", "url", "html", "_digest", "_size", "_response", "_page").repartition(tasks, "_shard")
+               .sortWithinPartitions("_shard", "page_id", "_digest", "_page", "url"))
+    files = ordered.mapInArrow(_writer(folder, file_bytes, least_bytes), "file string, records long, bytes long, sha1 string, first_id long, last_id long")
     manifest = written(files, "manifest")
     rows = manifest.orderBy("file").toLocalIterator()
     temporary, final = f"{path}/.manifest.{uuid.uuid4().hex}.tmp", f"{path}/manifest.tsv"
