@@ -184,13 +184,11 @@ def mean_identity(aligned: DataFrame) -> DataFrame:
         same = np.zeros(columns.shape)
         for ch in left.keys() & right.keys():
             same += left[ch] @ right[ch].T
-        total = 0.0
-        for i, p in enumerate(a["pattern"]):
-            for j in np.flatnonzero((b["pattern"] >= p).to_numpy()):
-                matches = same[i, j]
-                if b["pattern"].iat[j] == p:  # pairs inside one pattern
-                    matches = (matches - a["members"].iat[i] * columns[i, j]) / 2
-                total += 100.0 * matches / columns[i, j] if columns[i, j] else 0.0
+        first, second = a["pattern"].to_numpy()[:, None], b["pattern"].to_numpy()[None]
+        inside = (same - a["members"].to_numpy()[:, None] * columns) / 2  # pairs inside one pattern
+        matches = np.where(first == second, inside, same)
+        use = (second >= first) & (columns > 0)  # each pair of patterns once
+        total = 100.0 * float((matches[use] / columns[use]).sum())
         return pd.DataFrame({"set_id": [a["set_id"].iat[0]], "total": [total]})
 
     met = meet(shapes, shapes, ["set_id"], ["pattern"], ["pattern"], PATTERNS_PER_TASK, PATTERNS_PER_TASK, score, "set_id string, total double")

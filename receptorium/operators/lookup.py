@@ -104,8 +104,8 @@ def exact_hits(specs: DataFrame, index: DataFrame, include_cross_species: bool =
         F.when(F.col("cdr3_key") != "", F.concat(F.lit("c:"), "cdr3_key"))
         .when(F.col("v_key") != "", F.concat(F.lit("v:"), "v_key"))
         .when(F.col("j_key") != "", F.concat(F.lit("j:"), "j_key")))).filter(F.col("_key").isNotNull())
-    rows = searchable(index).withColumn("_key", F.explode(F.array(
-        F.concat(F.lit("c:"), "i_cdr3"), F.concat(F.lit("v:"), "i_v"), F.concat(F.lit("j:"), "i_j"))))
+    keys = [F.when(F.col(c) != "", F.concat(F.lit(tag), c)) for tag, c in (("c:", "i_cdr3"), ("v:", "i_v"), ("j:", "i_j"))]
+    rows = searchable(index).withColumn("_key", F.explode(F.array_compact(F.array(*keys))))  # nobody asks for an empty key
     return rows.join(wanted, "_key").filter(
         ((F.col("v_key") == "") | (F.col("v_key") == F.col("i_v")))
         & ((F.col("j_key") == "") | (F.col("j_key") == F.col("i_j")))
