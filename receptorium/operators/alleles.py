@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from receptorium.operators.pairwise import first_rows, meet
+from receptorium.session import cut_lineage
 
 
 def _contains(haystack: Column, needle: Column) -> Column:
@@ -18,31 +21,47 @@ def _names(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["f_gene", "gene_key"])
 
 
-def matching_alleles(filters: DataFrame, alleles: DataFrame) -> DataFrame:
+def _normal(filters: DataFrame, *keys: str | Column) -> DataFrame:
+    return filters.select(*keys, *[F.lower(F.trim(F.coalesce(c, F.lit("")))).alias(f"f_{c}") for c in ("gene_name", "region", "species", "sequence_contains")]) \
+        .withColumnRenamed("f_gene_name", "f_gene")
+
+
+def matching_alleles(filters: DataFrame, alleles: DataFrame, most: int | None = None) -> DataFrame:
     """Alleles that pass each filter (qid, gene_name, region, species, sequence_contains); an empty filter passes all.
 
-    The substring test runs on distinct gene names only; rows then meet by equal gene name.
+    The substring test runs on distinct gene names only; rows then meet by equal gene name. With ``most``, a filter by gene
+    only takes the first ``most`` rows of a gene, and an empty one the first ``most`` of all: enough for a page of that size.
     """
-    f = filters.select("qid", *[F.lower(F.trim(F.coalesce(c, F.lit("")))).alias(f"f_{c}")
-                                for c in ("gene_name", "region", "species", "sequence_contains")]) \
-        .withColumnRenamed("f_gene_name", "f_gene")
+    f = _normal(filters, "qid")
     rows = alleles.withColumn("gene_key", F.coalesce("gene_name", F.lit("")))
-    all_ = F.lit(1).alias("all")
-    names = meet(f.select(all_, "f_gene").distinct(), rows.select(all_, "gene_key").distinct(), ["all"], ["f_gene"], ["gene_key"],
-                 2_000, 20_000, _names, "f_gene string, gene_key string")
-    return rows.join(names, "gene_key").join(f, "f_gene").filter(
+    same = lambda c: (F.length(c) * 0).alias("all")  # one block; a literal would be folded into a join without a key
+    names = cut_lineage(meet(f.select(same("f_gene"), "f_gene").distinct(), rows.select(same("gene_key"), "gene_key").distinct(), ["all"], ["f_gene"], ["gene_key"],
+                             2_000, 20_000, _names, "f_gene string, gene_key string"))
+    by_gene_only = (F.col("f_region") == "") & (F.col("f_species") == "") & (F.col("f_sequence_contains") == "")
+    if most is None:
+        parts = [(f, rows)]
+    else:
+        parts = [(f.filter(by_gene_only & (F.col("f_gene") == "")), rows.orderBy("ord").limit(most)),
+                 (f.filter(by_gene_only & (F.col("f_gene") != "")), first_rows(rows, ["gene_key"], [F.col("ord")], most).drop("rank")),
+                 (f.filter(~by_gene_only), rows)]
+    found = [some.join(names, "gene_key").join(asked, "f_gene").filter(
         _contains(F.col("region"), F.col("f_region")) & _contains(F.col("sequence"), F.col("f_sequence_contains"))
-        & ((F.col("f_species") == "") | (F.col("f_species") == F.lower(F.coalesce("species", F.lit("")))))) \
-        .drop("f_gene", "f_region", "f_species", "f_sequence_contains", "gene_key")
+        & ((F.col("f_species") == "") | (F.col("f_species") == F.lower(F.coalesce("species", F.lit("")))))) for asked, some in parts]
+    return reduce(lambda a, b: a.unionByName(b), found).drop("f_gene", "f_region", "f_species", "f_sequence_contains", "gene_key")
 
 
 def search_alleles(filters: DataFrame, alleles: DataFrame, seeds: DataFrame | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Page of matches per request: fetched alleles first, then seed rows whose name was not returned yet."""
-    found = matching_alleles(filters, alleles).withColumn("part", F.lit(0))
+    """Page of matches per request: fetched alleles first, then seed rows whose name was not returned yet. Equal filters are
+    answered once."""
+    fields = ["f_gene", "f_region", "f_species", "f_sequence_contains"]
+    asked = _normal(filters, F.col("qid").alias("_request")).withColumn("qid", F.concat_ws("\x01", *fields))
+    one = asked.select("qid", F.col("f_gene").alias("gene_name"), *[F.col(c).alias(c[2:]) for c in fields[1:]]).distinct()
+    # A page is full before a cut list of fetched rows ends, so the cut never lets a seed row in.
+    found = matching_alleles(one, alleles, offset + limit).withColumn("part", F.lit(0))
     if seeds is not None:
-        extra = matching_alleles(filters, seeds)
+        extra = matching_alleles(one, seeds)
         seen = found.select("qid", F.col("allele_name")).filter("allele_name is not null").distinct()
         extra = extra.join(seen, ["qid", "allele_name"], "left_anti").withColumn("part", F.lit(1))
         found = found.unionByName(extra, allowMissingColumns=True)
     page = first_rows(found, ["qid"], [F.col("part"), F.col("ord")], offset + limit)
-    return page.filter(F.col("rank") > offset)
+    return page.filter(F.col("rank") > offset).join(asked.select("qid", "_request"), "qid").drop("qid").withColumnRenamed("_request", "qid")
