@@ -34,7 +34,7 @@ REGISTERS = 128
 ROWS = 4  # 32 bands of 4: a pair at 0.8 is missed once in 2 * 10**7
 ESTIMATE = THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5  # 4.5 standard errors below the threshold
 BLOCK = 1024  # texts of a block that meet by byte signatures
-BAG_BLOCK = 256  # texts of a block that meet by their shingles
+BAG_BLOCK = 512  # texts of a block that meet by their shingles
 SLICE_BYTES = 6 << 20
 _MEETING = ["_bucket", "_kind", "_i", "_j"]
 _ONE = np.uint64(1)
@@ -312,11 +312,14 @@ def _linked(members: DataFrame, payload: DataFrame, compare, schema: str, size:
         full = _dealt(rows.join(payload, "_text"), _MEETING).sortWithinPartitions(*_MEETING, "_text")
         return written(full.mapInPandas(compare, schema), "links")
 
-    block = F.pmod(F.xxhash64("_text", F.lit(1)), F.ceil(F.col("_n") / size)).cast("int")
+    block = F.pmod(F.xxhash64("_text", F.lit(1)), F.ceil(F.col("_n") / size)).cast("int")  # 0 for a group of one block
     alone = members.select("_bucket", "_text", F.col("_text").alias("_comp"), F.lit(0).alias("_kind"), block.alias("_i"), block.alias("_j"), F.lit(0).alias("_side"))
     links = run(alone)
     comp = components(links)
-    placed = members.select("_bucket", "_text").join(comp, "_text", "left").withColumn("_comp", F.coalesce("_comp", "_text"))
+    large = members.filter(F.col("_n") > size)  # the others are one block, and done
+    if large.isEmpty():
+        return links, comp
+    placed = large.select("_bucket", "_text").join(comp, "_text", "left").withColumn("_comp", F.coalesce("_comp", "_text"))
     more = run(_meetings(written(placed, "placed"), size))
     if more.isEmpty():
         return links, comp
