@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from receptorium.llm.fm_index import FMIndex
-from receptorium.llm.shared import row_slices, text_buffer, written
+from receptorium.llm.shared import prepared, row_slices, text_buffer, tidy, written
 from receptorium.llm.words import letters_and_digits, word_table
-from receptorium.session import ship_package
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
 WINDOW = 10
 
@@ -185,7 +184,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     benchmark windows) and ``items`` (ids of the items with such windows, sorted as strings). If ``docs`` has one of
     these names already, the new column's name gets underscores."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepared(spark)
     names = _own(docs.columns, "n_words", "spans", "items")
     added = [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.ArrayType(T.LongType()))),
              T.StructField(names[2], T.ArrayType(T.StringType()))]
@@ -194,7 +193,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     for block in _at_least_one(blocks_of(benchmark, window, block_bytes), window):
         if not first:
             out = written(out, "overlaps")
-        out = out.mapInArrow(_finder(spark.sparkContext.broadcast(block), names, shard_bytes), schema)
+        out = out.mapInArrow(tidy(_finder(spark.sparkContext.broadcast(block), names, shard_bytes)), schema)
         first = False
     return out
 
@@ -255,11 +254,11 @@ def remove_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     document of which no word is left goes, others and all other columns stay. With several blocks the passes run
     twice, so that what a later cut joins is searched for the earlier blocks as well."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepared(spark)
     blocks = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, window, block_bytes)]
     out = docs
     for i, block in enumerate(blocks if len(blocks) < 2 else blocks * 2):
-        out = (written(out, "cut") if i else out).mapInArrow(_remover(block, shard_bytes), docs.schema)
+        out = (written(out, "cut") if i else out).mapInArrow(tidy(_remover(block, shard_bytes)), docs.schema)
     return out
 
 

@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from receptorium.session import ship_package
+from receptorium.llm.shared import prepared, tidy
+
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "title", "head", "object", "canvas"}
@@ -217,6 +218,6 @@ def _extractor(tree: Tree):
 
 def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    ship_package(pages.sparkSession)
+    prepared(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(_extractor(tree or trained()), f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(_extractor(tree or trained())), f"page_id {kind}, url string, text string, n_chars long")

@@ -18,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from receptorium.llm.gru import LONGEST, Network, train
-from receptorium.llm.shared import row_slices, text_buffer
+from receptorium.llm.shared import prepared, row_slices, text_buffer, tidy
 from receptorium.llm.words import between_spaces, word_table
-from receptorium.session import ship_package
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 @dataclass
@@ -95,13 +94,13 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Network | None:
     """Learn from text and lang of documents outside the held-out quarter: the first ``docs_per_lang`` of each language in
     hash order, ``words_per_doc`` words spread over each whole text."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepared(spark)
     labelled = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 2))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     picked = labelled.withColumn("_rank", rank).filter(F.col("_rank") <= settings.docs_per_lang)
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
     rows = (texts.select("lang", F.col("_rank").cast("int"), "text")
-            .mapInArrow(_words_of_rows(settings.words_per_doc), "lang string, _rank int, words array<binary>").collect())
+            .mapInArrow(tidy(_words_of_rows(settings.words_per_doc)), "lang string, _rank int, words array<binary>").collect())
     rows = sorted(({(r["lang"], r["_rank"]): [bytes(w) for w in r["words"]] for r in rows}).items())
     classes = sorted({lang for (lang, _), words in rows if words})
     words = [(classes.index(lang), w) for (lang, _), own in rows for w in own]
@@ -140,10 +139,9 @@ def _labeller(network, slice_bytes: int):
 
 def identify(docs: DataFrame, network: Network | None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score. Only the text decides."""
-    ship_package(docs.sparkSession)
+    prepared(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    return docs.select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), "text").mapInArrow(
-        _labeller(shared, slice_bytes), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), "text").mapInArrow(tidy(_labeller(shared, slice_bytes)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def _keeper(network, slice_bytes: int, least: float):
@@ -159,5 +157,5 @@ def _keeper(network, slice_bytes: int, least: float):
 
 def keep_known(docs: DataFrame, network: Network | None, least_score: float = 0.0, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows of ``docs`` whose text has a language (not ``und``) with at least ``least_score``, all columns as they are."""
-    ship_package(docs.sparkSession)
-    return docs.mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast(network), slice_bytes, least_score), docs.schema)
+    prepared(docs.sparkSession)
+    return docs.mapInArrow(tidy(_keeper(docs.sparkSession.sparkContext.broadcast(network), slice_bytes, least_score)), docs.schema)

@@ -24,9 +24,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from receptorium.llm.shared import row_slices, text_buffer, written
+from receptorium.llm.shared import prepared, row_slices, text_buffer, tidy, written
 from receptorium.llm.words import between_spaces, mix, word_table
-from receptorium.session import ship_package
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -35,7 +34,7 @@ ROWS = 4  # 32 bands of 4: a pair at 0.8 is missed once in 2 * 10**7
 ESTIMATE = THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5  # 4.5 standard errors below the threshold
 BLOCK = 1024  # texts of a block that meet by byte signatures
 BAG_BLOCK = 512  # texts of a block that meet by their shingles
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 _MEETING = ["_bucket", "_kind", "_i", "_j"]
 _ONE = np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -310,7 +309,7 @@ def _linked(members: DataFrame, payload: DataFrame, compare, schema: str, size:
     by itself, then all pairs of blocks that still hold different components."""
     def run(rows: DataFrame) -> DataFrame:
         full = _dealt(rows.join(payload, "_text"), _MEETING).sortWithinPartitions(*_MEETING, "_text")
-        return written(full.mapInPandas(compare, schema), "links")
+        return written(full.mapInPandas(tidy(compare), schema), "links")
 
     block = F.pmod(F.xxhash64("_text", F.lit(1)), F.ceil(F.col("_n") / size)).cast("int")  # 0 for a group of one block
     alone = members.select("_bucket", "_text", F.col("_text").alias("_comp"), F.lit(0).alias("_kind"), block.alias("_i"), block.alias("_j"), F.lit(0).alias("_side"))
@@ -331,11 +330,11 @@ def near_classes(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS)
     """(members, links). members: one row per row of ``docs``, with doc_id, _text (digest, null for blank texts), _comp, class_id
     (least doc_id of the class), class_size (rows). links: verified pairs of texts at or above the threshold that join the
     classes."""
-    ship_package(docs.sparkSession)
+    prepared(docs.sparkSession)
     spark = docs.sparkSession
     bodies = docs.select("doc_id", "text", _digest().alias("_text")).filter(F.col("_text").isNotNull())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = written(bodies.mapInArrow(_signer(registers, rows), f"doc_id {kind}, _text binary, _sig binary, _bands array<bigint>"), "signed")
+    signed = written(bodies.mapInArrow(tidy(_signer(registers, rows)), f"doc_id {kind}, _text binary, _sig binary, _bands array<bigint>"), "signed")
     counts = signed.groupBy("_text").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     counts = counts.withColumnRenamed("_text", "_own")
     one = signed.join(counts, (F.col("_text") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_first"))).dropDuplicates(["_text"])
@@ -349,7 +348,7 @@ def near_classes(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS)
     family = family.join(many, "_comp").select(F.col("_comp").alias("_bucket"), "_text", "_n")
     chosen = texts.join(family.select(F.col("_text").alias("_want")), F.col("_text") == F.col("_want"), "left_semi").select(F.col("_text").alias("_want"), "_first")
     body = (bodies.join(chosen, (F.col("_text") == F.col("_want")) & F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-            .mapInArrow(_bags, "_text binary, _hash binary, _count binary").dropDuplicates(["_text"]))
+            .mapInArrow(tidy(_bags), "_text binary, _hash binary, _count binary").dropDuplicates(["_text"]))
     payload = written(body.join(sig, "_text"), "bags")
     links, comp = _linked(family, payload, _verified, "a binary, b binary, similarity double", BAG_BLOCK)
     comp = texts.select("_text", "_first", "_rows").join(comp, "_text", "left").withColumn("_comp", F.coalesce("_comp", "_text"))

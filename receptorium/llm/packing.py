@@ -22,8 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from receptorium.llm.shared import row_slices, text_buffer, written
-from receptorium.session import ship_package
+from receptorium.llm.shared import prepared, row_slices, text_buffer, tidy, written
 
 CAPACITY = 1024
 END_TOKEN = 2
@@ -60,7 +59,7 @@ def _cutter(path: str, capacity: int, end_token: int, with_ids: bool):
         for batch in batches:
             text = batch.column("text")
             _, at = text_buffer(text)
-            for lo, hi in row_slices(at, 4 << 20):
+            for lo, hi in row_slices(at, 1 << 20):
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, t in enumerate(text.slice(lo, hi - lo).to_pylist(), lo):
                     own = token_ids(t or "", path, end_token)
@@ -86,11 +85,11 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     """Token pieces of all documents: doc_id, piece, start, length, ids_crc32, and ids if asked for."""
     import public_tokenizers
 
-    ship_package(docs.sparkSession)
+    prepared(docs.sparkSession)
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
               + ", ids array<int>" * with_ids)
-    return docs.select("doc_id", "text").mapInArrow(_cutter(path, capacity, end_token, with_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_cutter(path, capacity, end_token, with_ids)), schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -20,8 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from receptorium.llm.shared import written
-from receptorium.session import ship_package
+from receptorium.llm.shared import prepared, tidy, written
 
 _LEVEL = re.compile(r"[ \t]*((?:>[ \t]?)*)")
 _WORD = re.compile(r"[^\W_]+")
@@ -93,11 +92,11 @@ def _paths(parents: DataFrame) -> DataFrame:
 def link(conversations: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, body, n_quotes, n_linked (quoted units with an original), parent_turn (null: opens a
     thread), reply_path and position (from 0, in reply order inside the conversation)."""
-    ship_package(conversations.sparkSession)
+    prepared(conversations.sparkSession)
     kinds = {n: conversations.schema[n].dataType.simpleString() for n in ("conv_id", "turn", "role")}
     schema = (f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role {kinds['role']}, body string, n_quotes long, _own array<long>, "
               "_quoted array<struct<hash: long, words: int, level: int>>")
-    parsed = written(conversations.select("conv_id", "turn", "role", "text").mapInArrow(_parser, schema), "messages")
+    parsed = written(conversations.select("conv_id", "turn", "role", "text").mapInArrow(tidy(_parser), schema), "messages")
     origin = parsed.select("conv_id", "turn", F.explode("_own").alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("_origin"))
     asked = parsed.select("conv_id", "turn", F.inline("_quoted"))
     met = asked.join(origin, ["conv_id", "hash"]).filter(F.col("_origin") < F.col("turn"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,12 +38,40 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and readable after executors are lost."""
     spark = df.sparkSession
-    ship_package(spark)
+    prepared(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text that pass between Spark and a Python worker at once.
+BATCH_ROWS = 1000
+
+
+def prepared(spark: SparkSession) -> None:
+    """Before Python work: the package is on the workers, and Arrow batches are small enough for rows that hold whole texts."""
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def tidy(work):
+    """``work`` over batches, giving freed memory back to the system at its end: workers are kept for later stages, which
+    need it."""
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+    return run
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (one more than rows) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,8 +28,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from receptorium.llm.shared import fresh_path, written
-from receptorium.session import ship_package
+from receptorium.llm.shared import fresh_path, prepared, tidy, written
 
 FILE_BYTES = 32 << 20
 LEAST_RANGE = 4 << 20
@@ -134,7 +133,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     new one in the shared folder), and return it. Payloads of at least ``least_bytes`` bytes that are equal are stored once.
     ``range_bytes`` of payload make a key range; by default a 2048th of all bytes, at least LEAST_RANGE."""
     spark = pages.sparkSession
-    ship_package(spark)
+    prepared(spark)
     folder = folder or fresh_path(spark, "warc")
     fs, path = _file_system(folder)
     fs.create_dir(path, recursive=True)
@@ -163,7 +162,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shard + 1)
     ordered = (dealt.select("_shard", "page_id", "url", "html", "_digest", "_size", "_response", "_page").repartition(tasks, "_shard")
                .sortWithinPartitions("_shard", "page_id", "_digest", "_page", "url"))
-    files = ordered.mapInArrow(_writer(folder, file_bytes, least_bytes), "file string, records long, bytes long, sha1 string, first_id long, last_id long")
+    files = ordered.mapInArrow(tidy(_writer(folder, file_bytes, least_bytes)), "file string, records long, bytes long, sha1 string, first_id long, last_id long")
     manifest = written(files, "manifest")
     rows = manifest.orderBy("file").toLocalIterator()
     temporary, final = f"{path}/.manifest.{uuid.uuid4().hex}.tmp", f"{path}/manifest.tsv"
@@ -220,10 +219,10 @@ def _reader(folder: str):
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """The records of all files that the manifest in ``folder`` names: page_id, url, payload_bytes, payload_digest, record_type
     and refers_to. Payloads are checked against their digests."""
-    ship_package(spark)
+    prepared(spark)
     listed = spark.read.schema("file string, records long, bytes long, sha1 string, first_id long, last_id long").csv(f"{folder}/manifest.tsv", sep="\t")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return listed.repartition(tasks, "file").mapInArrow(_reader(folder), _RECORD)
+    return listed.repartition(tasks, "file").mapInArrow(tidy(_reader(folder)), _RECORD)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
