@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +29,63 @@ _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn",
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 _ASIDE = {"nav", "footer", "aside", "form", "menu", "header", "button", "select", "dialog", "fieldset", "label"}
 _ARTICLE = {"article", "main"}
-_HINT = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side-?bar|widget|footer|"
-                   r"site-?header|page-?header|masthead|topbar|comments?|respond|replies|disqus|cookies?|consent|notice|gdpr|newsletter|subscribe|signup|login|share|"
-                   r"social|related|recommended|popular|tags?|pagination|pager|search|popup|modal|overlay|disclaimer|copyright|complementary|contentinfo|alertdialog|alert)"
-                   r"(?:$|[^a-z])")
-_NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_PART = (r"(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|widgets?|footer|(?:site|page)-?header|masthead|"
+         r"topbar|comments?|respond|replies|disqus|cookies?|consent|notice|gdpr|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|popular|tags?|pagination|pager|"
+         r"search|popup|modal|overlay|disclaimer|copyright|complementary|contentinfo|alertdialog|alert)")
+# A whole class or id names a part: nothing but part words, and words that say which or what of it ("main-menu", "share-buttons-2", not "has-sidebar").
+_HINT = re.compile(rf"(?:(?:site|page|main|post|entry|article|top|bottom|global|primary|secondary)[-_]+)*{_PART}(?:[-_]+(?:{_PART}|posts?|articles?|stories|items?|links?|lists?|area|"
+                   r"box|wrap(?:per)?|container|section|block|bar|buttons?|icons?|form|thread|slot|unit|primary|secondary|\d+))*")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+
+
+def attributes_of(markup: str) -> dict[str, str]:
+    """Lower-case attribute names and their values; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(markup):
+        found.setdefault(m[1].lower(), entities.unescape(next((v for v in m.group(2, 3, 4) if v is not None), "")))
+    return found
+
+
+def _is_hidden(own: dict[str, str]) -> bool:
+    return own.get("hidden", "false").strip().lower() != "false" or own.get("aria-hidden", "").strip().lower() == "true" or bool(_NONE.search(own.get("style", "")))
+
+
+def _is_part(own: dict[str, str], with_id: bool) -> bool:
+    """Whether a whole class, id or role, or the label as a whole, names a part that holds no article."""
+    names = f"{own.get('class', '')} {own.get('role', '')} {own.get('id', '') if with_id else ''}".lower().split()
+    return any(_HINT.fullmatch(n) for n in [*names, "-".join(own.get("aria-label", "").lower().split())])
+
+
+@dataclass(eq=False)
+class _Open:
+    """An open element. ``part``: 1 while it counts as a part without article; ``hinted``: only its names say so."""
+
+    tag: str
+    part: int
+    hinted: bool
+    article: bool
+    link: bool
 
 
 def blocks(page: str) -> Iterator[tuple[str, int, int, int, int]]:
     """(text, words, words inside links, page parts without article around it, articles around it) of every flat block."""
     held: list[str] = []
     linked: list[str] = []
-    open_: list[tuple[str, int, int, int]] = []  # (tag, aside, article, link)
-    aside = article = link = at = 0
+    open_: list[_Open] = []
+    found: list[tuple[str, int, int, list[_Open], int]] = []
+    around_first: list[_Open] = []  # hinted elements around the first article
+    article = link = at = 0
+    seen = over = False  # an article has begun; an <article> has ended
 
-    def flush():
+    def flush() -> None:
         text = entities.unescape("".join(held)).split()
         inside = len(entities.unescape(" ".join(linked)).split())
         held.clear()
         linked.clear()
-        return (" ".join(text), len(text), min(inside, len(text)), aside, article) if text else None
+        if text:
+            found.append((" ".join(text), len(text), min(inside, len(text)), [e for e in open_ if e.part], article))
 
     def say(piece: str) -> None:
         if piece:
@@ -78,30 +115,48 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, int]]:
                 continue
             if not attributes.endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = close.end() if close else end
+                if close:
+                    at = close.end()
+                elif tag == "script":
+                    at = end
+                elif tag == "style":  # its rules hold no tag
+                    at = page.find("<", at) if "<" in page[at:] else end
             continue
-        if tag not in _INLINE and (block := flush()):
-            yield block
+        if tag not in _INLINE:
+            flush()
         if tag in _VOID or attributes.endswith("/"):
             continue
         if not closing:
-            names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower() if "=" in attributes else ""
-            is_article = tag in _ARTICLE
-            off = (tag in _ASIDE and not (tag == "header" and article)) or bool(not is_article and tag not in ("body", "html") and names and _HINT.search(names)) or bool(
-                attributes and _HIDDEN.search(attributes))
-            if tag == "a" or off or is_article or tag not in _INLINE:
-                if tag not in ("p", "li", "br", "dt", "dd", "option", "tr", "td", "th") or off:
-                    open_.append((tag, off, is_article, tag == "a"))
-                    aside, article, link = aside + off, article + is_article, link + (tag == "a")
+            own = attributes_of(attributes) if attributes.strip() else {}
+            is_article = tag in _ARTICLE or own.get("role", "").strip().lower() == "main"
+            off = tag in _ASIDE and not (tag == "header" and article)
+            hinted = False
+            if own and tag not in ("body", "html"):
+                off = off or _is_hidden(own)
+                # inside an article the ids of sections are the slugs of their headings
+                slug = tag == "section" and article and not (over and not any(e.tag == "article" for e in open_))
+                hinted = not (off or is_article or tag in _HEADINGS or tag in _INLINE) and _is_part(own, not slug)
+            if is_article and not seen:
+                seen, around_first = True, [e for e in open_ if e.hinted]
+            if tag == "a" or off or hinted or is_article or tag not in _INLINE:
+                if tag not in ("p", "li", "br", "dt", "dd", "option", "tr", "td", "th") or off or hinted:
+                    open_.append(_Open(tag, int(off or hinted), hinted, is_article, tag == "a"))
+                    article, link = article + is_article, link + (tag == "a")
         else:
             for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == tag:
-                    for _, was_off, was_article, was_link in open_[i:]:
-                        aside, article, link = aside - was_off, article - was_article, link - was_link
+                if open_[i].tag == tag:
+                    over = over or any(e.tag == "article" for e in open_[i:])
+                    article, link = article - sum(e.article for e in open_[i:]), link - sum(e.link for e in open_[i:])
                     del open_[i:]
                     break
-    if block := flush():
-        yield block
+    flush()
+    if around_first:  # names don't make a part of what holds the article; teasers in a part are shorter than the page's own text
+        inside = sum(n for _, n, _, parts, articles in found if articles and all(e in around_first for e in parts))
+        if inside > sum(n for _, n, _, parts, _ in found if not parts):
+            for e in around_first:
+                e.part = 0
+    for text, n, inside, parts, articles in found:
+        yield text, n, inside, sum(e.part for e in parts), articles
 
 
 def features(flat: list[tuple[str, int, int, int, int]]) -> np.ndarray:

@@ -74,6 +74,22 @@ def test_main_text(spark):
         assert html_text.main_text(r.html, tree) == " ".join(html_text.entities.unescape(html_text.re.sub(r"<[^>]*>", " ", body)).split())
 
 
+def test_names_and_hidden_attributes_lose_no_article():
+    tree = html_text.trained()
+    long = "word " * 30
+    for page in (f'<body class="overflow-hidden"><article class="rounded overflow-hidden"><p>{long}</p></article></body>', f'<article title="A hidden valley" data-hidden><p>{long}</p></article>',
+                 f'<div class="post hentry tag-python"><article><p>{long}</p></article></div>', f'<div class="has-sidebar content"><article><p>{long}</p></article></div>',
+                 f'<div class="related"><article><p>{long}</p></article></div>', f'<article><h2 id="related-work"></h2><section id="search"><p>{long}</p></section></article>',
+                 f'<body style="display:none"><noscript><article><p>{long}</p></article>', f'<style>p{{}}<article><p>{long}</p></article>'):
+        assert html_text.main_text(page, tree) == long.strip(), page
+    page = '<article><h1>Title</h1><h2 id="search">Search</h2><p id="tag-x">{}</p></article>{}'
+    for part in ('<div class="main-menu">x</div>', '<ul id="share-buttons">x</ul>', "<div hidden>x</div>", '<div aria-hidden="true">x</div>', '<div style="display: none">x</div>',
+                 '<div aria-label="Related posts"><article>x</article></div>', '<section id="comments"><article>x</article></section>'):
+        assert html_text.main_text(page.format(long, part), tree) == f"Title Search {long.strip()}", part
+    main = f'<main><article><p>{long}</p></article><section id="comments"><p>x</p></section></main>'
+    assert html_text.main_text(main, tree) == long.strip()
+
+
 def test_quotation_linking(spark):
     rows = [(1, 0, "user", "Hello there, how are you?\nSecond line here.\n\nAnother paragraph of text."), (1, 1, "a", "> Hello there, how are you?\n\nFine thanks."),
             (1, 2, "u", "Bob wrote:\n> > hello there how ARE you\n> Fine thanks.\nGood."), (1, 3, "x", "> another paragraph of text\nYes."), (1, 4, "x", "no quotes"),
