@@ -30,6 +30,7 @@ _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col
 _ASIDE = {"nav", "footer", "aside", "form", "menu", "header", "button", "select", "dialog", "fieldset", "label"}
 _ARTICLE = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_TEXTUAL = {"p", "li", "dt", "dd", "td", "th", "caption", "figcaption", "blockquote", "pre", "summary"}
 _PART = (r"(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|widgets?|footer|(?:site|page)-?header|masthead|"
          r"topbar|comments?|respond|replies|disqus|cookies?|consent|notice|gdpr|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|popular|tags?|pagination|pager|"
          r"search|popup|modal|overlay|disclaimer|copyright|complementary|contentinfo|alertdialog|alert)")
@@ -69,14 +70,14 @@ class _Open:
     link: bool
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, int, int, int]]:
-    """(text, words, words inside links, page parts without article around it, articles around it) of every flat block."""
+def blocks(page: str) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(text, words, words inside links, page parts without article around it, articles around it, kind) of every flat block."""
     held: list[str] = []
     linked: list[str] = []
     open_: list[_Open] = []
-    found: list[tuple[str, int, int, list[_Open], int]] = []
+    found: list[tuple[str, int, int, list[_Open], int, int]] = []
     around_first: list[_Open] = []  # hinted elements around the first article
-    article = link = at = 0
+    article = link = at = kind = 0
     seen = over = False  # an article has begun; an <article> has ended
 
     def flush() -> None:
@@ -85,7 +86,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, int]]:
         held.clear()
         linked.clear()
         if text:
-            found.append((" ".join(text), len(text), min(inside, len(text)), [e for e in open_ if e.part], article))
+            found.append((" ".join(text), len(text), min(inside, len(text)), [e for e in open_ if e.part], article, kind))
 
     def say(piece: str) -> None:
         if piece:
@@ -126,6 +127,8 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, int]]:
             flush()
         if tag in _VOID or attributes.endswith("/"):
             continue
+        if tag not in _INLINE:
+            kind = 0 if closing else 2 if tag in _HEADINGS else int(tag in _TEXTUAL)
         if not closing:
             own = attributes_of(attributes) if attributes.strip() else {}
             is_article = tag in _ARTICLE or own.get("role", "").strip().lower() == "main"
@@ -151,25 +154,30 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, int]]:
                     break
     flush()
     if around_first:  # names don't make a part of what holds the article; teasers in a part are shorter than the page's own text
-        inside = sum(n for _, n, _, parts, articles in found if articles and all(e in around_first for e in parts))
-        if inside > sum(n for _, n, _, parts, _ in found if not parts):
+        inside = sum(n for _, n, _, parts, articles, _ in found if articles and all(e in around_first for e in parts))
+        if inside > sum(n for _, n, _, parts, _, _ in found if not parts):
             for e in around_first:
                 e.part = 0
-    for text, n, inside, parts, articles in found:
-        yield text, n, inside, sum(e.part for e in parts), articles
+    for text, n, inside, parts, articles, kind in found:
+        yield text, n, inside, sum(e.part for e in parts), articles, kind
 
 
-def features(flat: list[tuple[str, int, int, int, int]]) -> np.ndarray:
-    """Per block: words and link density of the block before, of it and of the block after, parts and
-    articles around it, and whether the page has an article."""
-    table = np.zeros((len(flat), 9))
+def features(flat: list[tuple[str, int, int, int, int, int]]) -> np.ndarray:
+    """Per block: words and link density of the block before, of it and of the block after, parts and articles around it,
+    whether the page has an article outside parts, its kind (heading 2, paragraph, item or cell 1, other 0), and the words of
+    the longest block of unlinked text outside parts anywhere before and after it."""
+    table = np.zeros((len(flat), 12))
     words = np.array([b[1] for b in flat], float)
     density = np.array([b[2] for b in flat], float) / np.maximum(words, 1)
     table[1:, 0], table[1:, 1] = words[:-1], density[:-1]
     table[:, 2], table[:, 3] = words, density
     table[:-1, 4], table[:-1, 5] = words[1:], density[1:]
     table[:, 6], table[:, 7] = [b[3] for b in flat], [b[4] for b in flat]
-    table[:, 8] = table[:, 7].max(initial=0)
+    table[:, 8] = ((table[:, 7] > 0) & (table[:, 6] == 0)).any()
+    table[:, 9] = [b[5] for b in flat]
+    plain = np.where((table[:, 6] == 0) & (density < 0.5), words, 0)
+    table[1:, 10] = np.maximum.accumulate(plain)[:-1]
+    table[:-1, 11] = np.maximum.accumulate(plain[::-1])[::-1][1:]
     return table
 
 
@@ -182,13 +190,15 @@ PIECES = (
     ("out", "<aside><p>W</p></aside>", 0), ("out", "<div>L</div><div>L</div>", 0), ("out", "<ul><li>L</li><li>L</li></ul>", 0), ("out", "<p>L L L</p>", 0), ("out", "<div>W</div>", 0), ("out", "<p>W L</p>", 0),
     ("in", "<h1>W</h1>", 1), ("in", "<h2>W</h2>", 1), ("in", "<p>W</p>", 1), ("in", "<p>W</p><p>W</p>", 1), ("in", "<p>W L W</p>", 1), ("in", "<p><b>W</b></p>", 1),
     ("in", "<blockquote>W</blockquote>", 1), ("in", "<ul><li>W</li><li>W</li></ul>", 1), ("in", "<p>W<br>W</p>", 1), ("in", "<table><tr><td>W</td><td>W</td></tr></table>", 1),
+    ("in", "<div>W</div>", 1), ("in", "<p>W L W L W</p>", 1), ("in", "<h2>W</h2><p>W L</p>", 1), ("in", "<ul><li>W</li><li>W L</li><li>W</li><li>W</li></ul>", 1), ("in", "<h3>W</h3><p>W</p>", 1),
+    ("in", "<table><tr><th>W</th><th>W</th></tr><tr><td>W</td><td>L</td></tr></table>", 1), ("in", "<dl><dt>W</dt><dd>W</dd></dl>", 1),
     ("in", '<div class="share">L L</div>', 0), ("in", '<div class="advert">W</div>', 0), ("in", '<ul class="related"><li>L</li><li>L</li></ul>', 0),
     ("in", '<aside class="promo">W</aside>', 0), ("in", "<form><label>W</label></form>", 0),
 )
 FRAMES = ("<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>')
 
 
-def labelled_blocks(pages: int = 300, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def labelled_blocks(pages: int = 900, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the blocks of pages put together from the labelled pieces."""
     rng = np.random.default_rng(seed)
     rows, labels = [], []
@@ -198,13 +208,11 @@ def labelled_blocks(pages: int = 300, seed: int = 5) -> tuple[np.ndarray, np.nda
         def fill(piece: tuple[str, str, int], longest: int) -> str:
             sign = "t" if piece[2] else "o"
             some = lambda least, most: " ".join([sign * 3] * int(rng.integers(least, most + 1)))
-            size = lambda: some(*((9, 60) if longest > 100 else (1, longest)))
-            return re.sub("[WL]", lambda m: size() if m[0] == "W" else f"<a href=x>{some(1, 3)}</a>", piece[1])
+            return re.sub("[WL]", lambda m: some(1, longest) if m[0] == "W" else f"<a href=x>{some(1, 3)}</a>", piece[1])
 
         outside, inside = ([p for p in PIECES if p[0] == where] for where in ("out", "in"))
-        plain = "div" in frame
         pick = lambda pieces, most: [pieces[i] for i in rng.integers(0, len(pieces), int(rng.integers(0, most + 1)))]
-        body = "".join(fill(p, 101 if plain and p[2] else int(rng.choice([3, 12, 80]))) for p in pick(inside, 8))
+        body = "".join(fill(p, int(rng.choice([3, 12, 80]))) for p in pick(inside, 8))
         page = "".join(fill(p, 14) for p in pick(outside, 3)) + frame.format(body) + "".join(fill(p, 14) for p in pick(outside, 3))
         flat = list(blocks(page))
         if not flat:
@@ -217,7 +225,7 @@ def labelled_blocks(pages: int = 300, seed: int = 5) -> tuple[np.ndarray, np.nda
 class Tree:
     """A classification tree by Gini impurity; leaves hold the majority (ties: not text)."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 7):
+    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 12):
         self.column = None
         self.text = bool(labels.sum() * 2 > len(labels))
         if not depth or labels.min() == labels.max():

@@ -90,6 +90,18 @@ def test_names_and_hidden_attributes_lose_no_article():
     assert html_text.main_text(main, tree) == long.strip()
 
 
+def test_pages_without_article_keep_short_text():
+    tree, long = html_text.trained(), "lorem ipsum dolor sit amet " * 6
+    text = (f"<h1>A title</h1><p>By someone</p><p>{long}</p><h2>Part</h2><p>Short one.</p><ul><li>one</li><li>two words</li><li>three</li></ul><p>{long}<a href=x>link</a></p>"
+            f"<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table><h2>End</h2><p>{long}<a href=y>and more</a></p><p>Bye now.</p>")
+    whole = " ".join(html_text.re.sub(r"<[^>]*>", " ", text).split())
+    for before in ("", "<nav><a href=1>Home</a></nav>", "<div><a href=1>Home</a></div><div><a href=2>About us</a></div>"):
+        for frame in ('<div class="content">{}</div>', "<div><div>{}</div></div>", "{}"):
+            for after in ("", "<footer>foot</footer>", '<div class="sidebar">x y z</div>'):
+                assert html_text.main_text(before + frame.format(text) + after, tree) == whole
+    assert html_text.main_text(f'<div class="content"><p>{long}</p></div><div class="related"><article>teaser</article></div>', tree) == long.strip()
+
+
 def test_quotation_linking(spark):
     rows = [(1, 0, "user", "Hello there, how are you?\nSecond line here.\n\nAnother paragraph of text."), (1, 1, "a", "> Hello there, how are you?\n\nFine thanks."),
             (1, 2, "u", "Bob wrote:\n> > hello there how ARE you\n> Fine thanks.\nGood."), (1, 3, "x", "> another paragraph of text\nYes."), (1, 4, "x", "no quotes"),
