@@ -3,8 +3,9 @@
 Segments with digits, hex runs or the like become lexical wildcards at once, so the tree is built over the distinct
 templates of a host, not over its pages. Level by level, siblings whose share of blocked pages does not differ significantly
 from that of all siblings merge into one wildcard branch; the rest keep their names. A template's purity is its share of
-blocked pages among all, smoothed by its host's share and that by the share of all pages; a template with more than half is
-rejected. Labels are the verdicts of the rules by default, or a given table (page_id, blocked).
+blocked pages among its labelled ones, smoothed by its host's share and that by the share of all labelled pages; a template
+with more than half is rejected. Labels are the verdicts of the rules by default, or a given table (page_id, blocked). Pages
+without a label count nowhere: not in shares, errors, least sizes or smoothing.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is judged with all others of that kind;
 repeated rows count as often as they occur; without labels all templates pass; paths deeper than ``depth`` segments share the
@@ -22,7 +23,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 DEPTH = 6
 STRENGTH = 10.0
 DIFFERENT = 2.58  # standard errors
-LEAST = 5  # pages of a branch that may keep its name against the pooled share
+LEAST = 5  # labelled pages of a branch that may keep its name against the pooled share
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,15 +58,15 @@ def segments(path: Column, depth: int = DEPTH) -> Column:
 
 def templates(judged: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(host, lexical, template): where each lexical template of a host stands in the host's tree. ``judged``: host, lexical
-    (segments), n pages, b of them blocked."""
+    (segments), n labelled pages, b of them blocked."""
     placed = judged.withColumn("template", F.array().cast("array<string>"))
     for level in range(depth):
         at = written(placed.withColumn("_child", F.coalesce(F.get("lexical", F.lit(level)), F.lit(""))), "level")  # read twice below
         child = at.groupBy("host", "template", "_child").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b"))
         pool = child.groupBy("host", "template").agg(F.sum("_n").alias("_all"), F.sum("_b").alias("_blocked"))
-        share = F.col("_blocked") / F.col("_all")
-        error = F.sqrt(share * (1 - share) / F.col("_n"))
-        own = (F.col("_n") >= LEAST) & (F.abs(F.col("_b") / F.col("_n") - share) > DIFFERENT * error)
+        share = F.try_divide("_blocked", "_all")  # null where no page has a label: no branch keeps its name
+        error = F.sqrt(F.try_divide(share * (1 - share), F.col("_n")))
+        own = (F.col("_n") >= LEAST) & (F.abs(F.try_divide("_b", "_n") - share) > DIFFERENT * error)
         named = (child.join(pool, ["host", "template"]).withColumn("_name", F.when(F.col("_child") == "", F.lit("")).when(own, F.col("_child")).otherwise(F.lit("*")))
                  .select("host", "template", "_child", "_name"))
         placed = (at.join(named, ["host", "template", "_child"])
@@ -75,17 +76,18 @@ def templates(judged: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels: DataFrame | None = None, depth: int = DEPTH,
-          strength: float = STRENGTH) -> DataFrame:
-    """Per page: page_id, host, path, rule, verdict, template and purity."""
+          strength: float = STRENGTH, unfitted: int | None = None) -> DataFrame:
+    """Per page: page_id, host, path, rule, verdict, template and purity. ``unfitted``: the label of pages that no rule fits
+    where the rules' verdicts are the labels (0 clean, 1 blocked, None no label)."""
     parts = with_parts(pages).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("lexical", segments(F.col("path"), depth))
     blocking = [r for v, r in rules if v == "block"]
     by_rule = F.coalesce(F.col("rule").isin(blocking), F.lit(False))
     if labels is None:
-        counted = parts.withColumn("_bad", by_rule.cast("long"))
+        counted = parts.withColumn("_bad", F.when(F.col("rule").isNull(), F.lit(unfitted).cast("long")).otherwise(by_rule.cast("long")))
     else:
         own = labels.groupBy("page_id").agg(F.max(F.col("blocked").cast("long")).alias("_bad"))
-        counted = parts.join(own, "page_id", "left").withColumn("_bad", F.coalesce("_bad", F.lit(0)))
-    lexical = counted.groupBy("host", "lexical").agg(F.count(F.lit(1)).alias("n"), F.sum("_bad").alias("b"))
+        counted = parts.join(own, "page_id", "left")
+    lexical = counted.groupBy("host", "lexical").agg(F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("b"))
     placed = templates(lexical, depth)
     of_all = placed.agg(((F.sum("b") + 1.0) / (F.sum("n") + 2.0)).alias("_everywhere"))  # one row
     of_host = placed.groupBy("host").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b")).crossJoin(F.broadcast(of_all)).select(

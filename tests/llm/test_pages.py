@@ -58,6 +58,22 @@ def test_templates_by_purity(spark):
     assert all(r.verdict == "allow" for r in url_tree.judge(table.drop("blocked")).collect())
 
 
+def test_few_labels_reject_a_template(spark):
+    rows = [(n, f"http://h.io/spam/{n}.html", 1) for n in range(400)] + [(1000 + n, f"http://h.io/news/{n}", 0) for n in range(400)] + [(2000, "http://o.io/a", 0)]
+    table = spark.createDataFrame(rows, "page_id long, url string, blocked int")
+    labels = table.filter("page_id % 1000 < 40").select("page_id", "blocked")
+    labels = labels.union(spark.createDataFrame([(50, None)], "page_id long, blocked int"))
+    got = {r.page_id: r for r in url_tree.judge(table.drop("blocked"), labels=labels).collect()}
+    few = {r.page_id: r for r in url_tree.judge(table.drop("blocked").filter("page_id % 1000 < 40"), labels=labels).collect()}
+    assert [got[i].verdict for i in (0, 399, 1399)] == ["block", "block", "allow"] and got[0].template == "/spam/*"
+    assert len(got) == 801 and all(abs(got[i].purity - few[i].purity) < 1e-9 for i in few)
+    none = url_tree.judge(table.drop("blocked"), labels=labels.limit(0)).collect()
+    assert {(r.verdict, r.purity) for r in none} == {("allow", 0.5)}
+    rules = spark.createDataFrame([(1, "http://a.net/x/1"), (2, "http://a.net/x/2")], "page_id long, url string")
+    plain = {unfitted: url_tree.judge(rules, rules=(("block", "a.net/x/1"),), unfitted=unfitted).filter("page_id = 2").first().purity for unfitted in (0, None)}
+    assert plain[0] < plain[None]
+
+
 def test_main_text(spark):
     tree = html_text.trained()
     page = ("<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><nav><a href=1>Home</a></nav><div class='ad'>Buy this now please</div><article><h1>A title</h1>"
