@@ -13,6 +13,7 @@ documents; an empty table gives no rows; other columns of the documents play no
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -30,20 +31,31 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 RANK_BUCKETS = 256
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of the JSON form that lies beside a rank file, with their ids."""
+    with open(f"{path.removesuffix('.tiktoken')}.json", encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    odd = [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    if odd:
+        raise ValueError(f"added tokens that take more than their own string: {odd}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str):
-    """Byte-level BPE with the merges of a public vocabulary; special strings in a text are ordinary text. This library gives
-    the same ids as the vocabulary's JSON form, in about a quarter of the time."""
+def _encoder(path: str, added: bool):
+    """Byte-level BPE with the merges of a public vocabulary, in about a quarter of the time that its JSON form takes. With
+    ``added`` a text is first split at the JSON's added tokens, which get their own ids, as the JSON form does by default;
+    without, these strings are ordinary text."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path) if added else {})
 
 
-def token_ids(text: str, path: str, end_token: int = END_TOKEN) -> np.ndarray:
-    ids = _encoder(path).encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+def token_ids(text: str, path: str, end_token: int = END_TOKEN, added: bool = False) -> np.ndarray:
+    ids = _encoder(path, added).encode_to_numpy(text, allowed_special="all", disallowed_special=()) if text else np.zeros(0, np.uint32)
     return np.append(ids, end_token).astype("<u4")
 
 
@@ -54,7 +66,7 @@ def piece_bounds(length: int, capacity: int) -> list[tuple[int, int]]:
     return bounds + [(start, capacity) for start in range(rest, length, capacity)]
 
 
-def _cutter(path: str, capacity: int, end_token: int, with_ids: bool):
+def _cutter(path: str, capacity: int, end_token: int, with_ids: bool, added: bool):
     def cut(batches):
         for batch in batches:
             text = batch.column("text")
@@ -62,7 +74,7 @@ def _cutter(path: str, capacity: int, end_token: int, with_ids: bool):
             for lo, hi in row_slices(at, 1 << 20):
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, t in enumerate(text.slice(lo, hi - lo).to_pylist(), lo):
-                    own = token_ids(t or "", path, end_token)
+                    own = token_ids(t or "", path, end_token, added)
                     for j, (a, n) in enumerate(piece_bounds(len(own), capacity)):
                         doc.append(i)
                         piece.append(j)
@@ -81,15 +93,16 @@ def _cutter(path: str, capacity: int, end_token: int, with_ids: bool):
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_token: int = END_TOKEN,
-           with_ids: bool = False) -> DataFrame:
-    """Token pieces of all documents: doc_id, piece, start, length, ids_crc32, and ids if asked for."""
+           with_ids: bool = False, added: bool = False) -> DataFrame:
+    """Token pieces of all documents: doc_id, piece, start, length, ids_crc32, and ids if asked for. ``added``: the
+    vocabulary's added tokens in a text are single tokens."""
     import public_tokenizers
 
     prepared(docs.sparkSession)
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
               + ", ids array<int>" * with_ids)
-    return docs.select("doc_id", "text").mapInArrow(tidy(_cutter(path, capacity, end_token, with_ids)), schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_cutter(path, capacity, end_token, with_ids, added)), schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -189,6 +202,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = RANK_BUCKETS)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_token: int = END_TOKEN,
-                   with_ids: bool = False) -> DataFrame:
+                   with_ids: bool = False, added: bool = False) -> DataFrame:
     """Tokenise, cut and pack all documents: one row per piece."""
-    return pack(written(pieces(docs, vocabulary, capacity, end_token, with_ids), "pieces"), capacity)
+    return pack(written(pieces(docs, vocabulary, capacity, end_token, with_ids, added), "pieces"), capacity)

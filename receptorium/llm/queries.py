@@ -44,7 +44,7 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), added=True)
 
 
 def op9_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,21 @@ def test_packing(spark, odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_queries_give_added_tokens_their_id(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reader = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path(packing.VOCABULARY)
+    texts = ["<|endoftext|>", "a  <|endoftext|>  b<|endoftext|><|endoftext|>\n c", "<|endoftext| >", " <|endoftext|>ñ", "plain  text \n"]
+    assert all(packing.token_ids(t, path, added=True).tolist() == reader.encode(t, add_special_tokens=False).ids + [2] for t in texts)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: zlib.crc32(b"".join(x.to_bytes(4, "little") for x in reader.encode(t, add_special_tokens=False).ids + [2])) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids_crc32 for r in queries.QUERIES["op8_large_item_packing"](spark, str(tmp_path)).collect()} == want
+    stage = dict(corpus_pipeline.STAGES)["best_fit_packing"]
+    assert {r.doc_id: r.ids_crc32 for r in stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()} == want
+
+
 # --- the pipeline --------------------------------------------------------------------------------------
 
 def test_pipeline(spark):
