@@ -2,8 +2,9 @@
 
 Each task cuts its texts into shards of bounded size and indexes their words (fm_index). Every window of the benchmark is a
 test phrase: backward search through the wavelet tree gives its occurrences, sampled suffix positions give their places,
-and overlapping places merge into spans. Benchmark texts come in blocks of bounded size, one broadcast and one pass each, so
-no broadcast grows with the benchmark; documents are never shuffled.
+and overlapping places merge into spans. Tasks cut the benchmark into phrase blocks of bounded size, files in the shared
+folder; a task reads one block at a time and searches its own texts for all of them, so the documents are read once and never
+shuffled, and no result depends on which items share a block.
 
 Defined cases: a null or empty text has no words and is never hit; an item without words has no window; an item with a null
 id still hits and is listed as an empty string; repeated rows are judged one by one; an empty benchmark hits nothing. Other
@@ -12,15 +13,18 @@ columns of the documents are passed through, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow.fs
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from receptorium.llm.fm_index import FMIndex
-from receptorium.llm.shared import prepared, row_slices, text_buffer, tidy, written
+from receptorium.llm.shared import fresh_path, prepared, row_slices, text_buffer, tidy
 from receptorium.llm.words import letters_and_digits, word_table
 
 SHARD_BYTES = 4 << 20
@@ -64,34 +68,89 @@ def phrases_of(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases:
                    [name for name, _ in items])
 
 
-def blocks_of(benchmark: DataFrame, window: int, most: int) -> Iterator[Phrases]:
-    """The benchmark in blocks of about ``most`` bytes of text, fetched row by row."""
-    block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text")).toLocalIterator():
-        text = row[1] or ""
-        if block and size + len(text.encode()) > most:
-            yield phrases_of(block, window)
-            block, size = [], 0
-        block.append((row[0] or "", text))
-        size += len(text.encode())
-    if block:
-        yield phrases_of(block, window)
+def _file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+
+
+def _block_writer(folder: str, window: int, most: int):
+    def write(batches):
+        fs, path = _file_system(folder)
+        block, size = [], 0
+
+        def stored() -> pa.RecordBatch:
+            name = f"{path}/{uuid.uuid4().hex}.phrases"
+            with fs.open_output_stream(name, compression=None) as out:
+                out.write(pickle.dumps(phrases_of(block, window), protocol=5))
+            return pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                more = len((text or "").encode())
+                if block and size + more > most:
+                    yield stored()
+                    block, size = [], 0
+                block.append((item or "", text or ""))
+                size += more
+        if block:
+            yield stored()
+    return write
+
+
+def stored_blocks(benchmark: DataFrame, window: int, most: int) -> tuple[str, list[str]]:
+    """The shared folder and the file names of the benchmark's phrase blocks, each of about ``most`` bytes of text. Only names
+    reach the driver; files of failed attempts are not among them."""
+    spark = benchmark.sparkSession
+    prepared(spark)
+    folder = fresh_path(spark, "phrases")
+    fs, path = _file_system(folder)
+    fs.create_dir(path, recursive=True)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    names = items.coalesce(max(1, -(-size // most))).mapInArrow(tidy(_block_writer(folder, window, most)), "name string").collect()
+    return folder, sorted(r[0] for r in names)
+
+
+_LAST: dict[str, Phrases] = {}
+
+
+def _reader(folder: str, names: list[str]) -> Callable[[], Iterator[Phrases]]:
+    """Reads all blocks in turn; a worker holds the last one only."""
+    def read() -> Iterator[Phrases]:
+        fs, _ = _file_system(folder)
+        for name in names:
+            if name not in _LAST:
+                _LAST.clear()
+                with fs.open_input_file(name) as file:
+                    _LAST[name] = pickle.loads(file.read())
+            yield _LAST[name]
+    return read
 
 
 @dataclass
 class Hits:
-    """Words of some texts, which of them are covered by occurrences, and (row, item) pairs."""
+    """Words of some texts, which of them are covered by occurrences, and ids of the items found in a row."""
 
     start: np.ndarray
     end: np.ndarray
     row: np.ndarray
     covered: np.ndarray
-    pairs: np.ndarray
+    items: dict[int, set[str]]
 
 
-def hits_in(data: np.ndarray, at: np.ndarray, phrases: Phrases) -> Hits:
-    """Index one shard and find every occurrence of every phrase."""
+def hits_in(data: np.ndarray, at: np.ndarray, blocks: Iterable[Phrases]) -> Hits:
+    """Find every occurrence of every phrase of all blocks in one shard."""
     start, end, code, row = word_table(data, at, letters_and_digits())
+    covered, items = np.zeros(len(code), bool), {}
+    for phrases in blocks if len(code) else ():
+        own, pairs = _found(code, row, phrases)
+        covered |= own
+        for r, i in pairs.tolist():
+            items.setdefault(r, set()).add(phrases.items[i])
+    return Hits(start, end, row, covered, items)
+
+
+def _found(code: np.ndarray, row: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """Index the words of a shard for one block: which are covered by occurrences, and (row, item) pairs."""
     covered, pairs = np.zeros(len(code), bool), np.zeros((0, 2), np.int64)
     place = np.searchsorted(phrases.vocabulary, code)
     place[place == len(phrases.vocabulary)] = 0
@@ -117,7 +176,7 @@ def hits_in(data: np.ndarray, at: np.ndarray, phrases: Phrases) -> Hits:
         count = np.searchsorted(phrases.of_phrase[by_phrase], found[:, 0], "right") - begin
         item = phrases.of_item[by_phrase[np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]]
         pairs = np.unique(np.stack([np.repeat(found[:, 1], count), item], 1), axis=0)
-    return Hits(start, end, row, covered, pairs)
+    return covered, pairs
 
 
 def _runs(covered: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,39 +189,21 @@ def _runs(covered: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return on[new], on[np.append(np.flatnonzero(new)[1:] - 1, len(on) - 1)]
 
 
-def _merged(old: list[list[int]], new: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted([*old, *new]):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
-
-
-def _finder(phrases, names: tuple[str, str, str], shard: int):
-    n_name, spans_name, items_name = names
-
+def _finder(blocks: Callable[[], Iterator[Phrases]], names: tuple[str, str, str], shard: int):
     def find(batches):
-        block = phrases.value
         for batch in batches:
             data, at = text_buffer(batch.column("text"))
             n_words, spans, items = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
             for lo, hi in row_slices(at, shard):
-                got = hits_in(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], block)
+                got = hits_in(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], blocks())
                 n_words[lo:hi] = np.bincount(got.row, minlength=hi - lo)
                 begin = np.searchsorted(got.row, np.arange(hi - lo))
                 for a, b in zip(*_runs(got.covered, got.row), strict=True):
                     r = int(got.row[a])
                     spans[lo + r].append([int(a - begin[r]), int(b - begin[r]) + 1])
-                for r, i in got.pairs:
-                    items[lo + int(r)].append(block.items[i])
-            if spans_name in batch.schema.names:
-                spans = [_merged(x, y) for x, y in zip(batch.column(spans_name).to_pylist(), spans, strict=True)]
-                items = [sorted({*x, *y}) for x, y in zip(batch.column(items_name).to_pylist(), items, strict=True)]
-                batch = batch.drop_columns([n_name, spans_name, items_name])
-            columns = [*batch.columns, pa.array(n_words), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                       pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))]
+                for r, own in got.items.items():
+                    items[lo + r] = sorted(own)
+            columns = [*batch.columns, pa.array(n_words), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
     return find
 
@@ -189,47 +230,38 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     added = [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.ArrayType(T.LongType()))),
              T.StructField(names[2], T.ArrayType(T.StringType()))]
     schema = T.StructType([*docs.schema.fields, *added])
-    out, first = docs, True
-    for block in _at_least_one(blocks_of(benchmark, window, block_bytes), window):
-        if not first:
-            out = written(out, "overlaps")
-        out = out.mapInArrow(tidy(_finder(spark.sparkContext.broadcast(block), names, shard_bytes)), schema)
-        first = False
-    return out
+    return docs.mapInArrow(tidy(_finder(_reader(*stored_blocks(benchmark, window, block_bytes)), names, shard_bytes)), schema)
 
 
-def _at_least_one(blocks: Iterator[Phrases], window: int) -> Iterator[Phrases]:
-    none = True
-    for block in blocks:
-        none = False
-        yield block
-    if none:
-        yield phrases_of([], window)
+def cut_texts(texts: list[bytes], blocks: Callable[[], Iterable[Phrases]]) -> list[bytes]:
+    """``texts`` without the words inside occurrences of any block, searched again until the joined rest has none either."""
+    out, left = list(texts), [i for i, text in enumerate(texts) if text]
+    while left:
+        at = np.cumsum([0, *(len(out[i]) for i in left)])
+        got = hits_in(np.frombuffer(b"".join(out[i] for i in left), np.uint8), at, blocks())
+        first, last = _runs(got.covered, got.row)
+        edges = np.stack([got.start[first], got.end[last]], 1)
+        rows = got.row[first]
+        hit = np.unique(rows)
+        for r in hit.tolist():
+            text, own = out[left[r]], (edges[rows == r] - at[r]).ravel().tolist()
+            out[left[r]] = b"".join(text[a:b] for a, b in zip([0, *own[1::2]], [*own[0::2], len(text)], strict=True))
+        left = [left[r] for r in hit.tolist()]
+    return out
 
 
-def cut_text(text: bytes, phrases: Phrases) -> bytes:
-    """``text`` without the words inside occurrences, searched again until the joined rest has none either."""
-    while True:
-        at = np.array([0, len(text)])
-        got = hits_in(np.frombuffer(text, np.uint8), at, phrases)
-        first, last = _runs(got.covered, got.row)
-        if not len(first):
-            return text
-        edges = np.stack([got.start[first], got.end[last]], 1).ravel().tolist()
-        text = b"".join(text[a:b] for a, b in zip([0, *edges[1::2]], [*edges[0::2], len(text)], strict=True))
+def cut_text(text: bytes, *phrases: Phrases) -> bytes:
+    return cut_texts([text], lambda: phrases)[0]
 
 
-def _remover(phrases, shard: int):
+def _remover(blocks: Callable[[], Iterator[Phrases]], shard: int):
     def remove(batches):
-        block = phrases.value
         for batch in batches:
             data, at = text_buffer(batch.column("text"))
             keep, changed = np.ones(batch.num_rows, bool), {}
             for lo, hi in row_slices(at, shard):
-                got = hits_in(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], block)
-                for r in np.unique(got.row[got.covered]):
-                    i = lo + int(r)
-                    changed[i] = cut_text(data[at[i]:at[i + 1]].tobytes(), block)
+                old = [data[at[i]:at[i + 1]].tobytes() for i in range(lo, hi)]
+                changed |= {i: new for i, (text, new) in enumerate(zip(old, cut_texts(old, blocks), strict=True), lo) if len(new) < len(text)}
             if changed:
                 table = letters_and_digits()
                 text = batch.column("text").to_pylist()
@@ -251,15 +283,10 @@ def _remover(phrases, shard: int):
 def remove_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES,
                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with every occurrence of a benchmark window cut out of ``text`` (``n_chars`` follows where it exists); a
-    document of which no word is left goes, others and all other columns stay. With several blocks the passes run
-    twice, so that what a later cut joins is searched for the earlier blocks as well."""
-    spark = docs.sparkSession
-    prepared(spark)
-    blocks = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, window, block_bytes)]
-    out = docs
-    for i, block in enumerate(blocks if len(blocks) < 2 else blocks * 2):
-        out = (written(out, "cut") if i else out).mapInArrow(tidy(_remover(block, shard_bytes)), docs.schema)
-    return out
+    document of which no word is left goes, others and all other columns stay. All occurrences in a text are cut together,
+    and the joined rest is searched again until none is left."""
+    prepared(docs.sparkSession)
+    return docs.mapInArrow(tidy(_remover(_reader(*stored_blocks(benchmark, window, block_bytes)), shard_bytes)), docs.schema)
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -55,6 +55,18 @@ def test_removed_rest_is_searched_again():
     assert decontaminate.cut_text(b"1 a b x y c d 2", phrases) == b"1  2"
 
 
+def test_blocks_of_any_size_cut_the_same(spark):
+    bench = spark.createDataFrame([(1, "a b c"), (2, "c d e"), (3, "p q r"), (4, "s t u"), (5, "v w x")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "0 p s v w x t u q s t u r 0"), (3, "A, b c d"), (4, None), (5, "...")], "doc_id long, text string")
+    for block in (1 << 20, 12, 1):
+        clean = {r.doc_id: r.text for r in decontaminate.remove_overlaps(docs, bench, block_bytes=block).collect()}
+        assert clean[2].split() == ["0", "0"] and {**clean, 2: ""} == {2: "", 3: " d", 4: None, 5: "..."}
+        found = {r.doc_id: (r.spans, r["items"]) for r in decontaminate.find_overlaps(docs, bench, block_bytes=block).collect()}
+        assert found[1] == ([[0, 5]], ["1", "2"]) and found[2] == ([[3, 6], [9, 12]], ["4", "5"])
+    plan = decontaminate.find_overlaps(docs, bench, block_bytes=1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # the documents are read once
+
+
 # --- language ------------------------------------------------------------------------------------------
 
 def test_language(spark, odd, none):
