@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from receptorium.llm import decontaminate, html_text, language, minhash, packing, quality, quotes, secrets, url_tree, warc
+from receptorium.llm import decontaminate, html_text, language, minhash, packing, quality, quotes, repair, secrets, url_tree, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +55,9 @@ def op10_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op13_ida_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damage(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_trigram_secrets, op3_gru_language, op4_fm_decontaminate, op5_rule_ledger, op6_probminhash_classes, op7_warc_round_trip,
-                                   op8_large_item_packing, op9_template_tree, op10_block_tree)}
+                                   op8_large_item_packing, op9_template_tree, op10_block_tree, op13_ida_repair)}

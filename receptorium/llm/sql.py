@@ -70,4 +70,49 @@ f AS (SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 5
                 + 8 * CAST(10 * n_upper > 3 * word_chars AS BIGINT) + 16 * CAST(100 * n_dup_lines > 50 * n_lines AS BIGINT)
                 + 32 * CAST(word_chars > 20 * n_words AS BIGINT) + 64 * CAST(2 * n_digits > word_chars AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f""",
+    "op13_ida_repair": r"""
+WITH RECURSIVE told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ord(c) AS BIGINT) FOR c IN string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')]),
+                     lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])), lambda x, bit: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+  FROM conversations),
+kind AS (SELECT conv_id, turn, role, text, xor(crc, 4294967295) % 20 AS k FROM told),
+live AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kind WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM live),
+noted AS (
+  SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS again,
+         regexp_matches(text, '[^\x20\x09-\x0D.!?][\x20\x09-\x0D]*$') AS open_end, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS last_initial,
+         count(*) OVER (PARTITION BY conv_id) AS size FROM placed),
+fault AS (SELECT *, blank OR again AS gone, CAST(open_end AND NOT again AS BIGINT) AS cut FROM noted),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+         CAST(sum(cut) AS BIGINT) AS truncated, count(*) FILTER (last_initial || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM fault GROUP BY conv_id),
+-- cheapest (cost, edits, lines) from every role state (0 start, 1 after system, 2 after user, 3 after assistant) to the end, from the last row backward
+walk AS (
+  SELECT conv_id, size AS i, {'c': CAST(0 AS BIGINT), 'a': '', 't': ''} AS s0, {'c': CAST(4 AS BIGINT), 'a': 'II', 't': E'\nuser:\nassistant:'} AS s1,
+         {'c': CAST(2 AS BIGINT), 'a': 'I', 't': E'\nassistant:'} AS s2, {'c': CAST(0 AS BIGINT), 'a': '', 't': ''} AS s3 FROM (SELECT DISTINCT conv_id, size FROM fault)
+  UNION ALL
+  SELECT conv_id, i - 1, least(b0, {'c': b2.c + 2, 'a': 'I' || b2.a, 't': E'\nuser:' || b2.t}, {'c': b3.c + 4, 'a': 'II' || b3.a, 't': E'\nuser:\nassistant:' || b3.t}),
+         least(b1, {'c': b2.c + 2, 'a': 'I' || b2.a, 't': E'\nuser:' || b2.t}, {'c': b3.c + 4, 'a': 'II' || b3.a, 't': E'\nuser:\nassistant:' || b3.t}),
+         least(b2, {'c': b3.c + 2, 'a': 'I' || b3.a, 't': E'\nassistant:' || b3.t}),
+         least(b3, {'c': b2.c + 2, 'a': 'I' || b2.a, 't': E'\nuser:' || b2.t})
+  FROM (
+    SELECT w.conv_id, w.i,
+      least({'c': s0.c + 3, 'a': 'D' || s0.a, 't': s0.t}, {'c': s1.c + CASE WHEN NOT gone AND initial = 's' THEN cut ELSE big END, 'a': 'K' || s1.a, 't': line || s1.t},
+            {'c': s2.c + CASE WHEN NOT gone AND initial = 'u' THEN cut ELSE big END, 'a': 'K' || s2.a, 't': line || s2.t}, {'c': s2.c + 2 + CASE WHEN gone THEN big ELSE cut END, 'a': 'R' || s2.a, 't': as_user || s2.t}) AS b0,
+      least({'c': s1.c + 3, 'a': 'D' || s1.a, 't': s1.t}, {'c': s2.c + CASE WHEN NOT gone AND initial = 'u' THEN cut ELSE big END, 'a': 'K' || s2.a, 't': line || s2.t},
+            {'c': s2.c + 2 + CASE WHEN gone THEN big ELSE cut END, 'a': 'R' || s2.a, 't': as_user || s2.t}) AS b1,
+      least({'c': s2.c + 3, 'a': 'D' || s2.a, 't': s2.t}, {'c': s3.c + CASE WHEN NOT gone AND initial = 'a' THEN cut ELSE big END, 'a': 'K' || s3.a, 't': line || s3.t},
+            {'c': s3.c + 2 + CASE WHEN gone THEN big ELSE cut END, 'a': 'R' || s3.a, 't': as_assistant || s3.t}) AS b2,
+      least({'c': s3.c + 3, 'a': 'D' || s3.a, 't': s3.t}, {'c': s2.c + CASE WHEN NOT gone AND initial = 'u' THEN cut ELSE big END, 'a': 'K' || s2.a, 't': line || s2.t},
+            {'c': s2.c + 2 + CASE WHEN gone THEN big ELSE cut END, 'a': 'R' || s2.a, 't': as_user || s2.t}) AS b3
+    FROM walk w JOIN (SELECT conv_id, place, gone, cut, initial, CAST(1000000000 AS BIGINT) AS big, E'\n' || role || ':' || text AS line, E'\nuser:' || text AS as_user,
+                             E'\nassistant:' || text AS as_assistant FROM fault) f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.place = w.i)),
+best AS (SELECT conv_id, s0.c AS cost, s0.a AS audit, substr(s0.t, 2) AS lines FROM walk WHERE i = 0)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
