@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from receptorium.llm.groups import MEETING, blocks, linked
 from receptorium.llm.shared import prepared, row_slices, text_buffer, tidy, written
 from receptorium.llm.words import between_spaces, mix, word_table
 
@@ -35,7 +36,6 @@ ESTIMATE = THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5  #
 BLOCK = 1024  # texts of a block that meet by byte signatures
 BAG_BLOCK = 512  # texts of a block that meet by their shingles
 SLICE_BYTES = 3 << 20
-_MEETING = ["_bucket", "_kind", "_i", "_j"]
 _ONE = np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,25 +135,6 @@ def _signer(registers: int, rows_per_band: int):
     return sign
 
 
-def _blocks(frames, columns: list[str], key):
-    """Rows of a sorted partition as arrays per group, over batch borders; a group has at most two blocks."""
-    held = None
-    for frame in frames:
-        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        group = frame[key].to_numpy()
-        change = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
-        if not len(change):
-            held = frame
-            continue
-        edges = [0, *change.tolist()]
-        arrays = {c: frame[c].to_numpy() for c in columns}
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield {c: v[a:b] for c, v in arrays.items()}
-        held = frame.iloc[edges[-1]:]
-    if held is not None and len(held):
-        yield {c: held[c].to_numpy() for c in columns}
-
-
 def _estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Estimated similarity of all pairs of byte signatures of two bounded blocks."""
     same = np.empty((len(left), len(right)), np.float32)
@@ -169,7 +150,7 @@ def _sig_rows(values) -> np.ndarray:
 def _likely(frames):
     """Links that span the likely pairs (by estimate) of different components in each pair of blocks."""
     out = []
-    for g in _blocks(frames, ["_text", "_sig", "_comp", "_side"], _MEETING):
+    for g in blocks(frames, ["_text", "_sig", "_comp", "_side"], MEETING):
         left, right = np.flatnonzero(g["_side"] <= 1), np.flatnonzero(g["_side"] != 1)  # side 0: the block meets itself
         comp = g["_comp"]
         if len(comp) < 2 or not len(left) or not len(right) or (comp == comp[0]).all():
@@ -220,7 +201,7 @@ def _verified(frames):
     """Links that span the pairs of different components at or above the threshold, each verified on its shingles. Likely
     pairs are tested unless the links found so far join them already."""
     out = []
-    for g in _blocks(frames, ["_text", "_sig", "_comp", "_side", "_hash", "_count"], _MEETING):
+    for g in blocks(frames, ["_text", "_sig", "_comp", "_side", "_hash", "_count"], MEETING):
         left, right = np.flatnonzero(g["_side"] <= 1), np.flatnonzero(g["_side"] != 1)
         if len(g["_comp"]) < 2 or not len(left) or not len(right):
             continue
@@ -259,73 +240,11 @@ def _bags(batches):
         yield pa.RecordBatch.from_arrays([batch.column("_text"), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["_text", "_hash", "_count"])
 
 
-def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), *keys)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(_text, _comp) of every end of an edge: the least text of its component. Each round takes the least label among the
-    neighbours and then the label of that label, so long chains close in a few rounds."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    label = written(both.groupBy(F.col("a").alias("_text")).agg(F.least(F.min("b"), F.first("a")).alias("_comp")), "labels")
-    while True:
-        near = both.join(label.withColumnRenamed("_text", "b"), "b").groupBy(F.col("a").alias("_text")).agg(F.min("_comp").alias("_near"))
-        step = label.join(near, "_text").select("_text", F.least("_comp", "_near").alias("_new"), F.col("_comp").alias("_old"))
-        jump = step.join(step.select(F.col("_text").alias("_new"), F.col("_new").alias("_next")), "_new", "left")
-        after = written(jump.select("_text", F.least("_new", F.coalesce("_next", "_new")).alias("_comp"), "_old"), "labels")
-        label = after.select("_text", "_comp")
-        if after.filter(F.col("_comp") != F.col("_old")).isEmpty():
-            return label
-
-
 def _digest() -> Column:
     """Digest of a text with a word; null for null, empty and blank texts."""
     return F.when(F.col("text").rlike(r"[^\x00\x20\x09-\x0D]"), F.unhex(F.md5("text")))
 
 
-def _meetings(placed: DataFrame, size: int) -> DataFrame:
-    """Members of groups with several components, copied to the pairs of bounded blocks in which they meet. The members of a
-    group's largest component only meet the others, never each other."""
-    parts = placed.groupBy("_bucket", "_comp").agg(F.count(F.lit(1)).alias("_n"))
-    mixed = (parts.groupBy("_bucket").agg(F.max(F.struct("_n", "_comp")).alias("_top"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_comps"))
-             .filter(F.col("_comps") > 1).select("_bucket", F.col("_top._comp").alias("_main"), F.ceil(F.col("_top._n") / size).cast("int").alias("_mains"),
-                                                  F.ceil((F.col("_all") - F.col("_top._n")) / size).cast("int").alias("_rests")))
-    main = F.col("_comp") == F.col("_main")
-    block = F.pmod(F.xxhash64("_text", F.lit(1)), F.when(main, F.col("_mains")).otherwise(F.col("_rests"))).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    spot = lambda kind, i, j, side: F.struct(F.lit(kind).alias("_kind"), i.alias("_i"), j.alias("_j"), side.cast("int").alias("_side"))
-    to_rest = F.transform(upto("_rests"), lambda f: spot(0, F.col("_block"), f, F.lit(1)))
-    to_main = F.transform(upto("_mains"), lambda m: spot(0, m, F.col("_block"), F.lit(2)))
-    among = F.transform(upto("_rests"), lambda f: spot(1, F.least(f, F.col("_block")), F.greatest(f, F.col("_block")),
-                                                       F.when(f == F.col("_block"), 0).when(F.col("_block") < f, 1).otherwise(2)))
-    return (placed.select("_bucket", "_text", "_comp").join(mixed, "_bucket").withColumn("_block", block)
-            .select("_bucket", "_text", "_comp", F.explode(F.when(main, to_rest).otherwise(F.concat(to_main, among))).alias("_spot"))
-            .select("_bucket", "_text", "_comp", "_spot.*"))
-
-
-def _linked(members: DataFrame, payload: DataFrame, compare, schema: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of groups ``members`` (_bucket, _text, _n members). First every block of about ``size`` members
-    by itself, then all pairs of blocks that still hold different components."""
-    def run(rows: DataFrame) -> DataFrame:
-        full = _dealt(rows.join(payload, "_text"), _MEETING).sortWithinPartitions(*_MEETING, "_text")
-        return written(full.mapInPandas(tidy(compare), schema), "links")
-
-    block = F.pmod(F.xxhash64("_text", F.lit(1)), F.ceil(F.col("_n") / size)).cast("int")  # 0 for a group of one block
-    alone = members.select("_bucket", "_text", F.col("_text").alias("_comp"), F.lit(0).alias("_kind"), block.alias("_i"), block.alias("_j"), F.lit(0).alias("_side"))
-    links = run(alone)
-    comp = components(links)
-    large = members.filter(F.col("_n") > size)  # the others are one block, and done
-    if large.isEmpty():
-        return links, comp
-    placed = large.select("_bucket", "_text").join(comp, "_text", "left").withColumn("_comp", F.coalesce("_comp", "_text"))
-    more = run(_meetings(written(placed, "placed"), size))
-    if more.isEmpty():
-        return links, comp
-    links = links.union(more)
-    return links, components(links)
-
-
 def near_classes(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(members, links). members: one row per row of ``docs``, with doc_id, _text (digest, null for blank texts), _comp, class_id
     (least doc_id of the class), class_size (rows). links: verified pairs of texts at or above the threshold that join the
@@ -343,14 +262,14 @@ def near_classes(docs: DataFrame, registers: int = REGISTERS, rows: int = ROWS)
     shared = flat.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
     bucket = written(flat.join(shared, "_bucket").select("_bucket", "_text", "_n"), "buckets")
     sig = texts.select("_text", "_sig")
-    _, family = _linked(bucket, sig, _likely, "a binary, b binary", BLOCK)
+    _, family = linked(bucket, sig, _likely, "a binary, b binary", BLOCK)
     many = family.groupBy("_comp").agg(F.count(F.lit(1)).alias("_n"))
     family = family.join(many, "_comp").select(F.col("_comp").alias("_bucket"), "_text", "_n")
     chosen = texts.join(family.select(F.col("_text").alias("_want")), F.col("_text") == F.col("_want"), "left_semi").select(F.col("_text").alias("_want"), "_first")
     body = (bodies.join(chosen, (F.col("_text") == F.col("_want")) & F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
             .mapInArrow(tidy(_bags), "_text binary, _hash binary, _count binary").dropDuplicates(["_text"]))
     payload = written(body.join(sig, "_text"), "bags")
-    links, comp = _linked(family, payload, _verified, "a binary, b binary, similarity double", BAG_BLOCK)
+    links, comp = linked(family, payload, _verified, "a binary, b binary, similarity double", BAG_BLOCK)
     comp = texts.select("_text", "_first", "_rows").join(comp, "_text", "left").withColumn("_comp", F.coalesce("_comp", "_text"))
     sizes = comp.groupBy("_comp").agg(F.min("_first").alias("class_id"), F.sum("_rows").alias("class_size"))
     named = written(comp.join(sizes, "_comp").select("_text", "_comp", "class_id", "class_size"), "classes")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from receptorium.llm import decontaminate, html_text, language, minhash, packing, quality, quotes, ranked, repair, secrets, url_tree, warc
+from receptorium.llm import decontaminate, html_text, language, minhash, packing, quality, quotes, ranked, repair, secrets, set_join, url_tree, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,13 @@ def op11_pipelined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join(_table(spark, sf_dir, "documents"))[0]
+
+
 def op13_ida_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damage(_table(spark, sf_dir, "conversations")))
 
 
 QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_trigram_secrets, op3_gru_language, op4_fm_decontaminate, op5_rule_ledger, op6_probminhash_classes, op7_warc_round_trip,
-                                   op8_large_item_packing, op9_template_tree, op10_block_tree, op11_pipelined_search, op13_ida_repair)}
+                                   op8_large_item_packing, op9_template_tree, op10_block_tree, op11_pipelined_search, op12_set_relation_join, op13_ida_repair)}

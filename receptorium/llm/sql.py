@@ -70,6 +70,17 @@ f AS (SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 5
                 + 8 * CAST(10 * n_upper > 3 * word_chars AS BIGINT) + 16 * CAST(100 * n_dup_lines > 50 * n_lines AS BIGINT)
                 + 32 * CAST(word_chars > 20 * n_words AS BIGINT) + 64 * CAST(2 * n_digits > word_chars AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f""",
+    "op12_set_relation_join": r"""
+WITH RECURSIVE word AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (SELECT DISTINCT r, unnest([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, greatest(len(w) - 3, 1) + 1)]) AS s FROM word WHERE len(w) > 0),
+size AS (SELECT r, count(*) AS n FROM shingle GROUP BY r),
+pair AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM shingle a JOIN shingle b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN size p ON p.r = x JOIN size q ON q.r = y WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT r, r AS m FROM word UNION SELECT reach.r, way.y FROM reach JOIN way ON way.x = reach.m)
+SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM reach JOIN word w ON w.r = reach.r JOIN word o ON o.r = reach.m LEFT JOIN size ON size.r = w.r GROUP BY w.r, w.doc_id""",
     "op13_ida_repair": r"""
 WITH RECURSIVE told AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
