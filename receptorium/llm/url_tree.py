@@ -8,8 +8,8 @@ with more than half is rejected. Labels are the verdicts of the rules by default
 without a label count nowhere: not in shares, errors, least sizes or smoothing.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is judged with all others of that kind;
-repeated rows count as often as they occur; without labels all templates pass; paths deeper than ``depth`` segments share the
-branch of their last segment; other columns play no part.
+repeated rows count as often as they occur; without labels all templates pass; paths of any depth are read to
+their last segment; other columns play no part.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from receptorium.llm.shared import written
 
 # The rules that the contract of op9 names, as (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DEPTH = 6
 STRENGTH = 10.0
 DIFFERENT = 2.58  # standard errors
 LEAST = 5  # labelled pages of a branch that may keep its name against the pooled share
@@ -47,39 +46,49 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return found
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """Path segments with lexical wildcards; all from ``depth`` on share one branch."""
+def segments(path: Column) -> Column:
+    """All path segments, with lexical wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    kinds = F.transform(parts, lambda s: F.when(s.rlike(r"^\d+(\.\w{1,5})?$"), F.lit("{n}"))
-                        .when(s.rlike(r"^(?=.*\d)[0-9a-fA-F-]{8,}$"), F.lit("{hex}"))
-                        .when(s.rlike(r"\d"), F.regexp_replace(s, r"\d+", "{n}")).otherwise(s))
-    return F.slice(kinds, 1, depth)
+    return F.transform(parts, lambda s: F.when(s.rlike(r"^\d+(\.\w{1,5})?$"), F.lit("{n}"))
+                       .when(s.rlike(r"^(?=.*\d)[0-9a-fA-F-]{8,}$"), F.lit("{hex}"))
+                       .when(s.rlike(r"\d"), F.regexp_replace(s, r"\d+", "{n}")).otherwise(s))
 
 
-def templates(judged: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(judged: DataFrame) -> DataFrame:
     """(host, lexical, template): where each lexical template of a host stands in the host's tree. ``judged``: host, lexical
-    (segments), n labelled pages, b of them blocked."""
-    placed = judged.withColumn("template", F.array().cast("array<string>"))
-    for level in range(depth):
-        at = written(placed.withColumn("_child", F.coalesce(F.get("lexical", F.lit(level)), F.lit(""))), "level")  # read twice below
-        child = at.groupBy("host", "template", "_child").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b"))
-        pool = child.groupBy("host", "template").agg(F.sum("_n").alias("_all"), F.sum("_b").alias("_blocked"))
-        share = F.try_divide("_blocked", "_all")  # null where no page has a label: no branch keeps its name
-        error = F.sqrt(F.try_divide(share * (1 - share), F.col("_n")))
-        own = (F.col("_n") >= LEAST) & (F.abs(F.try_divide("_b", "_n") - share) > DIFFERENT * error)
-        named = (child.join(pool, ["host", "template"]).withColumn("_name", F.when(F.col("_child") == "", F.lit("")).when(own, F.col("_child")).otherwise(F.lit("*")))
-                 .select("host", "template", "_child", "_name"))
-        placed = (at.join(named, ["host", "template", "_child"])
-                  .withColumn("template", F.when(F.col("_name") == "", F.col("template")).otherwise(F.concat("template", F.array("_name"))))
-                  .drop("_child", "_name"))
-    return written(placed, "templates")
-
-
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels: DataFrame | None = None, depth: int = DEPTH,
+    (segments), n labelled pages, b of them blocked.
+
+    A branch is open while its labelled pages are of both kinds and enough to tell children apart. Below a closed branch no child
+    could keep its name, so all further segments are wildcards at once; the levels end with the last open branch."""
+    size, node = F.size("lexical"), ["host", "template"]
+    placed, done, level = judged.withColumn("template", F.array().cast("array<string>")), [], 0
+    while True:
+        whole = placed.groupBy(*node).agg(F.sum("n").alias("_all"), F.sum("b").alias("_blocked"))
+        at = written(placed.join(whole, node), "level")
+        open_ = (size > level) & (F.col("_all") >= LEAST) & (F.col("_blocked") > 0) & (F.col("_blocked") < F.col("_all"))
+        rest = F.array_repeat(F.lit("*"), F.greatest(size - level, F.lit(0)))
+        done.append(at.filter(~open_).withColumn("template", F.concat("template", rest)).select(*judged.columns, "template"))
+        more = at.filter(open_)
+        if more.isEmpty():
+            break
+        more = more.withColumn("_child", F.get("lexical", F.lit(level)))
+        child = more.groupBy(*node, "_child").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b"), F.first("_all").alias("_all"), F.first("_blocked").alias("_blocked"))
+        share = F.col("_blocked") / F.col("_all")
+        own = (F.col("_n") >= LEAST) & (F.abs(F.try_divide("_b", "_n") - share) > DIFFERENT * F.sqrt(F.try_divide(share * (1 - share), F.col("_n"))))
+        named = child.select(*node, "_child", F.when(own, F.col("_child")).otherwise(F.lit("*")).alias("_name"))
+        placed = more.join(named, [*node, "_child"]).withColumn("template", F.concat("template", F.array("_name"))).select(*judged.columns, "template")
+        level += 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return written(out, "templates")
+
+
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels: DataFrame | None = None,
           strength: float = STRENGTH, unfitted: int | None = None) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, template and purity. ``unfitted``: the label of pages that no rule fits
     where the rules' verdicts are the labels (0 clean, 1 blocked, None no label)."""
-    parts = with_parts(pages).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("lexical", segments(F.col("path"), depth))
+    parts = with_parts(pages).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("lexical", segments(F.col("path")))
     blocking = [r for v, r in rules if v == "block"]
     by_rule = F.coalesce(F.col("rule").isin(blocking), F.lit(False))
     if labels is None:
@@ -88,10 +97,11 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels:
         own = labels.groupBy("page_id").agg(F.max(F.col("blocked").cast("long")).alias("_bad"))
         counted = parts.join(own, "page_id", "left")
     lexical = counted.groupBy("host", "lexical").agg(F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("b"))
-    placed = templates(lexical, depth)
-    of_all = placed.agg(((F.sum("b") + 1.0) / (F.sum("n") + 2.0)).alias("_everywhere"))  # one row
-    of_host = placed.groupBy("host").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b")).crossJoin(F.broadcast(of_all)).select(
-        "host", ((F.col("_b") + strength * F.col("_everywhere")) / (F.col("_n") + strength)).alias("_prior"))
+    placed = templates(lexical)
+    bad, many = placed.agg(F.sum("b"), F.sum("n")).first()
+    everywhere = ((bad or 0) + 1.0) / ((many or 0) + 2.0)
+    of_host = placed.groupBy("host").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b")).select(
+        "host", ((F.col("_b") + strength * everywhere) / (F.col("_n") + strength)).alias("_prior"))
     of_template = placed.groupBy("host", "template").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b")).join(of_host, "host").select(
         "host", "template", ((F.col("_b") + strength * F.col("_prior")) / (F.col("_n") + strength)).alias("purity"))
     scored = placed.select("host", "lexical", "template").join(of_template, ["host", "template"])
