@@ -149,6 +149,10 @@ def _keeper(network, slice_bytes: int, least: float):
 
     def keep(batches):
         for batch in batches:
+            if network.value is None:  # nothing was learned: what has a letter has some language
+                data, at = text_buffer(batch.column("text"))
+                yield batch.filter(pa.array([_has_letter(data[at[i]:at[i + 1]]) for i in range(batch.num_rows)], pa.bool_()))
+                continue
             judged = next(label(iter([batch.select(["text"])])))
             known = np.array([x != "und" for x in judged.column("lang_pred").to_pylist()], bool)
             yield batch.filter(pa.array(known & (judged.column("score").to_numpy() >= least)))
@@ -156,6 +160,8 @@ def _keeper(network, slice_bytes: int, least: float):
 
 
 def keep_known(docs: DataFrame, network: Network | None, least_score: float = 0.0, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """The rows of ``docs`` whose text has a language (not ``und``) with at least ``least_score``, all columns as they are."""
+    """The rows of ``docs`` whose text has a language (not ``und``) with at least ``least_score``, all columns as they are. Without a
+    network (no labelled row to learn from) texts with a letter stay. With the default score the network rejects nothing: only texts
+    without a letter go, so that clean documents of languages that were not learned stay as well."""
     prepared(docs.sparkSession)
     return docs.mapInArrow(tidy(_keeper(docs.sparkSession.sparkContext.broadcast(network), slice_bytes, least_score)), docs.schema)
