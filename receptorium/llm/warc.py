@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from receptorium.llm.shared import fresh_path, prepared, tidy, written
 
 FILE_BYTES = 32 << 20
-LEAST_RANGE = 4 << 20
-STEPS = 8192
+RANGE_BYTES = 16 << 20
+STEP_BITS = 13
 _RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -128,10 +128,10 @@ def _writer(folder: str, file_bytes: int, least_bytes: int):
     return write
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, range_bytes: int | None = None, file_bytes: int = FILE_BYTES) -> str:
+def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, range_bytes: int = RANGE_BYTES, file_bytes: int = FILE_BYTES) -> str:
     """Write a record per row of ``pages`` (page_id, url, html) into ``folder``, which driver and executors share (default: a
     new one in the shared folder), and return it. Payloads of at least ``least_bytes`` bytes that are equal are stored once.
-    ``range_bytes`` of payload make a key range; by default a 2048th of all bytes, at least LEAST_RANGE."""
+    ``range_bytes`` of payload make a key range, however many ranges that gives. Ids may be any integers of 64 bits."""
     spark = pages.sparkSession
     prepared(spark)
     folder = folder or fresh_path(spark, "warc")
@@ -141,10 +141,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     own = own.withColumn("_digest", F.sha1(F.col("html").cast("binary"))).withColumn("_size", F.octet_length("html").cast("long"))
     thin = own.select("page_id", "_digest", "_size")
     low, high = thin.agg(F.min("page_id"), F.max("page_id")).first()
-    step = max(1, -(-(high - low + 1) // STEPS)) if low is not None else 1
-    of_key = F.coalesce(F.floor((F.col("page_id") - F.lit(low or 0)) / F.lit(step)), F.lit(-1))  # null ids before all others
-    sizes = dict(thin.groupBy(of_key.alias("k")).agg(F.sum("_size") + 512 * F.count(F.lit(1))).collect())  # at most STEPS + 1 rows
-    range_bytes = range_bytes or max(LEAST_RANGE, sum(sizes.values()) // 2048)
+    shift = max(0, (high - low).bit_length() - STEP_BITS) if low is not None else 0
+    before = max((low >> shift) - 1, -(1 << 63)) if low is not None else 0  # null ids come before all others
+    of_key = F.coalesce(F.shiftright("page_id", shift), F.lit(before))
+    sizes = dict(thin.groupBy(of_key.alias("k")).agg(F.sum("_size") + 512 * F.count(F.lit(1))).collect())  # at most 2^STEP_BITS + 2 rows
     shard_of, parts, shard, filled = {}, {}, 0, 0
     for k in sorted(sizes):  # neighbouring steps share a range; a step over its size becomes several by payload digest
         if filled and filled + sizes[k] > range_bytes:
