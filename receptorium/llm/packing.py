@@ -28,7 +28,7 @@ from receptorium.llm.shared import prepared, row_slices, text_buffer, tidy, writ
 CAPACITY = 1024
 END_TOKEN = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"
-RANK_BUCKETS = 256
+BUCKET_ROWS = 20_000
 
 
 def added_tokens(path: str) -> dict[str, int]:
@@ -179,10 +179,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return slots
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = RANK_BUCKETS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``cut`` (a stored table of pieces) plus sequence_id and offset. Ranks among equal lengths are counted inside hash
-    buckets, so a length that most pieces share is still dealt over ``buckets`` groups."""
+    buckets, so a length that most pieces share is dealt over groups of about ``bucket_rows``."""
     spark = cut.sparkSession
+    buckets = -(-cut.count() // bucket_rows) or 1
     bucketed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = bucketed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     counts = written(counts.withColumn("_before", F.sum("_n").over(

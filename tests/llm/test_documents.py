@@ -246,3 +246,18 @@ def test_pipeline(spark):
     assert not any(_brute(r.text) for r in out.collect())
     packed = corpus_pipeline.STAGES[-1][1](spark, out, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in out.collect()}
+
+
+def test_unlabelled_corpus_keeps_its_texts(spark):
+    docs = spark.createDataFrame([(i, f"plain text {i}", None) for i in range(20)] + [(90, "12 34", None), (91, None, None)], "doc_id long, text string, lang string")
+    assert language.fit(docs) is None
+    assert sorted(r.doc_id for r in language.keep_known(docs, None).collect()) == list(range(20))
+
+
+def test_pieces_are_dealt_by_count(spark):
+    docs = spark.createDataFrame([(i, "word " * (i % 50)) for i in range(300)], "doc_id long, text string")
+    cut = packing.pieces(docs).cache()
+    for rows in (10, 10_000):
+        packed = packing.pack(cut, bucket_rows=rows).collect()
+        spots = {(r.sequence_id, r.offset) for r in packed}
+        assert len(packed) == len(spots) == cut.count()

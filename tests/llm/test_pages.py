@@ -133,3 +133,19 @@ def test_long_threads(spark):
     rows = [(1, n, "u", (f"> message number {n - 1}\n" if n else "") + f"message number {n}") for n in range(40)]
     got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert all(r.reply_path == list(range(r.turn + 1)) and r.position == r.turn for r in got)
+
+
+def test_deep_branches_are_told_apart(spark):
+    rows = [(i, f"http://h.org/a/b/c/d/e/f/{'spam' if i < 40 else 'news'}/x") for i in range(70)]
+    pages = spark.createDataFrame([(i, u, None) for i, u in rows] + [(100, "http://h.org/" + "z/" * 5000, None)], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, i < 40) for i in range(70)], "page_id long, blocked boolean")
+    found = {r.page_id: r.verdict for r in url_tree.judge(pages, labels=labels).collect()}
+    assert {found[i] for i in range(40)} == {"block"} and {found[i] for i in range(40, 70)} == {"allow"} and 100 in found
+
+
+def test_extreme_ids_round_trip(spark):
+    ids = [-(2**63), 2**63 - 1, 0, -1, None, 7]
+    for take in (ids, [-(2**63), -(2**63) + 1, None], [3, 4, None]):
+        pages = spark.createDataFrame([(i, "http://h/", f"body {i}") for i in take], "page_id long, url string, html string")
+        found = {r.page_id: r.record_type for r in warc.round_trip(pages).collect()}
+        assert found == dict.fromkeys(take, "response")
