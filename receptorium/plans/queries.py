@@ -368,7 +368,7 @@ def predict_cdr(spark, sf):
 
 @query
 def reconstruct_chain(spark, sf):
-    rec = bridge.view(spark, sf, "rec").filter("v_gene is not null and j_gene is not null").select("src_row", "v_gene", "j_gene", "cdr3_aa", "species")
+    rec = bridge.view(spark, sf, "rec").select("src_row", "v_gene", "j_gene", "cdr3_aa", "species")
     out = reconstruct.reconstruct(rec, _catalog(spark, sf), germline.constant_regions(spark))
     return out.select("src_row", "v_gene", "j_gene", "v_allele_used", "j_allele_used", "cdr3_nt", "full_nt", "full_aa",
                       F.length("full_chain_aa").cast("long").alias("chain_len"), "v_found", "j_found")
