@@ -9,7 +9,7 @@ from receptorium.constants import (
     REGION_WORDS, SIMILAR_WORDS, TCR_WORDS, VDJDB_WORDS,
 )
 from receptorium.operators.lookup import NO_PAIR_MESSAGE  # noqa: F401
-from receptorium.plans import bridge
+from receptorium.plans import alignment_sql, bridge
 
 ORACLES: dict[str, str] = {}
 
@@ -509,9 +509,25 @@ union all select cast(qid as varchar), r.gene, case when qid % 5 = 0 then best e
 union all select cast(qid as varchar), 'segment D not available in the germline source for TRB/' || species, null, 'segment_unavailable' from ask where qid % 2 <> 0 and qid % 3 = 0""",
        rg=REPRESENTATIVE, r=f"select *, case {fewest(BAD_CODONS)} when 0 then a0 when 1 then a1 else a2 end as best from (select *, {aa('nt')} as a0, {aa('nt', 1)} as a1, {aa('nt', 2)} as a2 from rg) x",
        nm=f"select *, {base('g')} as b from (select qid, species, unnest([v_gene, j_gene, 'TRBV99']) as g from ask where qid % 2 = 0) x")
+_SETS = "select concat_ws('/', {key}) as set_id, gene as name, dense_rank() over (partition by {key} order by gene) as ord, {seq} as seq"
+oracle("align_germline_sets", "germ", "select set_id, name, ord, aligned from aligned", rg=REPRESENTATIVE,
+       members=f"select *, seq as safe from ({_SETS.format(key='species, chain, segment', seq='nt')} from rg where segment in ('V', 'J', 'C')) x",
+       **alignment_sql.star(alignment_sql.NT_SCORE, alignment_sql.NT_GAPS))
+oracle("align_codon_sets", "germ", """select a.set_id, a.name, a.ord, a.aligned as aligned_aa, array_to_string(list_transform(range(1, length(aligned) + 1), lambda i: case when substr(aligned, i, 1) = '-' then '---'
+  else substr(coding, 3 * (i - 1 - (length(left(aligned, i)) - length(replace(left(aligned, i), '-', '')))) + 1, 3) end), '') as aligned_nt from aligned a join members using (set_id, ord)""",
+       rg=REPRESENTATIVE, framed=f"select *, {fewest(BAD_CODONS)} as fr from (select *, {aa('nt')} as a0, {aa('nt', 1)} as a1, {aa('nt', 2)} as a2 from rg where segment = 'J') x",
+       coded="select *, substr(nt, fr + 1, (length(nt) - fr) // 3 * 3) as coding from framed",
+       members=f"select *, regexp_replace(seq, '[^ARNDCQEGHILKMFPSTWYVBZX*]', 'X', 'g') as safe from ({_SETS.format(key='species, chain', seq=aa('coding'))}, coding from coded) x",
+       **alignment_sql.star(alignment_sql.AA_SCORE, alignment_sql.AA_GAPS))
 oracle("known_epitopes", "rec ask", """select qid, string_agg(epitope_aa, ',' order by src_row) filter (where k <= 5) as epitopes, count(*) as total from (select q.qid, r.epitope_aa, r.src_row,
   row_number() over (partition by q.qid order by r.src_row) as k from ask q join rec r on r.epitope_aa is not null and r.species = q.species and split_part(r.v_gene, '*', 1) = split_part(q.v_gene, '*', 1)) x group by 1""")
 oracle("trailing_count", "requests", """select event_id, key, count(*) over (partition by key order by ts range between interval 60 seconds preceding and current row) as n_trailing from requests""")
+# the log of the last accepted requests of every key, request by request; micros between 60 s are still inside
+oracle("rate_limit", "requests", """select event_id, accepted from log""",
+       turn="select event_id, key, epoch_us(ts) as t, row_number() over (partition by key order by ts, event_id) as n from requests",
+       log="""select * from (with recursive log as (select key, n, event_id, true as accepted, [t] as kept from turn where n = 1 union all
+  select key, n, event_id, len(inside) < 3, case when len(inside) < 3 then list_append(inside, t) else inside end
+  from (select t.key, t.n, t.event_id, t.t, list_filter(log.kept, lambda x: t.t - x <= 60000000) as inside from log join turn t on t.key = log.key and t.n = log.n + 1) y) select * from log) z""")
 oracle("index_union", "rec", """select source, count(*) as n, min(src_row) as first_row from
   (select *, row_number() over (partition by <key> order by src_row) as k from rec) x where k = 1 group by 1""".replace("<key>", ", ".join(DEDUP_KEY)))
 oracle("latest_build", "", """select build_id, built_at, announced from (select cast(o_orderkey % 1000 as varchar) as build_id, strftime(o_orderdate, '%Y-%m-%d') as built_at,

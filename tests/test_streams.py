@@ -28,6 +28,27 @@ def test_stream_limiter(spark, tmp_path):
     assert [got[i] for i in range(8)] == WANT
 
 
+def test_state_of_idle_keys_goes(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = []
+    for n, batch in enumerate([[("a", 0, 0), ("a", 1, 1), ("b", 2, 2)], [("c", 3, 1000)], [("c", 4, 1001), ("a", 5, 1002), ("a", 6, 1003), ("a", 7, 1003)]]):
+        df = spark.createDataFrame(batch, "key string, event_id long, t long").selectExpr("key", "event_id", "timestamp_seconds(1000000 + t) as ts")
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+        stream = spark.readStream.schema("key string, event_id long, ts timestamp").parquet(str(tmp_path / "in" / "*"))
+        q = limiter.limit_stream(stream, 2, "10 seconds").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")) \
+            .trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(90)
+        rows.append(max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress[-1:]))
+    got = {r.event_id: r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert [got[i] for i in range(8)] == [True, True, True, True, True, True, True, False]
+    assert rows[1] < rows[0] + 1  # a and b have left when c is alone
+
+
+def test_a_busy_key_passes(spark):
+    events = spark.range(300_000).selectExpr("'k' as key", "id as event_id", "timestamp_micros(id * 1000) as ts")
+    assert limiter.limit_batch(events, 3).filter("accepted").count() == 3 * 5  # three a minute and a bit, for 300 seconds
+
+
 def test_ingest_adds_only_new(spark, tmp_path, make_index):
     def land(name, rows):
         make_index(rows).coalesce(1).write.parquet(str(tmp_path / "in" / name))
