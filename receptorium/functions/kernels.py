@@ -192,49 +192,74 @@ def _pair_scores(target: np.ndarray, query: np.ndarray, scores: np.ndarray | Non
     return lambda i: m[t[:, i, None], q]
 
 
-def _sweep(targets, queries, scores, match, mismatch, opening, extend, local, keep):
+class _Sweep:
     """Affine-gap dynamic programme over a batch of pairs, one target letter at a time.
 
-    Within a row the horizontal gap is a running maximum, so every step is a batch operation.
-    Returns the best score per pair and, when ``keep`` is set, the score layers for the traceback.
+    Within a row the horizontal gap is a running maximum, so every step is a batch operation. Only every ``stride``-th row is
+    held; ``rows`` computes the rows between two of them again for a traceback, so that memory grows with the length, not its square.
     """
-    t, tl = _pad(targets)
-    q, ql = _pad(queries)
-    p, width = q.shape
-    letter = _pair_scores(t, q, scores, match, mismatch)
-    cols = np.arange(width + 1, dtype=np.float32)
-    zero = np.float32(0)
-    if local:
-        h = np.zeros((p, width + 1), dtype=np.float32)
-    else:
-        h = np.broadcast_to(np.where(cols == 0, zero, opening + extend * (cols - 1)), (p, width + 1)).astype(np.float32)
-    valid = np.arange(width + 1)[None, :] <= ql[:, None]
-    f = np.full((p, width + 1), NEG, dtype=np.float32)
-    best = np.full(p, zero if local else NEG, dtype=np.float32)
-    at_end = np.arange(p)
-    if not local:
-        best = np.where(tl == 0, h[at_end, ql], best)
-    layers = [(h, np.full_like(h, NEG), f)] if keep else None
-    for i in range(t.shape[1]):
+
+    def __init__(self, targets, queries, scores, match, mismatch, opening, extend, local):
+        self.t, self.tl = _pad(targets)
+        self.q, self.ql = _pad(queries)
+        self.letter = _pair_scores(self.t, self.q, scores, match, mismatch)
+        self.opening, self.extend, self.local = opening, extend, local
+        self.cols = np.arange(self.q.shape[1] + 1, dtype=np.float32)
+
+    def _first(self):
+        shape = (len(self.q), len(self.cols))
+        if self.local:
+            h = np.zeros(shape, dtype=np.float32)
+        else:
+            edge = np.where(self.cols == 0, np.float32(0), self.opening + self.extend * (self.cols - 1))
+            h = np.broadcast_to(edge, shape).astype(np.float32)
+        return h, np.full(shape, NEG, dtype=np.float32), np.full(shape, NEG, dtype=np.float32)
+
+    def _step(self, h, f, i):
+        opening, extend, cols = self.opening, self.extend, self.cols
         f = np.maximum(h + opening, f + extend)
-        diagonal = np.full((p, width + 1), NEG, dtype=np.float32)
-        diagonal[:, 1:] = h[:, :-1] + letter(i)
+        diagonal = np.full(h.shape, NEG, dtype=np.float32)
+        diagonal[:, 1:] = h[:, :-1] + self.letter(i)
         base = np.maximum(diagonal, f)
-        if local:
-            base = np.maximum(base, zero)
+        if self.local:
+            base = np.maximum(base, np.float32(0))
         run = np.maximum.accumulate(base - extend * cols, axis=1)
-        e = np.full((p, width + 1), NEG, dtype=np.float32)
+        e = np.full(h.shape, NEG, dtype=np.float32)
         e[:, 1:] = run[:, :-1] + opening + extend * (cols[1:] - 1)
-        h = np.maximum(base, e)
-        alive = i < tl
-        if local:
-            peak = np.where(valid, h, NEG).max(axis=1)
-            best = np.where(alive, np.maximum(best, peak), best)
-        else:
-            best = np.where(tl == i + 1, h[at_end, ql], best)
-        if keep:
-            layers.append((h, e, f))
-    return best, layers, (t, tl, q, ql, letter)
+        return np.maximum(base, e), e, f
+
+    def run(self, stride: int = 0) -> np.ndarray:
+        """Best score per pair; the end positions stay in ``ends``, every ``stride``-th row in ``held``."""
+        h, e, f = self._first()
+        pairs = np.arange(len(h))
+        valid = np.arange(h.shape[1])[None, :] <= self.ql[:, None]
+        self.held, self.ends = ([(h, f)] if stride else []), (np.zeros(len(h), np.int64), np.zeros(len(h), np.int64))
+        best = np.full(len(h), np.float32(0) if self.local else NEG, dtype=np.float32)
+        if not self.local:
+            best = np.where(self.tl == 0, h[pairs, self.ql], best)
+            self.ends = (self.tl.copy(), self.ql.copy())
+        for i in range(self.t.shape[1]):
+            h, e, f = self._step(h, f, i)
+            if self.local:
+                shown = np.where(valid, h, NEG)
+                at = shown.argmax(axis=1)
+                better = (i < self.tl) & (shown[pairs, at] > best)
+                best = np.where(better, shown[pairs, at], best)
+                self.ends[0][better], self.ends[1][better] = i + 1, at[better]
+            else:
+                best = np.where(self.tl == i + 1, h[pairs, self.ql], best)
+            if stride and (i + 1) % stride == 0:
+                self.held.append((h, f))
+        return best
+
+    def rows(self, block: int, stride: int) -> list:
+        """Layers (h, e, f) of rows block * stride to (block + 1) * stride; e of the first one is never asked for."""
+        h, f = self.held[block]
+        out = [(h, None, f)]
+        for i in range(block * stride, min((block + 1) * stride, self.t.shape[1])):
+            h, e, f = self._step(h, f, i)
+            out.append((h, e, f))
+        return out
 
 
 def local_scores(targets: list[str], queries: list[str], match=2, mismatch=-1, opening=-6, extend=-1) -> np.ndarray:
@@ -282,7 +307,10 @@ def local_scores(targets: list[str], queries: list[str], match=2, mismatch=-1, o
 
 
 def global_scores(targets, queries, scores=None, match=2.0, mismatch=-1.0, opening=-5.0, extend=-0.5) -> np.ndarray:
-    return _sweep(targets, queries, scores, match, mismatch, opening, extend, False, False)[0]
+    return _Sweep(targets, queries, scores, match, mismatch, opening, extend, False).run()
+
+
+CELLS_AT_ONCE = 4_000_000
 
 
 def aligned_pairs(targets, queries, local, scores=None, match=2.0, mismatch=-1.0, opening=-6.0, extend=-1.0):
@@ -291,48 +319,75 @@ def aligned_pairs(targets, queries, local, scores=None, match=2.0, mismatch=-1.0
     Fixed rule among equal alignments: the end with the smallest target, then query position;
     stepping back, a match first, then a gap in the query, then a gap in the target.
     """
-    best, layers, (t, tl, q, ql, letter) = _sweep(
-        targets, queries, scores, match, mismatch, opening, extend, local, True)
-    out = []
+    best, out, start = [], [], 0
+    while start < len(targets):
+        # as many pairs as keep the rows held at once (two square roots of the target's length) within bounds
+        many, width, length = 0, 1, 1
+        for t, q in zip(targets[start:], queries[start:]):
+            width, length = max(width, len(q) + 1), max(length, len(t) + 1)
+            if many and (many + 1) * width * 2 * length ** 0.5 > CELLS_AT_ONCE:
+                break
+            many += 1
+        part = slice(start, start + many)
+        score, pairs = _traced(targets[part], queries[part], local, scores, match, mismatch, opening, extend)
+        best.append(score)
+        out += pairs
+        start += many
+    return (np.concatenate(best) if best else np.zeros(0, np.float32)), out
+
+
+def _traced(targets, queries, local, scores, match, mismatch, opening, extend):
+    sweep = _Sweep(targets, queries, scores, match, mismatch, opening, extend, local)
+    t, q, length = sweep.t, sweep.q, sweep.t.shape[1]
+    stride = max(1, int(np.ceil(length ** 0.5)))
+    if len(t) * (q.shape[1] + 1) * (length + 1) <= CELLS_AT_ONCE:
+        stride = max(1, length)  # one block
+    best = sweep.run(stride)
     opening, extend = np.float32(opening), np.float32(extend)
-    for n in range(len(targets)):
-        if local:
-            if best[n] <= 0:
-                out.append((np.empty(0, np.int64), np.empty(0, np.int64)))
-                continue
-            i, j = next((i, int(hit[0])) for i in range(1, tl[n] + 1)
-                        if len(hit := np.flatnonzero(layers[i][0][n, :ql[n] + 1] == best[n])))
-        else:
-            i, j = int(tl[n]), int(ql[n])
-        ts, qs, state = [], [], "h"
-        pair = _letter_score(t[n], q[n], scores, match, mismatch)
-        while i > 0 or j > 0:
-            h, e, f = (layer[n] for layer in layers[i])
-            if state == "h":
-                if local and h[j] == 0:
-                    break
-                if i > 0 and j > 0 and h[j] == layers[i - 1][0][n, j - 1] + pair(i - 1, j - 1):
-                    i, j = i - 1, j - 1
-                    ts.append(i)
-                    qs.append(j)
-                elif i > 0 and (h[j] == f[j] or j == 0):
-                    state = "f"
-                else:
-                    state = "e"
-            elif state == "f":
-                if i == 1 and not local and j > 0:
-                    state = "h"
-                elif j == 0 and not local:
-                    state = "f"
-                elif f[j] == layers[i - 1][0][n, j] + opening:
-                    state = "h"
-                i -= 1
+    done = (best <= 0) if local else np.zeros(len(t), bool)
+    places = [[int(i), int(j), "h"] for i, j in zip(*sweep.ends)]
+    found = [([], []) for _ in places]
+    pair = [_letter_score(a, b, scores, match, mismatch) for a, b in zip(t, q)]
+    for block in range((length - 1) // stride if length else 0, -1, -1):
+        low = block * stride
+        layers = sweep.rows(block, stride)
+        for n, place in enumerate(places):
+            if not done[n] and (place[0] > low or block == 0):
+                done[n] = _walk_back(place, found[n], [(h[n], None if e is None else e[n], f[n]) for h, e, f in layers], low, local, pair[n], opening)
+    return best, [(np.array(ts[::-1], np.int64), np.array(qs[::-1], np.int64)) for ts, qs in found]
+
+
+def _walk_back(place, found, layers, low, local, pair, opening) -> bool:
+    """Follow one pair's traceback down to row ``low``; true where it ends."""
+    i, j, state = place
+    ts, qs = found
+    while i > low or (low == 0 and j > 0):
+        h, e, f = layers[i - low]
+        if state == "h":
+            if local and h[j] == 0:
+                return True
+            if i > 0 and j > 0 and h[j] == layers[i - 1 - low][0][j - 1] + pair(i - 1, j - 1):
+                i, j = i - 1, j - 1
+                ts.append(i)
+                qs.append(j)
+            elif i > 0 and (h[j] == f[j] or j == 0):
+                state = "f"
             else:
-                if not (i == 0 and not local) and e[j] == h_open(h, j, opening):
-                    state = "h"
-                j -= 1
-        out.append((np.array(ts[::-1], np.int64), np.array(qs[::-1], np.int64)))
-    return best, out
+                state = "e"
+        elif state == "f":
+            if i == 1 and not local and j > 0:
+                state = "h"
+            elif j == 0 and not local:
+                state = "f"
+            elif f[j] == layers[i - 1 - low][0][j] + opening:
+                state = "h"
+            i -= 1
+        else:
+            if not (i == 0 and not local) and e[j] == h_open(h, j, opening):
+                state = "h"
+            j -= 1
+    place[:] = i, j, state
+    return low == 0
 
 
 def h_open(h: np.ndarray, j: int, opening: np.float32) -> np.float32:

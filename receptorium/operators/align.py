@@ -6,6 +6,8 @@ pieces and returns sums, never pairs.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -42,18 +44,20 @@ def summed_scores(members: DataFrame, seq_type: str) -> DataFrame:
         columns = ["set_id", "safe", "part"]
         if a.empty or b.empty:
             return pd.DataFrame(columns=columns)
-        left, right, n = a["safe"].tolist(), b["safe"].tolist(), b["n"].to_numpy()
-        total = np.zeros(len(left))
-        for i, s in enumerate(left):
-            for start in range(0, len(right), PAIRS_AT_ONCE):
-                others = right[start:start + PAIRS_AT_ONCE]
-                d = kernels.global_scores([s] * len(others), others, **cost)
-                weight = n[start:start + PAIRS_AT_ONCE].astype("float64")
-                weight[[o == s for o in others]] -= 1  # a row is not compared with itself
-                total[i] += float((d * weight).sum())
-        return pd.DataFrame({"set_id": a["set_id"], "safe": left, "part": total})
-
-    met = meet(distinct.select("set_id", "safe"), distinct, ["set_id"], ["safe"], ["safe"], MEMBERS_PER_TASK, MEMBERS_PER_TASK,
+        b = b.sort_values("safe")
+        left, right, n_left, n_right = a["safe"].tolist(), b["safe"].tolist(), a["n"].to_numpy(), b["n"].to_numpy()
+        own, theirs = np.zeros(len(left)), np.zeros(len(right))
+        for i, s in enumerate(left):  # the cost is symmetric: of two sequences the lesser one meets the other
+            for start in range(bisect_left(right, s), len(right), PAIRS_AT_ONCE):
+                part = slice(start, start + PAIRS_AT_ONCE)
+                others = right[part]
+                d = kernels.global_scores([s] * len(others), others, **cost).astype("float64")
+                same = np.array([o == s for o in others])
+                own[i] += float((d * (n_right[part] - same)).sum())  # a row is not compared with itself
+                theirs[part] += np.where(same, 0, d * n_left[i])
+        return pd.DataFrame({"set_id": a["set_id"].iat[0], "safe": left + right, "part": np.concatenate([own, theirs])})
+
+    met = meet(distinct, distinct, ["set_id"], ["safe"], ["safe"], MEMBERS_PER_TASK, MEMBERS_PER_TASK,
                score, "set_id string, safe string, part double")
     return met.groupBy("set_id", "safe").agg(F.sum("part").alias("score"))
 

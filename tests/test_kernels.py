@@ -80,3 +80,27 @@ def test_alignment_scores_and_traceback(local):
 def test_smallest_prefers_early_columns():
     rows, cols = K.smallest(np.array([[3, 1, 1, np.nan, 1], [0, 0, 9, 9, 9.0]]), 2)
     assert rows.tolist() == [0, 0, 1, 1] and cols.tolist() == [1, 2, 0, 1]
+
+
+def test_traceback_is_the_same_block_by_block(monkeypatch):
+    targets, queries = words(24, 0, 30, "ACGT"), words(48, 0, 30, "ACGT")[24:]
+    for local in (True, False):
+        for scores in (None, K.blosum()):
+            monkeypatch.setattr(K, "CELLS_AT_ONCE", 4_000_000)
+            whole = K.aligned_pairs(targets, queries, local, scores)
+            monkeypatch.setattr(K, "CELLS_AT_ONCE", 200)
+            parts = K.aligned_pairs(targets, queries, local, scores)
+            assert (whole[0] == parts[0]).all()
+            assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(whole[1], parts[1]))
+
+
+def test_long_pairs_need_little_memory():
+    import tracemalloc
+
+    rng = random.Random(1)
+    long_ = "".join(rng.choice("ACGT") for _ in range(6000))
+    other = long_[:2000] + long_[2050:]
+    tracemalloc.start()
+    _, [(ts, qs)] = K.aligned_pairs([long_], [other], False)
+    assert len(ts) == len(other) and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
