@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from receptorium.llm.shared import tidy, written
 
 #: tasks over which the members of one component are dealt
-SALTS = 16
+SALTS = 8
 MEETING = ["_bucket", "_kind", "_i", "_j"]
 
 
@@ -45,12 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int")
     while True:
         near = both.join(label.withColumnRenamed("_text", "b"), "b").groupBy(F.col("a").alias("_text")).agg(F.min("_comp").alias("_near"))
-        step = written(label.join(near, "_text").select("_text", F.least("_comp", "_near").alias("_new"), F.col("_comp").alias("_old"), salt.alias("_salt")), "steps")
-        # labels that got a lesser label themselves: few, and fewer every round; the members of a big component are dealt by salt
-        used = step.select(F.col("_new").alias("_text")).distinct()
-        moved = step.join(used, "_text", "left_semi").filter(F.col("_new") < F.col("_text")).select(F.col("_text").alias("_new"), F.col("_new").alias("_next"))
-        moved = moved.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        jump = step.join(moved, ["_new", "_salt"], "left")
+        step = label.join(near, "_text").select("_text", F.least("_comp", "_near").alias("_new"), F.col("_comp").alias("_old"), salt.alias("_salt"))
+        # the members of a big component are dealt by salt; a label that has no lesser label itself needs no row
+        hop = step.filter(F.col("_new") < F.col("_text")).select(F.col("_text").alias("_new"), F.col("_new").alias("_next"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        jump = step.join(hop, ["_new", "_salt"], "left")
         after = written(jump.select("_text", F.coalesce("_next", "_new").alias("_comp"), "_old"), "labels")
         label = after.select("_text", "_comp")
         if after.filter(F.col("_comp") != F.col("_old")).isEmpty():
