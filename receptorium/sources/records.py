@@ -8,6 +8,7 @@ from receptorium.constants import SOURCE_URL
 from receptorium.functions import text
 from receptorium.operators.dedup import as_index
 from receptorium.sources.files import path_exists, read_delimited, stage_archive_member, with_row_number
+from receptorium.sources.quoted import first_records, read_quoted
 
 
 def _cell(df: DataFrame, name: str) -> Column:
@@ -86,7 +87,7 @@ def mcpas_rows(raw: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
 
 
 def read_mcpas(spark: SparkSession, path: str, synonyms: DataFrame | None = None) -> DataFrame:
-    return mcpas_rows(with_row_number(read_delimited(spark, path)), synonyms)
+    return mcpas_rows(read_quoted(spark, path), synonyms)
 
 
 def tcr3d_rows(complexes: DataFrame, chains: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
@@ -125,9 +126,8 @@ def read_tcr3d(spark: SparkSession, complexes: str, chains: str | None = None, s
 
 def read_iedb(spark: SparkSession, path: str, synonyms: DataFrame | None = None) -> DataFrame:
     """Receptor export with two header rows: group names, then column names."""
-    raw = with_row_number(read_delimited(spark, path, header=False))
-    names = raw.filter("row < 2").orderBy("row").drop("row").collect()  # the two header rows
-    place = list(zip(names[0], names[1]))
+    raw = read_quoted(spark, path, header=False)
+    place = list(zip(*first_records(spark, path, 2)))
     data = raw.filter("row >= 2").withColumn("row", F.col("row") - 2)
     columns = [c for c in raw.columns if c != "row"]
     of = {key: columns[i] for i, key in enumerate(place)}
