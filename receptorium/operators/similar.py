@@ -202,6 +202,17 @@ def with_loops(df: DataFrame, loops: DataFrame, gene: str, species: Column, pref
     return out.drop("_org", "_gene01", *[f"_{x}{t}" for t in "ed" for x in ("o", "i", *LOOPS)])
 
 
+def tcrdist(pairs: DataFrame, loops: DataFrame) -> DataFrame:
+    """``pairs`` (cdr3_1, v_1, cdr3_2, v_2, species, and any others) with their single-chain distance: the weighted CDR3 part plus the
+    three loops of both V genes. NULL where a CDR3 is absent or a V gene is not in the table."""
+    organism = F.coalesce(F.nullif(text.species_key(F.col("species")), F.lit("")), F.lit("human"))
+    both = with_loops(with_loops(pairs, loops, "v_1", organism, "_1"), loops, "v_2", organism, "_2")
+    parts = tcrdist_cdr3(F.upper("cdr3_1"), F.upper("cdr3_2"))
+    for c in LOOPS:
+        parts = parts + tcrdist_loop(F.col(f"_1{c}"), F.col(f"_2{c}"))
+    return both.withColumn("distance", parts).select(*pairs.columns, "distance")
+
+
 def family_block(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Choose the candidates of every query: its V family when that has at least five rows, else all.
 

@@ -99,6 +99,24 @@ select o_orderkey as row, case o_orderkey % 4 when 0 then 'NA' when 1 then '' el
   case o_orderkey % 3 when 0 then 'Human' else 'Mouse' end as Species, o_orderpriority as Pathology,
   concat('TRAV', {_str('o_custkey % 9 + 1')}) as TRAV, 'NA' as TRAJ, concat('trbv', {_str('o_custkey % 7 + 1')}) as TRBV, 'TRBD1' as TRBD, 'TRBJ1-1' as TRBJ,
   concat('PMID:', {_str('o_custkey')}) as PubMed_ID, 'HLA-A*02' as MHC from {{orders}}""",
+    "slim": f"""
+select r.src_row as row, case r.src_row % 4 when 0 then 'TRA' when 1 then 'trb' when 2 then ' TRB ' else 'TRG' end as gene,
+  case r.src_row % 9 when 0 then 'NA' when 1 then '' when 2 then concat(' ', lower(r.cdr3_aa)) else r.cdr3_aa end as cdr3, r.v_gene as v, lower(r.j_gene) as j,
+  case r.src_row % 3 when 0 then 'HomoSapiens' when 1 then 'MusMusculus' else 'Macaca Mulatta' end as species, r.epitope_aa, r.antigen, r.mhc_a,
+  case r.src_row % 5 when 0 then '0' when 1 then '' else {_str('r.src_row % 1000')} end as complex_id,
+  case r.src_row % 3 when 0 then concat('PMID:', {_str('r.src_row')}) when 1 then 'https://x.org/y' else concat('10.1/', {_str('r.src_row')}) end as reference, r.score from (<rec>) r""",
+    "complexes": f"""
+select o_orderkey as row, case when o_orderkey % 11 = 0 then '' else concat('P', {_str('o_custkey % 500')}) end as pdb_id, case o_orderkey % 2 when 0 then 'Human' else 'mouse' end as organism,
+  case o_orderkey % 4 when 0 then '-' else concat('CAV', {_digits('o_custkey')}, 'F') end as a3, concat('CAS', {_digits('o_custkey * 3')}, 'YF') as b3,
+  case o_orderkey % 3 when 0 then 'NA' else 'AVSG' end as a1, case o_orderkey % 5 when 0 then '' else 'LGHN' end as b1, case o_orderkey % 7 when 0 then 'nan' else 'YNNK' end as b2,
+  concat('TRAV', {_str('o_custkey % 9 + 1')}) as av, concat('trbv', {_str('o_custkey % 7 + 1')}) as bv, concat('PMID', {_str('o_custkey')}) as pubmed from {{orders}}""",
+    "fills": f"""
+select c_custkey as row, concat('P', {_str('c_custkey % 400')}) as pdb_id, case c_custkey % 4 when 0 then 'ALPHA' when 1 then 'beta' when 2 then 'gamma' else 'Alpha' end as kind,
+  concat('F', {_digits('c_custkey')}) as c1, case c_custkey % 6 when 0 then 'NA' else concat('G', {_digits('c_custkey * 7')}) end as c2 from {{customer}}""",
+    "payloads": f"""
+select p_partkey as ord, p_size % 3 as kind, concat('{{{{"accession":"A', {_str('p_partkey')}, '","name":"', case p_size % 3 when 0 then 'A*01:' when 1 then 'HLA-B*07:' else 'Mamu-A1*' end, {_str('p_size')}, '","class":"',
+  case p_size % 2 when 0 then 'I' else 'II' end, '","locus":"L', {_str('p_size')}, '","sequence":{{{{"coding":"', {_bases('p_partkey')}, '","protein":"', translate({_bases('p_partkey')}, 'ACGT', 'MKVL'), '"}}}},"organism":{{{{"commonName":"',
+  case p_size % 4 when 0 then 'Human' else 'Rhesus' end, '"}}}}}}}}') as value from {{part}}""",
     "labelled": """
 select r.cdr3_aa as cdr3_b_aa, r.v_gene as v_b_gene, r.j_gene as j_b_gene, r.epitope_aa, r.mhc_a, r.antigen, r.src_row % 97 as cluster_id,
   l.quality as label, r.src_row from (<rec>) r join {labels} l on cast(floor(r.src_row / 1000) as bigint) % 997 = l.doc_id""",

@@ -116,6 +116,22 @@ select 'mcpas:' || row as source_record_id, 'mcpas:' || row as pairing_key, lowe
 from l where cdr3 is not null""", l=f"""
 select row, Species, Pathology, PubMed_ID, MHC, 'alpha' as chain, 0 as pos, {clean('CDR3_alpha_aa')} as cdr3, TRAV as v, null as d, TRAJ as j from wide
 union all select row, Species, Pathology, PubMed_ID, MHC, 'beta', 1, {clean('CDR3_beta_aa')}, TRBV, TRBD, TRBJ from wide""")
+_NAME = "case replace(lower(trim({x})), ' ', '') when 'homosapiens' then 'human' when 'musmusculus' then 'mouse' else replace(lower(trim({x})), ' ', '') end"
+oracle("vdjdb_rows", "slim", f"""select 'vdjdb' as source, 'vdjdb:' || row as source_record_id, case when cx is null or cx = '0' then 'vdjdb:u' || row else 'vdjdb:c' || cx end as pairing_key,
+  {_NAME.format(x='species')} as species, case upper(trim(gene)) when 'TRA' then 'alpha' else 'beta' end as chain, upper(s) as cdr3_aa, upper(v) as v_gene, upper(j) as j_gene, epitope_aa, antigen,
+  mhc_a, case when regexp_matches(ref, '^[0-9]+$') or (ref like '10.%' and contains(ref, '/')) then ref end as reference_pmid, 'https://vdjdb.cdr3.net/search' as external_url,
+  {clean('score')} as score, row as src_row
+  from (select *, {clean('cdr3')} as s, {clean('complex_id')} as cx, replace(trim(reference), 'PMID:', '') as ref from slim) x where s is not null and upper(trim(gene)) in ('TRA', 'TRB')""")
+oracle("tcr3d_rows", "complexes fills", f"""select 'tcr3d:' || id || ':' || chain as source_record_id, 'tcr3d:' || id as pairing_key, lower(organism) as species, chain, upper(c3) as cdr3_aa, upper(v) as v_gene,
+  coalesce(own1, f1) as cdr1_aa, coalesce(own2, f2) as cdr2_aa, replace(pubmed, 'PMID', '') as reference_pmid, 'https://www.rcsb.org/structure/' || id as external_url, row * 2 + pos as src_row
+  from l left join last on last.pdb_id = l.id and last.of = l.chain and last.k = 1 where c3 is not null and id is not null""",
+       last=f"select pdb_id, lower(kind) as of, {clean('c1')} as f1, {clean('c2')} as f2, row_number() over (partition by pdb_id, lower(kind) order by row desc) as k from fills",
+       l=f"select row, {clean('pdb_id')} as id, organism, pubmed, 'alpha' as chain, 0 as pos, {clean('a3')} as c3, av as v, {clean('a1')} as own1, null as own2 from complexes "
+         f"union all select row, {clean('pdb_id')}, organism, pubmed, 'beta', 1, {clean('b3')}, bv, {clean('b1')}, {clean('b2')} from complexes")
+oracle("allele_payloads", "payloads", """select case kind when 0 then 'hla' else 'mhc' end as source, case when kind < 2 or contains(value, '"commonName":"Human"') then 'human' else 'other' end as species,
+  case kind when 0 then 'HLA-A' when 1 then 'HLA-B' else 'Mamu-A1' end as gene_name, value ->> '$.name' as allele_name, 'coding' as region, value ->> '$.sequence.coding' as sequence,
+  value ->> '$.accession' as accession, case kind when 0 then 'ebi-imgt-hla' else 'ebi-ipd-mhc' end as backend, left(value ->> '$.sequence.protein', case kind when 0 then 60 else 80 end) as protein_seq
+  from (select kind, cast(value as json) as value from (select kind, value from payloads) y) x""".replace("contains(value,", "contains(cast(value as varchar),"))
 LABELLED_KEPT = """select * from (select *, row_number() over (partition by cdr3_b_aa, v_b_gene, j_b_gene, epitope_aa, mhc_a order by src_row) as rn
   from labelled where label = 1 and cdr3_b_aa is not null and v_b_gene is not null and j_b_gene is not null and epitope_aa is not null) x where rn = 1"""
 oracle("labelled_positives", "labelled", "select cdr3_b_aa, v_b_gene, j_b_gene, epitope_aa, mhc_a, antigen, cluster_id from k", k=LABELLED_KEPT)
@@ -179,6 +195,10 @@ from t join n on n.ic = t.ic and n.qs is not distinct from t.qs join s on s.qid
        s="select h.qid, count(*) as total_matches, least(count(*), 20) as total_exact from h group by 1",
        n=f"select k.ic, k.qs, count(distinct ix.source) as concordance from (select distinct ic, qs, qs as species from t) k join ix on ix.ic = k.ic "
          f"and (k.species is null or (ix.species = k.species and (ix.org is null or ix.org = k.species))) group by 1, 2")
+oracle("text_lookup", "rec ask", """select t.qid, t.rank, t.source_record_id, s.total_exact, s.total_matches from t join s on s.qid = t.qid""", ix=IX,
+       q=f"select qid, upper(cdr3) as ck, case when qid % 3 = 0 then {base('v_gene')} end as vk, null::varchar as jk, species from ask", h=HITS,
+       t="select * from (select *, row_number() over (partition by qid order by sc desc, source, src_row) as rank from h) z where rank <= 20",
+       s="select h.qid, count(*) as total_matches, least(count(*), 20) as total_exact from h group by 1")
 oracle("id_lookup", "rec", "select o.o_orderkey as qid, r.source_record_id, r.cdr3_aa, r.species from orders o join rec r on r.source_record_id = 'r:' || o.o_orderkey || ':1'")
 oracle("concordance", "rec", "select upper(cdr3_aa) as cdr3_key, greatest(count(distinct source), 1) as concordance from rec group by 1")
 oracle("sources_searched", "rec", "select string_agg(source, ',' order by source) as sources from (select distinct source from rec) x")
@@ -267,6 +287,9 @@ oracle("tcrdist_single", "rec ask loops", TOP10.format(cut=0, k=10), **TCR_STEPS
   join pt on pt.q = u.cdr3 and pt.c = u.cdr3_aa join lp l1 on l1.x = u.q_cdr1 and l1.y = u.r_cdr1 join lp l2 on l2.x = u.q_cdr2 and l2.y = u.r_cdr2
   join lp l3 on l3.x = u.q_cdr25 and l3.y = u.r_cdr25
   union all select u.qid, 'blosum_cdr3', u.cdr3_aa, pd.d, u.src_row from u join fit on fit.qid = u.qid and not fit.fit join pd on pd.q = u.cdr3 and pd.c = u.cdr3_aa""")
+oracle("tcrdist_pairs", "ask loops", f"""select qid_1, qid_2, {tcr('q', 'c', 3, 2, False)} * 3 + {tcr('q_cdr1', 'r_cdr1', 0, 0, True)} + {tcr('q_cdr2', 'r_cdr2', 0, 0, True)} + {tcr('q_cdr25', 'r_cdr25', 0, 0, True)} as distance
+  from two""", lt=LT, pair="select a.qid as qid_1, b.qid as qid_2, a.cdr3 as q, b.cdr3 as c, a.v_gene as v1, b.v_gene as v2, a.species from ask a join ask b on a.qid % 2 = 0 and b.qid = a.qid + 1",
+       one=with_loops("pair", "v1", "species", "q_"), two=with_loops("one", "v2", "species", "r_"))
 oracle("tcrdist_skipped", "rec ask loops", """select qid, 'tcrdist_candidates_skipped' as code, cast(n_skipped as varchar) as n_skipped from fit where fit and n_skipped > 0
   union all select qid, 'tcrdist_unavailable', null from fit where not fit
   union all select qid, 'no_reference_candidates', null from ask where qid not in (select qid from fit)""", **TCR_STEPS)

@@ -13,7 +13,7 @@ from receptorium.operators import (
 )
 from receptorium.operators.pairwise import first_rows
 from receptorium.plans import answer, bridge
-from receptorium.sources import files, germline, records, uploads
+from receptorium.sources import alleles as alleles_source, files, germline, records, uploads
 from receptorium.streaming import limiter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,34 @@ def refresh_guard(spark, sf):
     return files.refresh_decision(status, True)
 
 
+@query
+def vdjdb_rows(spark, sf):
+    raw = bridge.view(spark, sf, "slim").withColumnsRenamed({
+        "complex_id": "complex.id", "v": "v.segm", "j": "j.segm", "epitope_aa": "antigen.epitope", "antigen": "antigen.gene", "mhc_a": "mhc.a",
+        "reference": "reference.id", "score": "vdjdb.score"})
+    return records.vdjdb_rows(raw).select("source", "source_record_id", "pairing_key", "species", "chain", "cdr3_aa", "v_gene", "j_gene", "epitope_aa", "antigen", "mhc_a",
+                                          "reference_pmid", "external_url", "score", "src_row")
+
+
+@query
+def tcr3d_rows(spark, sf):
+    whole = bridge.view(spark, sf, "complexes").withColumnsRenamed({
+        "pdb_id": "PDB_ID", "organism": "TCR_organism", "a3": "CDR3_alpha", "b3": "CDR3_beta", "a1": "CDR1_alpha", "b1": "CDR1_beta", "b2": "CDR2_beta",
+        "av": "TRAV_gene", "bv": "TRBV_gene", "pubmed": "Pubmed"})
+    fills = bridge.view(spark, sf, "fills").withColumnsRenamed({"kind": "tcr_type", "c1": "cdr1_sequences", "c2": "cdr2_sequences"})
+    return records.tcr3d_rows(whole, fills).select("source_record_id", "pairing_key", "species", "chain", "cdr3_aa", "v_gene", "cdr1_aa", "cdr2_aa", "reference_pmid",
+                                                   "external_url", "src_row")
+
+
+@query
+def allele_payloads(spark, sf):
+    p = bridge.view(spark, sf, "payloads")
+    kinds = [alleles_source.allele_records(p.filter("kind = 0")), alleles_source.allele_records(p.filter("kind = 1"), "HLA", True),
+             alleles_source.allele_records(p.filter("kind = 2"), "MHC", True)]
+    cells = [k.select("source", "species", "gene_name", "allele_name", "region", "sequence", *[F.col("metadata")[m].alias(m) for m in ("accession", "backend", "protein_seq")]) for k in kinds]
+    return cells[0].unionByName(cells[1]).unionByName(cells[2])
+
+
 @query
 def wide_to_long(spark, sf):
     raw = bridge.view(spark, sf, "wide").withColumnsRenamed({
@@ -170,6 +198,15 @@ def exact_lookup(spark, sf):
     return out["exact"].select("qid", "rank", "source_record_id", "score", "concordance").join(out["totals"], "qid")
 
 
+@query
+def text_lookup(spark, sf):
+    """Requests that say all in one sentence; what the sentence names wins over the species given beside it."""
+    q = bridge.view(spark, sf, "ask").select("qid", F.concat_ws(" ", "species", "cdr3", F.when(_c("qid") % 3 == 0, _c("v_gene"))).alias("query"),
+                                             F.when(_c("qid") % 2 == 0, F.lit("mouse")).alias("species"))
+    out = lookup.retrieve_records(q, bridge.view(spark, sf, "rec"), top_k=20, include_neighbours=False)
+    return out["exact"].select("qid", "rank", "source_record_id").join(out["totals"], "qid")
+
+
 @query
 def id_lookup(spark, sf):
     asked = bridge.table(spark, sf, "orders").select(_c("o_orderkey", "qid"), F.concat(F.lit("r:"), _c("o_orderkey").cast("string"), F.lit(":1")).alias("id_lookup"))
@@ -282,6 +319,14 @@ def tcrdist_single(spark, sf):
     return out["neighbours"].select("qid", "rank", "engine", "cdr3_b_aa", "distance", "similarity", "src_row")
 
 
+@query
+def tcrdist_pairs(spark, sf):
+    q = bridge.view(spark, sf, "ask").withColumn("_n", F.floor(_c("qid") / 2))
+    one, two = (q.filter(_c("qid") % 2 == i).select("_n", *[_c(c).alias(f"{c}_{i + 1}") for c in ("qid", "cdr3", "v_gene", "species")]) for i in (0, 1))
+    pairs = one.join(two, "_n").select("qid_1", "qid_2", "cdr3_1", _c("v_gene_1", "v_1"), "cdr3_2", _c("v_gene_2", "v_2"), _c("species_1", "species"))
+    return similar.tcrdist(pairs, _loops(spark, sf)).select("qid_1", "qid_2", "distance")
+
+
 @query
 def tcrdist_skipped(spark, sf):
     out = similar.find_similar(bridge.view(spark, sf, "ask"), bridge.view(spark, sf, "rec"), _loops(spark, sf), top_k=10)
