@@ -288,7 +288,7 @@ oracle("tcrdist_single", "rec ask loops", TOP10.format(cut=0, k=10), **TCR_STEPS
   join lp l3 on l3.x = u.q_cdr25 and l3.y = u.r_cdr25
   union all select u.qid, 'blosum_cdr3', u.cdr3_aa, pd.d, u.src_row from u join fit on fit.qid = u.qid and not fit.fit join pd on pd.q = u.cdr3 and pd.c = u.cdr3_aa""")
 oracle("tcrdist_pairs", "ask loops", f"""select qid_1, qid_2, {tcr('q', 'c', 3, 2, False)} * 3 + {tcr('q_cdr1', 'r_cdr1', 0, 0, True)} + {tcr('q_cdr2', 'r_cdr2', 0, 0, True)} + {tcr('q_cdr25', 'r_cdr25', 0, 0, True)} as distance
-  from two""", lt=LT, pair="select a.qid as qid_1, b.qid as qid_2, a.cdr3 as q, b.cdr3 as c, a.v_gene as v1, b.v_gene as v2, a.species from ask a join ask b on a.qid % 2 = 0 and b.qid = a.qid + 1",
+  from two""", lt=LT, pair="select a.qid as qid_1, b.qid as qid_2, a.cdr3 as q, b.cdr3 as c, a.v_gene as v1, b.v_gene as v2, a.species from ask a join ask b on floor(b.qid / 2) = floor(a.qid / 2) + 1",
        one=with_loops("pair", "v1", "species", "q_"), two=with_loops("one", "v2", "species", "r_"))
 oracle("tcrdist_skipped", "rec ask loops", """select qid, 'tcrdist_candidates_skipped' as code, cast(n_skipped as varchar) as n_skipped from fit where fit and n_skipped > 0
   union all select qid, 'tcrdist_unavailable', null from fit where not fit

@@ -322,7 +322,8 @@ def tcrdist_single(spark, sf):
 @query
 def tcrdist_pairs(spark, sf):
     q = bridge.view(spark, sf, "ask").withColumn("_n", F.floor(_c("qid") / 2))
-    one, two = (q.filter(_c("qid") % 2 == i).select("_n", *[_c(c).alias(f"{c}_{i + 1}") for c in ("qid", "cdr3", "v_gene", "species")]) for i in (0, 1))
+    one = q.select("_n", *[_c(c).alias(f"{c}_1") for c in ("qid", "cdr3", "v_gene", "species")])
+    two = q.select(_c("_n") - 1, *[_c(c).alias(f"{c}_2") for c in ("qid", "cdr3", "v_gene", "species")]).toDF("_n", "qid_2", "cdr3_2", "v_gene_2", "species_2")
     pairs = one.join(two, "_n").select("qid_1", "qid_2", "cdr3_1", _c("v_gene_1", "v_1"), "cdr3_2", _c("v_gene_2", "v_2"), _c("species_1", "species"))
     return similar.tcrdist(pairs, _loops(spark, sf)).select("qid_1", "qid_2", "distance")
 
