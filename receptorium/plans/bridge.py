@@ -113,6 +113,12 @@ select o_orderkey as row, case when o_orderkey % 11 = 0 then '' else concat('P',
     "fills": f"""
 select c_custkey as row, concat('P', {_str('c_custkey % 400')}) as pdb_id, case c_custkey % 4 when 0 then 'ALPHA' when 1 then 'beta' when 2 then 'gamma' else 'Alpha' end as kind,
   concat('F', {_digits('c_custkey')}) as c1, case c_custkey % 6 when 0 then 'NA' else concat('G', {_digits('c_custkey * 7')}) end as c2 from {{customer}}""",
+    "paired_cells": f"""
+select o_orderkey as n, case when o_orderkey % 13 = 0 then '' else {_str('o_custkey')} end as receptor, concat('GIL', {_digits('o_custkey')}) as epitope, case o_orderkey % 3 when 0 then 'NA' else concat('source "', o_orderstatus, '"') end as antigen,
+  case o_orderkey % 4 when 0 then '' else concat('TRAV', {_str('o_custkey % 9 + 1')}) end as v1, concat('trav', {_str('o_custkey % 5 + 1')}) as w1,
+  case o_orderkey % 5 when 0 then '-' else concat('CAV', {_digits('o_custkey')}, 'F') end as c1, concat('CAG', {_digits('o_custkey * 3')}, 'F') as d1,
+  case o_orderkey % 6 when 0 then 'IGHV1' else concat('TRBV', {_str('o_custkey % 7 + 1')}) end as v2, concat(' cas', {_digits('o_custkey * 7')}, 'yf') as c2,
+  case o_orderkey % 3 when 0 then 'http://x.org/obo/NCBITaxon_9606' when 1 then 'http://x.org/obo/NCBITaxon_10090' else '' end as iri from {{orders}}""",
     "payloads": f"""
 select p_partkey as ord, p_size % 3 as kind, concat('{{{{"accession":"A', {_str('p_partkey')}, '","name":"', case p_size % 3 when 0 then 'A*01:' when 1 then 'HLA-B*07:' else 'Mamu-A1*' end, {_str('p_size')}, '","class":"',
   case p_size % 2 when 0 then 'I' else 'II' end, '","locus":"L', {_str('p_size')}, '","sequence":{{{{"coding":"', {_bases('p_partkey')}, '","protein":"', translate({_bases('p_partkey')}, 'ACGT', 'MKVL'), '"}}}},"organism":{{{{"commonName":"',

@@ -128,6 +128,14 @@ oracle("tcr3d_rows", "complexes fills", f"""select 'tcr3d:' || id || ':' || chai
        last=f"select pdb_id, lower(kind) as of, {clean('c1')} as f1, {clean('c2')} as f2, row_number() over (partition by pdb_id, lower(kind) order by row desc) as k from fills",
        l=f"select row, {clean('pdb_id')} as id, organism, pubmed, 'alpha' as chain, 0 as pos, {clean('a3')} as c3, av as v, {clean('a1')} as own1, null as own2 from complexes "
          f"union all select row, {clean('pdb_id')}, organism, pubmed, 'beta', 1, {clean('b3')}, bv, {clean('b1')}, {clean('b2')} from complexes")
+oracle("iedb_rows", "paired_cells", f"""select 'iedb' as source, 'iedb:' || id as source_record_id, 'iedb:' || id as pairing_key,
+  case when iri = '' then '' when iri like '%9606' then 'human' else 'mouse' end as species, chain, upper(trim(cdr3)) as cdr3_aa, upper(v) as v_gene, epitope as epitope_aa, {clean('antigen')} as antigen,
+  'https://www.iedb.org/receptor/' || id as external_url from l where id is not null and chain is not null and cdr3 is not null""",
+       l=f"select {clean('receptor')} as id, epitope, antigen, iri, 'alpha' as chain, coalesce({clean('c1')}, {clean('d1')}) as cdr3, coalesce({clean('v1')}, {clean('w1')}) as v from paired_cells "
+         f"union all select {clean('receptor')}, epitope, antigen, iri, case when v2 like 'TRB%' then 'beta' end, {clean('c2')}, v2 from paired_cells")
+oracle("germline_scan", "germ", "select species, chain, segment, allele, split_part(allele, '*', 1) as gene, nt from germ")
+oracle("alphabets", "seqs", """select seq_id, case when seq_id % 3 = 0 or seq_id % 7 = 0 then 'nucleotide' when seq_id % 5 = 0 or seq_id % 11 = 0 then 'amino_acid' else 'nucleotide' end as kind,
+  case seq_id % 4 when 0 then 'TRA' when 1 then 'TRB' end as chain from seqs""")
 oracle("allele_payloads", "payloads", """select case kind when 0 then 'hla' else 'mhc' end as source, case when kind < 2 or contains(value, '"commonName":"Human"') then 'human' else 'other' end as species,
   case kind when 0 then 'HLA-A' when 1 then 'HLA-B' else 'Mamu-A1' end as gene_name, value ->> '$.name' as allele_name, 'coding' as region, value ->> '$.sequence.coding' as sequence,
   value ->> '$.accession' as accession, case kind when 0 then 'ebi-imgt-hla' else 'ebi-ipd-mhc' end as backend, left(value ->> '$.sequence.protein', case kind when 0 then 60 else 80 end) as protein_seq

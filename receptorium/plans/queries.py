@@ -12,6 +12,7 @@ from receptorium.operators import (
     align, alleles, annotate, assign, baseline, dedup, dossier, epitopes, lookup, reconstruct, route, similar,
 )
 from receptorium.operators.pairwise import first_rows
+from receptorium import session
 from receptorium.plans import answer, bridge
 from receptorium.sources import alleles as alleles_source, files, germline, records, uploads
 from receptorium.streaming import limiter
@@ -96,6 +97,40 @@ def tcr3d_rows(spark, sf):
                                                    "external_url", "src_row")
 
 
+IEDB_COLUMNS = [("Receptor", "IEDB Receptor ID", "receptor"), ("Epitope", "Name", "epitope"), ("Epitope", "Source Molecule", "antigen"),
+                ("Chain 1", "Curated V Gene", "v1"), ("Chain 1", "Calculated V Gene", "w1"), ("Chain 1", "CDR3 Curated", "c1"), ("Chain 1", "CDR3 Calculated", "d1"),
+                ("Chain 2", "Curated V Gene", "v2"), ("Chain 2", "CDR3 Calculated", "c2"), ("Chain 1", "Organism IRI", "iri"), ("Chain 2", "Organism IRI", "iri")]
+
+
+@query
+def iedb_rows(spark, sf):
+    """The table as a file with two header rows and quoted cells, read back."""
+    root = session.shared_path(spark, "iedb")
+    heads = [",".join(f'"{c[i]}"' for c in IEDB_COLUMNS) for i in (0, 1)]
+    spark.createDataFrame([(h,) for h in heads], "value string").coalesce(1).write.text(f"{root}/0")
+    quoted = F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for _, _, c in IEDB_COLUMNS])
+    bridge.view(spark, sf, "paired_cells").select(quoted.alias("value")).write.text(f"{root}/1")
+    return records.read_iedb(spark, f"{root}/*").select("source", "source_record_id", "pairing_key", "species", "chain", "cdr3_aa", "v_gene", "epitope_aa", "antigen", "external_url")
+
+
+@query
+def germline_scan(spark, sf):
+    """The entries as FASTA files by species and chain, with wrapped lines, read back."""
+    root = session.shared_path(spark, "germline")
+    kind = F.when(_c("segment") == "V", "V-REGION").when(_c("segment") == "J", "joining").otherwise("CONSTANT")
+    text_ = F.concat(F.lit(">X|"), F.lower("allele"), F.lit("|f|"), kind, F.lit("\n"), F.lower(F.substring("nt", 1, 60)), F.lit("\n"), F.expr("substring(nt, 61)"))
+    _entries(spark, sf).select(text_.alias("value"), "species", "chain").write.partitionBy("species", "chain").text(root)
+    return germline.germline_entries(spark, root, "species=*/chain=*", r"species=([^/]+)/chain=([^/]+)/").select("species", "chain", "segment", "allele", "gene", "nt")
+
+
+@query
+def alphabets(spark, sf):
+    seqs = bridge.view(spark, sf, "seqs").select("seq_id", F.when(_c("seq_id") % 3 == 0, F.lower("seq")).when(_c("seq_id") % 7 == 0, F.concat(F.lit(" "), "seq", F.lit("N"))).when(
+        _c("seq_id") % 5 == 0, F.concat("seq", F.lit("E"))).when(_c("seq_id") % 11 == 0, F.lit("")).otherwise(_c("seq")).alias("s"), F.when(_c("seq_id") % 4 == 0, F.lit(" Alpha")).when(
+        _c("seq_id") % 4 == 1, F.lit("trb")).when(_c("seq_id") % 4 == 2, F.lit("epsilon")).alias("word"))
+    return seqs.select("seq_id", text.alphabet(_c("s")).alias("kind"), text.chain_synonym(_c("word")).alias("chain"))
+
+
 @query
 def allele_payloads(spark, sf):
     p = bridge.view(spark, sf, "payloads")

@@ -21,12 +21,13 @@ def fasta_entries(spark: SparkSession, path: str) -> DataFrame:
         F.upper(F.array_join(F.slice("lines", F.lit(2), F.size("lines")), "")).alias("seq"))
 
 
-def germline_entries(spark: SparkSession, root: str) -> DataFrame:
-    """(species, chain, segment, allele, gene, nt, ord) of ``root/SPECIES/CHAIN.fasta`` files.
+def germline_entries(spark: SparkSession, root: str, files: str = "*/TR[ABGD].fasta", place: str = r"([^/]+)/([^/.]+)\.[^/]+$") -> DataFrame:
+    """(species, chain, segment, allele, gene, nt, ord) of ``root/SPECIES/CHAIN.fasta`` files, or of other ``files`` whose path names
+    species and chain by the groups of ``place``.
 
     The header's second field is the allele, its last field marks the segment; leaders are dropped.
     """
-    e = fasta_entries(spark, f"{root}/*/TR[ABGD].fasta")
+    e = fasta_entries(spark, f"{root}/{files}")
     fields = F.split("header", r"\|")
     marker = F.upper(F.trim(F.element_at(fields, -1)))
     segment = (F.when(marker.contains("VARIABLE") | marker.contains("V-REGION"), F.lit("V"))
@@ -34,8 +35,7 @@ def germline_entries(spark: SparkSession, root: str) -> DataFrame:
                .when(marker.contains("CONSTANT"), F.lit("C")))
     allele = F.upper(F.trim(F.get(fields, F.lit(1))))
     return e.filter(F.size(fields) >= 2).select(
-        F.lower(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)).alias("species"),
-        F.upper(F.regexp_extract("file", r"([^/]+)\.[^./]+$", 1)).alias("chain"),
+        F.lower(F.regexp_extract("file", place, 1)).alias("species"), F.upper(F.regexp_extract("file", place, 2)).alias("chain"),
         segment.alias("segment"), allele.alias("allele"), F.split_part(allele, F.lit("*"), F.lit(1)).alias("gene"),
         F.col("seq").alias("nt"), "ord").filter(F.col("segment").isNotNull())
 

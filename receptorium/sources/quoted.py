@@ -71,14 +71,20 @@ def numbered_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_records(spark: SparkSession, path: str, n: int, sep: str = ",") -> list[list[str]]:
-    """Cells of the first records of some file under ``path``; reads no more of it than that takes."""
-    many = 20 * n
-    while True:
-        lines = [r.value for r in spark.read.text(path, lineSep="\n").head(many)]
-        rows = [r for r in csv.reader(io.StringIO("\n".join(lines)), delimiter=sep) if r]
-        if len(rows) > n or len(lines) < many:  # the last one may go on
-            return rows[:n]
-        many *= 10
+    """Cells of the first records under ``path``, in the order of files; reads no more of the files than that takes."""
+    rows: list[list[str]] = []
+    for file in sorted(spark.read.text(path).inputFiles()):
+        many = 20 * n
+        while True:
+            lines = [r.value for r in spark.read.text(file, lineSep="\n").head(many)]
+            found = [r for r in csv.reader(io.StringIO("\n".join(lines)), delimiter=sep) if r]
+            if len(found) > n or len(lines) < many:  # the last one may go on
+                break
+            many *= 10
+        rows += found
+        if len(rows) >= n:
+            break
+    return rows[:n]
 
 
 def _names(cells: list[str]) -> list[str]:
