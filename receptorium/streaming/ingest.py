@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from receptorium.constants import DEDUP_KEY
 from receptorium.operators.dedup import as_index, keep_first
 from receptorium.operators.lookup import retrieve_records
+from receptorium.plans.answer import lookup_stored
 
 
 def append_new(batch: DataFrame, index: DataFrame | None) -> DataFrame:
@@ -48,11 +49,14 @@ def drop_late_duplicates(stream: DataFrame, ts: str = "ts", delay: str = "10 min
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark(DEDUP_KEY)
 
 
-def continuous_lookup(queries: DataFrame, index: DataFrame, sink: Callable[[dict[str, DataFrame], int], None], checkpoint: str,
+def continuous_lookup(queries: DataFrame, index: DataFrame | str, sink: Callable[[dict[str, DataFrame], int], None], checkpoint: str,
                       top_k: int = 50, include_neighbours: bool = True) -> StreamingQuery:
     """Answer a stream of lookup requests against the index, batch by batch. ``sink`` gets the whole answer: requests, exact,
-    pairs, neighbours, totals and warnings."""
+    pairs, neighbours, totals and warnings. ``index`` is a table, or the folder of its builds: then every batch is answered by the
+    build that was announced last when the batch began, and a missing index is a warning."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        sink(retrieve_records(batch, index, top_k, include_neighbours=include_neighbours), batch_id)
+        ask = lookup_stored if isinstance(index, str) else retrieve_records
+        first = (batch.sparkSession, index, batch) if isinstance(index, str) else (batch, index)
+        sink(ask(*first, top_k=top_k, include_neighbours=include_neighbours), batch_id)
 
     return queries.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

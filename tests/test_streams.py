@@ -75,3 +75,20 @@ def test_continuous_lookup_hands_on_the_whole_answer(spark, tmp_path, make_index
     assert [r["source_record_id"] for r in seen["exact"]] == ["iedb:0"] and [r["source_record_id"] for r in seen["neighbours"]] == ["iedb:1"]
     assert [r["total_matches"] for r in seen["totals"]] == [1] and [r["code"] for r in seen["warnings"]] == ["no_pairing_found"]
     assert seen["requests"] and seen["pairs"] == []
+
+
+def test_lookup_sees_a_build_announced_between_batches(spark, tmp_path, make_index):
+    from receptorium.sources import files
+
+    root, seen = str(tmp_path / "index"), {}
+
+    def sink(answer, _):
+        for r in answer["exact"].select("qid", "source_record_id").collect():
+            seen.setdefault(r.qid, []).append(r.source_record_id)
+
+    for n, rows in ((1, ["old"]), (2, ["old", "new"])):
+        files.write_index(make_index([dict(source="vdjdb", source_record_id=r, species="human", chain="beta", cdr3_aa="CASSLF", v_gene="TRBV1") for r in rows]), root, str(n))
+        spark.createDataFrame([(n, "CASSLF")], "qid long, cdr3_aa string").coalesce(1).write.parquet(str(tmp_path / "q" / str(n)))
+        stream = spark.readStream.schema("qid long, cdr3_aa string").parquet(str(tmp_path / "q" / "*"))
+        ingest.continuous_lookup(stream, root, sink, str(tmp_path / "cp"), include_neighbours=False).awaitTermination(120)
+    assert seen == {1: ["old"], 2: ["old", "new"]}
