@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,11 @@ _PART = (r"(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|pr
 # A whole class or id names a part: nothing but part words, and words that say which or what of it ("main-menu", "share-buttons-2", not "has-sidebar").
 _HINT = re.compile(rf"(?:(?:site|page|main|post|entry|article|top|bottom|global|primary|secondary)[-_]+)*{_PART}(?:[-_]+(?:{_PART}|posts?|articles?|stories|items?|links?|lists?|area|"
                    r"box|wrap(?:per)?|container|section|block|bar|buttons?|icons?|form|thread|slot|unit|primary|secondary|\d+))*")
+# Words that make a part of what is named after them, wherever they stand in the name ("reader-comments", "comment-body", "sponsored-content").
+_STRONG = frozenset(("comment", "comments", "commentary", "sponsor", "sponsors", "sponsored", "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising",
+                     "promo", "disqus", "newsletter", "cookie", "cookies"))
+_ABOUT = frozenset(("has", "have", "no", "not", "without", "with", "show", "hide", "enable", "disable", "allow", "js", "is", "tag", "category", "format", "type"))
+_OWN_TEXT = frozenset(("post", "content", "article", "entry", "story", "main", "body", "text", "hentry", "page"))
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 
@@ -56,18 +62,26 @@ def _is_hidden(own: dict[str, str]) -> bool:
 def _is_part(own: dict[str, str], with_id: bool) -> bool:
     """Whether a whole class, id or role, or the label as a whole, names a part that holds no article."""
     names = f"{own.get('class', '')} {own.get('role', '')} {own.get('id', '') if with_id else ''}".lower().split()
+    for words in (re.split("[-_]+", n) for n in names):
+        if words[0] not in _ABOUT and not _STRONG.isdisjoint(words):
+            return True
+    if not _OWN_TEXT.isdisjoint(names):  # beside the name of a text the weaker words tell what the text is about or has
+        return False
     return any(_HINT.fullmatch(n) for n in [*names, "-".join(own.get("aria-label", "").lower().split())])
 
 
 @dataclass(eq=False)
 class _Open:
-    """An open element. ``part``: 1 while it counts as a part without article; ``hinted``: only its names say so."""
+    """An open element. ``part``: it counts as a part without article; ``hinted``: only its names say so; ``first``: the number of
+    blocks found before it."""
 
     tag: str
-    part: int
+    part: bool
     hinted: bool
     article: bool
     link: bool
+    first: int
+    last: int = -1
 
 
 def blocks(page: str) -> Iterator[tuple[str, int, int, int, int, int]]:
@@ -75,7 +89,10 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, int, int]]:
     held: list[str] = []
     linked: list[str] = []
     open_: list[_Open] = []
-    found: list[tuple[str, int, int, list[_Open], int, int]] = []
+    found: list[tuple[str, int, int, int, int]] = []
+    parts: list[_Open] = []  # all elements that are parts, with the blocks they hold
+    many: Counter[str] = Counter()  # open elements by tag
+    unclosed: set[str] = set()  # raw tags that no end tag follows
     around_first: list[_Open] = []  # hinted elements around the first article
     article = link = at = kind = 0
     seen = over = False  # an article has begun; an <article> has ended
@@ -86,7 +103,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, int, int]]:
         held.clear()
         linked.clear()
         if text:
-            found.append((" ".join(text), len(text), min(inside, len(text)), [e for e in open_ if e.part], article, kind))
+            found.append((" ".join(text), len(text), min(inside, len(text)), article, kind))
 
     def say(piece: str) -> None:
         if piece:
@@ -115,13 +132,16 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, int, int]]:
             if tag == "head":
                 continue
             if not attributes.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if close is None:
+                    unclosed.add(tag)
                 if close:
                     at = close.end()
                 elif tag == "script":
                     at = end
                 elif tag == "style":  # its rules hold no tag
-                    at = page.find("<", at) if "<" in page[at:] else end
+                    mark = page.find("<", at)
+                    at = mark if mark >= 0 else end
             continue
         if tag not in _INLINE:
             flush()
@@ -137,29 +157,45 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, int, int]]:
             if own and tag not in ("body", "html"):
                 off = off or _is_hidden(own)
                 # inside an article the ids of sections are the slugs of their headings
-                slug = tag == "section" and article and not (over and not any(e.tag == "article" for e in open_))
+                slug = tag == "section" and article and not (over and not many["article"])
                 hinted = not (off or is_article or tag in _HEADINGS or tag in _INLINE) and _is_part(own, not slug)
             if is_article and not seen:
                 seen, around_first = True, [e for e in open_ if e.hinted]
             if tag == "a" or off or hinted or is_article or tag not in _INLINE:
                 if tag not in ("p", "li", "br", "dt", "dd", "option", "tr", "td", "th") or off or hinted:
-                    open_.append(_Open(tag, int(off or hinted), hinted, is_article, tag == "a"))
+                    open_.append(_Open(tag, off or hinted, hinted, is_article, tag == "a", len(found)))
+                    many[tag] += 1
+                    if off or hinted:
+                        parts.append(open_[-1])
                     article, link = article + is_article, link + (tag == "a")
-        else:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i].tag == tag:
-                    over = over or any(e.tag == "article" for e in open_[i:])
-                    article, link = article - sum(e.article for e in open_[i:]), link - sum(e.link for e in open_[i:])
-                    del open_[i:]
+        elif many[tag]:
+            while True:
+                gone = open_.pop()
+                gone.last = len(found)
+                many[gone.tag] -= 1
+                over = over or gone.tag == "article"
+                article, link = article - gone.article, link - gone.link
+                if gone.tag == tag:
                     break
     flush()
+
+    def held_by(elements: list[_Open]) -> np.ndarray:
+        """How many of the elements each block stands in."""
+        step = np.zeros(len(found) + 1, np.int64)
+        for e in elements:
+            step[e.first] += 1
+            step[e.last if e.last >= 0 else len(found)] -= 1
+        return np.cumsum(step)[:-1]
+
+    inner = held_by(parts)
     if around_first:  # names don't make a part of what holds the article; teasers in a part are shorter than the page's own text
-        inside = sum(n for _, n, _, parts, articles, _ in found if articles and all(e in around_first for e in parts))
-        if inside > sum(n for _, n, _, parts, _, _ in found if not parts):
-            for e in around_first:
-                e.part = 0
-    for text, n, inside, parts, articles, kind in found:
-        yield text, n, inside, sum(e.part for e in parts), articles, kind
+        outer = held_by(around_first)
+        words = np.array([f[1] for f in found], np.int64)
+        inside = words[np.array([f[3] > 0 for f in found], bool) & (inner == outer)].sum()
+        if inside > words[inner == 0].sum():
+            inner = inner - outer
+    for (text, n, inside, articles, kind), within in zip(found, inner.tolist(), strict=True):
+        yield text, n, inside, within, articles, kind
 
 
 def features(flat: list[tuple[str, int, int, int, int, int]]) -> np.ndarray:
@@ -263,7 +299,9 @@ def trained() -> Tree:
 
 def main_text(page: str | None, tree: Tree) -> str:
     flat = list(blocks(page or ""))
-    keep = tree.predict(features(flat)) if flat else []
+    keep = tree.predict(features(flat)) if flat else np.zeros(0, bool)
+    if not keep.any():  # a page that marks no text at all: what is no part and no list of links
+        keep = np.array([not b[3] and 2 * b[2] < b[1] for b in flat], bool)
     return " ".join(b[0] for b, k in zip(flat, keep, strict=True) if k)
 
 

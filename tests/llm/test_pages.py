@@ -149,3 +149,27 @@ def test_extreme_ids_round_trip(spark):
         pages = spark.createDataFrame([(i, "http://h/", f"body {i}") for i in take], "page_id long, url string, html string")
         found = {r.page_id: r.record_type for r in warc.round_trip(pages).collect()}
         assert found == dict.fromkeys(take, "response")
+
+
+def test_comments_and_adverts_by_name():
+    tree = html_text.trained()
+    text = "<p>" + "own words of the text " * 8 + "</p>"
+    for name in ("reader-comments", "user-comments", "comment-body", "sponsored-content", "advertisement-top"):
+        page = f"<body><article><h1>Title here</h1>{text}<div class='{name}'><p>{'not of the text ' * 8}</p></div></article><div class='{name}'><p>{'nor this one ' * 8}</p></div></body>"
+        found = html_text.main_text(page, tree)
+        assert found.startswith("Title here own words") and "not of" not in found and "nor this" not in found, name
+    for page in (f"<body><div class='post tag'><h1>Title</h1>{text}</div></body>", f"<body class='has-comments'><div class='content no-ads'>{text}</div></body>"):
+        assert "own words of the text" in html_text.main_text(page, tree)
+    assert html_text.main_text("just plain words of a page without any tag", tree) == "just plain words of a page without any tag"
+    assert html_text.main_text("<body>some words <b>and more</b></body>", tree) == "some words and more"
+    assert html_text.main_text("<nav>Home About</nav><footer>end</footer>", tree) == "" and html_text.main_text("", tree) == ""
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    tree = html_text.trained()
+    for page in ("<div class=ad>x" * 50_000, "<div>x</span>" * 50_000, "<svg>x" * 50_000, "<style>x" * 20_000, "<div class=ad>x" * 30_000 + "</p></div>" * 30_000):
+        start = time.time()
+        html_text.main_text(page, tree)
+        assert time.time() - start < 15
