@@ -483,10 +483,14 @@ def kmer_annotate(spark, sf):
 
 @query
 def assign_alleles(spark, sf):
-    seqs = bridge.view(spark, sf, "receptors").withColumns({"species": F.when(_c("seq_id") % 2 == 0, F.initcap("species")).otherwise(_c("species")), "chain": F.lit(None).cast("string"), "want_d": F.lit(False)})
-    out = assign.assign_alleles(seqs, _catalog(spark, sf), bridge.view(spark, sf, "rec"), germline.constant_regions(spark))
-    return out.select("seq_id", "input_kind", "chain", F.array_join("v_call.alleles", ",").alias("v_alleles"), F.array_join("j_call.alleles", ",").alias("j_alleles"),
-                      "cdr3_aa", "v_determinable", F.array_join("warnings", ";").alias("warnings"))
+    seqs = bridge.view(spark, sf, "receptors").withColumns({"species": F.when(_c("seq_id") % 2 == 0, F.initcap("species")).otherwise(_c("species")), "chain": F.lit(None).cast("string"),
+                                                            "want_d": _c("seq_id") % 3 == 0})
+    catalog = _catalog(spark, sf).unionByName(germline.d_alleles(spark))
+    out = assign.assign_alleles(seqs, catalog, bridge.view(spark, sf, "rec"), germline.constant_regions(spark))
+    shares = F.array_join(F.transform(F.array_sort(F.map_entries("regions")), lambda r: F.concat_ws("=", r["key"], F.round(r["value"], 6).cast("string"))), ";")
+    calls = [c for tag in ("v", "j", "d", "constant") for c in (
+        F.array_join(f"{tag}_call.alleles", ",").alias(f"{tag}_alleles"), F.round(f"{tag}_call.identity", 6).alias(f"{tag}_identity"), F.array_join(f"{tag}_call.aligned_span", "-").alias(f"{tag}_span"))]
+    return out.select("seq_id", "input_kind", "chain", *calls, shares.alias("regions"), "cdr3_aa", "v_determinable", F.array_join("warnings", ";").alias("warnings"))
 
 
 # --- parsing and routing -----------------------------------------------------------------------------------------

@@ -56,6 +56,61 @@ def test_assignment(spark, catalog, make_index):
     assert "FR1" not in got["part"].regions and any("unrecognized chain" in w for w in got["part"].warnings)
 
 
+def test_assignment_in_full(spark, make_index):
+    """Tie sets, identities, spans, region shares, D and C calls, each worked out allele by allele."""
+
+    from receptorium.constants import D_ALLELES, V_REGION_SPANS
+    from receptorium.functions import kernels as K
+
+    rng = random.Random(12)
+    bases = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    change = lambda s, *at: "".join({"A": "C", "C": "G", "G": "T", "T": "A"}[c] if i in at else c for i, c in enumerate(s))
+    v1, v2 = bases(306) + "TGTGCCAGC", bases(306) + "TGTGCCAGC"
+    entries = [("TRB", "V", "TRBV1*01", v1), ("TRB", "V", "TRBV1*02", change(v1, 40, 90)), ("TRB", "V", "TRBV1*03", v1[6:]), ("TRB", "V", "TRBV2*01", v2), ("TRA", "V", "TRAV1*01", bases(310)),
+               ("TRB", "J", "TRBJ1*01", "GAGCAGTACTTCGGGCCAGGCACACGG"), ("TRB", "J", "TRBJ2*01", "AACACCGGGGAGCTGTTTTTTGGAGAAGGCTCT"), ("TRB", "C", "TRBC1*01", bases(120))]
+    table = spark.createDataFrame([("human", c, s, a, a.split("*")[0], nt, i) for i, (c, s, a, nt) in enumerate(entries)],
+                                  "species string, chain string, segment string, allele string, gene string, nt string, ord long")
+    catalog = germline.allele_catalog(table).unionByName(germline.d_alleles(spark))
+    d = next(nt for sp, c, _, nt in D_ALLELES if sp == "human")
+    c = entries[-1][3]
+    seqs = {"plain": v1 + "AC" + d + "GT" + entries[5][3] + c, "off": change(v1, 3, 33, 150, 200) + "A" + d[:9] + entries[6][3] + change(c, 10), "late": v1[30:] + d + entries[5][3] + c[:70],
+            "other": change(v2, 77)[:-3] + entries[6][3] + c[:40]}
+    q = spark.createDataFrame([(k, x) for k, x in seqs.items()], "seq_id string, seq string").withColumns({"species": F.lit("human"), "chain": F.lit(None).cast("string"), "want_d": F.lit(True)})
+    got = {r.seq_id: r for r in assign.assign_alleles(q, catalog, make_index([]), germline.constant_regions(spark)).collect()}
+
+    def call(piece, refs):
+        scores = K.local_scores(list(refs.values()), [piece])[0]
+        names = sorted(n for n, x in zip(refs, scores) if x == scores.max() > 0)
+        pairs = {n: K.aligned_pairs([refs[n]], [piece], True)[1][0] for n in names}
+        share = max(sum(refs[n][x] == piece[y] for x, y in zip(*pairs[n])) / len(pairs[n][0]) for n in names)
+        ts, qs = pairs[names[0]]
+        return names, share, [int(qs[0]), int(qs[-1]) + 1], refs[names[0]], list(zip(ts.tolist(), qs.tolist()))
+
+    of = lambda segment: {a: nt for ch, s, a, nt in entries if ch == "TRB" and s == segment}
+    ds = {a: nt for sp, ch, a, nt in D_ALLELES if sp == "human"}
+    for k, x in seqs.items():
+        r = got[k]
+        assert r.chain == "TRB" and r.v_determinable
+        (vn, vi, vs, ref, pairs), (jn, ji, js, _, _) = call(x, of("V")), call(x, of("J"))
+        assert (r.v_call.alleles, r.v_call.aligned_span) == (vn, vs) and abs(r.v_call.identity - vi) < 1e-12
+        assert (r.j_call.alleles, r.j_call.aligned_span) == (jn, js) and abs(r.j_call.identity - ji) < 1e-12
+        for name, (a, b) in V_REGION_SPANS.items():
+            stop = min(3 * b, len(ref))
+            inside = [(t, y) for t, y in pairs if 3 * a <= t < stop]
+            want = sum(ref[t] == x[y] for t, y in inside) / (stop - 3 * a) if inside else None
+            assert r.regions.get(name) == want, (k, name)
+        gap, rest = x[vs[1]:js[0]], x[js[1]:]
+        if len(rest) >= 60:
+            cn, ci, cs, _, _ = call(rest, of("C"))
+            assert (r.constant_call.alleles, r.constant_call.aligned_span) == (cn, cs) and abs(r.constant_call.identity - ci) < 1e-12
+        else:
+            assert r.constant_call is None
+        if gap:
+            dn, di, dspan, _, _ = call(gap, ds)
+            assert (r.d_call.alleles, r.d_call.aligned_span) == (dn, dspan) and abs(r.d_call.identity - di) < 1e-12
+    assert got["plain"].v_call.alleles[0] == "TRBV1*01" and got["late"].v_call.alleles == ["TRBV1*01", "TRBV1*03"]
+
+
 def test_center_star(spark):
     rows = [("s", "a", "ACGTACGTAA", 0), ("s", "b", "ACGTTACGTAA", 1), ("s", "c", "ACGACGTAA", 2), ("t", "x", "MKV", 0), ("u", "p", "ACGT", 0), ("u", "q", "ACGT", 1)]
     m = spark.createDataFrame(rows, "set_id string, name string, seq string, ord long")
