@@ -427,18 +427,46 @@ oracle("reconstruct_inferred", "germ rec ask", f"""select qid, coalesce({base('v
        ag="select qid, arg_min(v, rank) as bv, arg_min(j, rank) as bj, arg_min(n, rank) as n, string_agg(v || '/' || j || ' (n=' || n || ')', ';' order by rank) as alts from op group by 1",
        src="select q0.*, coalesce(v0, bv) as v_gene, coalesce(j0, bj) as j_gene, n, alts from q0 left join ag using (qid)", **rebuilt("src"))
 WORDS = "list_distinct(list_transform(range(1, greatest(length({s}) - 5, 1)), lambda i: substr({s}, i, 7)))"
+KMER_STEPS = dict(
+    gf=f"select species, chain, segment, gene, ord, false as p, nt as s from rg where segment in ('V','J') union all select species, chain, segment, gene, ord, true, rtrim({aa('nt')}, '*') from rg where segment in ('V','J')",
+    gw=f"select species, chain, segment, gene, ord, p, unnest({WORDS.format(s='s')}) as w, len({WORDS.format(s='s')}) as n from gf where length(s) >= 7",
+    sw=f"select seq_id, species, is_protein, unnest({WORDS.format(s='seq')}) as w from sq where length(seq) >= 7",
+    sc="select sw.seq_id, gw.segment, gw.chain, gw.gene, gw.ord, 100.0 * count(*) / gw.n as x from sw join gw on gw.species = sw.species and gw.p = sw.is_protein and gw.w = sw.w group by 1, 2, 3, 4, 5, gw.n",
+    jb="select seq_id, chain, gene, cast(round(x, 2) as double) as sc from (select *, row_number() over (partition by seq_id, chain order by x desc, ord) as k from sc where segment = 'J') y where k = 1",
+    vb="select seq_id, chain, gene, cast(round(x, 2) as double) as sc from (select *, row_number() over (partition by seq_id, chain order by x desc, ord) as k from sc where segment = 'V') y where k = 1",
+    v="select * from (select *, row_number() over (partition by seq_id order by sc desc, chain) as k from vb where sc > 0) y where k = 1")
 oracle("kmer_annotate", "germ seqs", """select s.seq_id, v.gene as v_call, v.sc as v_score, j.gene as j_call, case when v.gene is not null then coalesce(j.sc, 0) end as j_score,
   coalesce(case v.chain when 'TRA' then 'alpha' when 'TRB' then 'beta' end, 'unknown') as chain, case when s.is_protein then 'low' else 'medium' end as confidence,
   concat_ws(',', case when s.is_protein then 'aa_annotation_limited' end, case when v.chain = 'TRB' then 'd_segment_unresolved' end) as warnings
   from sq s left join v on v.seq_id = s.seq_id left join jb j on j.seq_id = s.seq_id and j.chain = v.chain""",
        rg=REPRESENTATIVE, sq=f"select seq_id, species, is_protein, case when is_protein then {aa('seq')} else seq end as seq from seqs",
-       gf=f"select species, chain, segment, gene, ord, false as p, nt as s from rg where segment in ('V','J') union all select species, chain, segment, gene, ord, true, rtrim({aa('nt')}, '*') from rg where segment in ('V','J')",
-       gw=f"select species, chain, segment, gene, ord, p, unnest({WORDS.format(s='s')}) as w, len({WORDS.format(s='s')}) as n from gf where length(s) >= 7",
-       sw=f"select seq_id, species, is_protein, unnest({WORDS.format(s='seq')}) as w from sq where length(seq) >= 7",
-       sc="select sw.seq_id, gw.segment, gw.chain, gw.gene, gw.ord, 100.0 * count(*) / gw.n as x from sw join gw on gw.species = sw.species and gw.p = sw.is_protein and gw.w = sw.w group by 1, 2, 3, 4, 5, gw.n",
-       jb="select seq_id, chain, gene, cast(round(x, 2) as double) as sc from (select *, row_number() over (partition by seq_id, chain order by x desc, ord) as k from sc where segment = 'J') y where k = 1",
-       vb="select seq_id, chain, gene, cast(round(x, 2) as double) as sc from (select *, row_number() over (partition by seq_id, chain order by x desc, ord) as k from sc where segment = 'V') y where k = 1",
-       v="select * from (select *, row_number() over (partition by seq_id order by sc desc, chain) as k from vb where sc > 0) y where k = 1")
+       **KMER_STEPS)
+
+# a third of the requests names a gene, a third gives V, J and CDR3, a third is a raw CDR3
+oracle("dossiers", "germ rec ask", f"""select w.qid, case when vc is not null and warned = '' then 'complete' else 'partial' end as status,
+  ch || ' TCR, V=' || coalesce(vc, 'NA') || ', J=' || coalesce(jc, 'NA') || ', ' || least(coalesce(total, 0), 5) || ' known epitope(s)' as summary, ch as chain, vc as v_call,
+  case when used then g_allele end as v_allele, case when made then {back('cdr3_aa')} end as cdr3_nt, length(aa_full) as full_len, coalesce(total, 0) as known_epitopes_total, coalesce(m, 0) as n_records,
+  concat_ws(',', case when used and looped then 'regions' end, case when used then 'germline' end, case when kv is not null or kj is not null then 'annotation' end, case when made then 'junction' end,
+    case when aa_full is not null then 'full_sequence' end, case when total > 0 then 'known_epitopes' end) as provenance, warned as warnings
+  from w left join e on e.qid = w.qid left join n on n.qid = w.qid""",
+       f=FRAMES, an=ANCHOR, al=ALLELES, rg=REPRESENTATIVE.replace("from germ", "from al"),
+       d0="select qid, species, case when qid % 3 = 0 then upper(v_gene) end as named, case when qid % 3 = 1 then v_gene end as v_gene, case when qid % 3 = 1 then j_gene end as j_gene, "
+          "case when qid % 3 > 0 then upper(cdr3) end as cdr3_aa from ask",
+       gg="select *, coalesce(named, v_gene) as germ_gene from d0", r=resolved("germ_gene", "species", "gg", "g", "germ_gene"),
+       sq="select qid as seq_id, species, true as is_protein, cdr3_aa as seq from d0 where qid % 3 = 2", **KMER_STEPS,
+       full_="select qid, species, v_gene, j_gene, cdr3_aa from d0 where qid % 3 = 1", **rebuilt("full_"),
+       u=f"""select r.*, v.gene as kv, j.gene as kj, v.chain as kc, rb.aa_full, r.germ_gene is not null and r.g_allele is not null as used,
+  a.allele is not null and (nullif(rtrim(substr(a.a0, 27, 12), '*'), '') is not null or nullif(rtrim(substr(a.a0, 56, 10), '*'), '') is not null) as looped
+  from r left join v on v.seq_id = r.qid left join jb j on j.seq_id = r.qid and j.chain = v.chain left join rb on rb.qid = r.qid
+  left join al a on a.segment = 'V' and a.species = r.species and a.chain = {chain('r.germ_gene')} and a.allele = r.g_allele""",
+       w=f"""select *, vc is not null and jc is not null and cdr3_aa is not null as made,
+  concat_ws(',', case when germ_gene is not null and not used then 'ambiguous_gene' end, case when qid % 3 = 2 then 'aa_annotation_limited' end, case when kc = 'TRB' then 'd_segment_unresolved' end) as warned
+  from (select *, coalesce(kv, case when used or v_gene is not null then split_part(germ_gene, '*', 1) end) as vc, coalesce(split_part(j_gene, '*', 1), kj) as jc,
+    case when germ_gene is not null then {label(chain('germ_gene'))} when kc is not null then {label('kc')} else {label(chain('j_gene'))} end as ch from u) x""",
+       e=f"select w.qid, count(*) as total from w join rec on rec.epitope_aa is not null and rec.species = w.species and {base('rec.v_gene')} = {base('vc')} and vc is not null group by 1",
+       ix=IX, q=f"select qid, cdr3_aa as ck, case when coalesce(v_gene, vc) is not null then {base('coalesce(v_gene, vc)')} end as vk, case when coalesce(j_gene, jc) is not null then {base('coalesce(j_gene, jc)')} end as jk, species "
+                  "from w where cdr3_aa is not null or vc is not null or jc is not null",
+       h=HITS, n="select h.qid, least(count(*), 20) as m from h group by 1")
 
 # --- parsing and routing --------------------------------------------------------------------------------------------
 
