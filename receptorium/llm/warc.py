@@ -33,6 +33,7 @@ from receptorium.llm.shared import fresh_path, prepared, tidy, written
 FILE_BYTES = 32 << 20
 RANGE_BYTES = 16 << 20
 STEP_BITS = 13
+MOST_TASKS = 50_000
 _RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -159,7 +160,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     both = said.unionByName(own.withColumns({"_response": F.lit(None).cast("long"), "_page": F.lit(True)}))
     dealt = (both.withColumn("_k", of_key).join(F.broadcast(ranges), "_k")
              .withColumn("_shard", F.col("_first") + F.pmod(F.xxhash64("_digest"), F.col("_parts")).cast("int")))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shard + 1)
+    # a task writes its ranges one after the other, so there may be more ranges than a shuffle bears partitions
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shard + 1, MOST_TASKS))
     ordered = (dealt.select("_shard", "page_id", "url", "html", "_digest", "_size", "_response", "_page").repartition(tasks, "_shard")
                .sortWithinPartitions("_shard", "page_id", "_digest", "_page", "url"))
     files = ordered.mapInArrow(tidy(_writer(folder, file_bytes, least_bytes)), "file string, records long, bytes long, sha1 string, first_id long, last_id long")
